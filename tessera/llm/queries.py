@@ -1,0 +1,32 @@
+"""The queries opN_<name> over whole tables, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import quality, urls
+from .common import table
+from .sql import OP9, OP10
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return urls.judge_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_quality_rules": op9_quality_rules,
+    "op10_url_filters": op10_url_filters,
+}
+
+ORACLES: dict[str, str] = {"op9_quality_rules": OP9, "op10_url_filters": OP10}

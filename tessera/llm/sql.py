@@ -1,0 +1,82 @@
+"""DuckDB SQL with the same rows as those queries that SQL can express."""
+
+OP9 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), s AS (
+  SELECT rid, doc_id, text,
+    [w FOR w IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF w <> ''] AS words,
+    [l FOR l IN string_split(text, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines
+  FROM d
+), e AS (
+  SELECT rid, words, unnest(generate_series(1, len(words) - 2)) AS i FROM s WHERE len(words) >= 3
+), g AS (
+  SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS shingle FROM e
+), r AS (
+  SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, shingle) > 1
+), c AS (
+  SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS o(k) GROUP BY rid
+), f AS (
+  SELECT s.rid, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_upper,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM s LEFT JOIN c USING (rid)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 50 * n_lines
+    OR 10 * word_chars < 25 * n_words OR 10 * word_chars > 150 * n_words OR 100 * n_upper > 60 * word_chars) AS kept
+FROM b
+"""
+
+_STRENGTH = """
+  SELECT '{level}' AS level, count(*) AS m, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k,
+    sum(n::DOUBLE * n) AS nn, sum(k::DOUBLE * k / n) AS kk
+  FROM (SELECT {level} AS key, sum(n) AS n, sum(k) AS k FROM h WHERE n > 0 GROUP BY 1)
+"""
+
+OP10 = rf"""
+WITH p AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), l AS (
+  SELECT doc_id AS page_id, max(coalesce((quality = 0 OR toxic = 1)::INT, 0)) AS bad FROM labels GROUP BY 1
+), h AS (
+  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+    count(bad) AS n, coalesce(sum(bad), 0) AS k
+  FROM p LEFT JOIN l USING (page_id) GROUP BY ALL
+), sums AS ({" UNION ALL ".join(_STRENGTH.format(level=x) for x in ("host", "domain", "suffix"))}
+), anova AS (
+  SELECT level, m, n, (kk - k * k / n) / (m - 1) AS b, (k - kk) / (n - m) AS w, (n - nn / n) / (m - 1) AS size FROM sums
+), alike AS (
+  SELECT level, CASE WHEN m < 2 OR n <= m OR b + (size - 1) * w <= 0 THEN 0 ELSE (b - w) / (b + (size - 1) * w) END AS rho FROM anova
+), strength AS (
+  SELECT level, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM alike
+), one AS (
+  SELECT (SELECT s FROM strength WHERE level = 'host') AS hs, (SELECT s FROM strength WHERE level = 'domain') AS ds,
+    (SELECT s FROM strength WHERE level = 'suffix') AS ss, coalesce((SELECT k / n FROM sums WHERE level = 'host'), 0) AS rate
+), sp AS (
+  SELECT suffix, (sum(k) + any_value(ss) * any_value(rate)) / (sum(n) + any_value(ss)) AS sp FROM h, one GROUP BY 1
+), dp AS (
+  SELECT domain, (sum(k) + any_value(ds) * any_value(sp)) / (sum(n) + any_value(ds)) AS dp FROM h JOIN sp USING (suffix), one GROUP BY 1
+), hp AS (
+  SELECT host, n + hs + 1 AS below, (k + hs * dp) / (n + hs) AS rate FROM h JOIN dp USING (domain), one
+), j AS (
+  SELECT page_id, host, path, CASE
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    host <> '' AND hp.rate - 1.645 * sqrt(hp.rate * (1 - hp.rate) / below) > 0.5 AS bad
+  FROM p LEFT JOIN hp USING (host)
+)
+SELECT page_id, host, path, rule, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block'
+  WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block' ELSE CASE WHEN bad THEN 'block' ELSE 'allow' END END AS verdict
+FROM j
+"""
