@@ -1,5 +1,17 @@
 """DuckDB SQL with the same rows as those queries that SQL can express."""
 
+OP4 = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.rid, a.vec_id AS query_id, b.vec_id, list_sum([x[1] * x[2] FOR x IN list_zip(a.q, b.q)])::BIGINT AS score
+  FROM v a JOIN v b ON a.rid <> b.rid AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
 OP9 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
