@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, quality, topk, urls
+from . import chat, html, mixing, packing, quality, secrets, simhash, tokenfiles, topk, urls
 from .common import stored, table
-from .sql import OP4, OP9, OP10
+from .sql import OP1, OP4, OP9, OP10
+from .tokens import wide
 
 
 #: Fixed value, the conversation that the contract adds: both turns say a control string.
 PLANTED_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(PLANTED_CONVERSATION, "conv_id long, turn long, role string, text string")
@@ -30,6 +39,42 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokenfiles.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train_forest(secrets.labelled_findings(spark))
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), forest)
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return piece_digests(packed).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def piece_digests(packed: DataFrame) -> DataFrame:
+    """``packed`` with ids_crc32, of the ids as little-endian unsigned 32-bit integers, in place of ids."""
+
+    def digest(batches):
+        for batch in batches:
+            crcs = [zlib.crc32(wide(ids, n)) for ids, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            yield batch.drop_columns(["ids"]).append_column("ids_crc32", pa.array(crcs, pa.int64()))
+
+    rest = ", ".join(f"`{name}` {kind}" for name, kind in packed.dtypes if name != "ids")
+    return packed.mapInArrow(digest, f"{rest}, ids_crc32 long")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,11 +88,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": pipeline,
+    "op1_source_mixing": op1_source_mixing,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_html_extraction": op3_html_extraction,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_token_files": op5_token_files,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_top_k": OP4, "op9_quality_rules": OP9, "op10_url_filters": OP10}
+ORACLES: dict[str, str] = {"op1_source_mixing": OP1, "op4_exact_top_k": OP4, "op9_quality_rules": OP9, "op10_url_filters": OP10}

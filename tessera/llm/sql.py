@@ -1,5 +1,81 @@
 """DuckDB SQL with the same rows as those queries that SQL can express."""
 
+OP1 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source,
+    CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src1[0-4]$') THEN 'reference'
+      WHEN regexp_matches(source, '^src1[5-9]$') THEN 'forum' ELSE 'other' END AS domain,
+    len([w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''])::BIGINT AS tokens
+  FROM documents
+), leaf AS (
+  SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens, 4 * sum(tokens)::HUGEINT AS cap FROM d GROUP BY ALL
+), d_in AS (
+  SELECT 0 AS root, domain, sum(cap)::HUGEINT AS cap, (SELECT sum(tokens)::HUGEINT FROM leaf) AS budget FROM leaf GROUP BY ALL
+), d_out AS (
+  SELECT domain, cap, CASE WHEN full_ THEN cap
+      WHEN open_w > 0 THEN least(((budget - spent) * w) // open_w, cap) ELSE 0 END AS budget
+  FROM (
+    SELECT *, coalesce(sum(CASE WHEN full_ THEN cap END) OVER (PARTITION BY root), 0) AS spent,
+      coalesce(sum(CASE WHEN NOT full_ THEN w END) OVER (PARTITION BY root), 0) AS open_w
+    FROM (
+      SELECT *, cap * (all_w - before_w) <= (budget - before_cap) * w AS full_
+      FROM (
+        SELECT *, coalesce(sum(cap) OVER o, 0) AS before_cap, coalesce(sum(w) OVER o, 0) AS before_w, sum(w) OVER (PARTITION BY root) AS all_w
+        FROM (SELECT *, (CASE domain WHEN 'web' THEN 5 WHEN 'reference' THEN 3 WHEN 'forum' THEN 2 ELSE 1 END)::HUGEINT AS w FROM d_in)
+        WINDOW o AS (PARTITION BY root ORDER BY cap::DOUBLE / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      )
+    )
+  )
+), l_in AS (
+  SELECT l.domain, lang, l.cap, d_out.budget FROM (SELECT domain, lang, sum(cap)::HUGEINT AS cap FROM leaf GROUP BY ALL) AS l JOIN d_out USING (domain)
+), l_out AS (
+  SELECT domain, lang, cap, CASE WHEN full_ THEN cap
+      WHEN open_w > 0 THEN least(((budget - spent) * w) // open_w, cap) ELSE 0 END AS budget
+  FROM (
+    SELECT *, coalesce(sum(CASE WHEN full_ THEN cap END) OVER (PARTITION BY domain), 0) AS spent,
+      coalesce(sum(CASE WHEN NOT full_ THEN w END) OVER (PARTITION BY domain), 0) AS open_w
+    FROM (
+      SELECT *, cap * (all_w - before_w) <= (budget - before_cap) * w AS full_
+      FROM (
+        SELECT *, coalesce(sum(cap) OVER o, 0) AS before_cap, coalesce(sum(w) OVER o, 0) AS before_w, sum(w) OVER (PARTITION BY domain) AS all_w
+        FROM (SELECT *, (CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END)::HUGEINT AS w FROM l_in)
+        WINDOW o AS (PARTITION BY domain ORDER BY cap::DOUBLE / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      )
+    )
+  )
+), s_in AS (
+  SELECT leaf.domain, leaf.lang, source, tokens, leaf.cap, l_out.budget FROM leaf JOIN l_out USING (domain, lang)
+), s_out AS (
+  SELECT domain, lang, source, tokens, cap, CASE WHEN full_ THEN cap
+      WHEN open_w > 0 THEN least(((budget - spent) * w) // open_w, cap) ELSE 0 END AS budget
+  FROM (
+    SELECT *, coalesce(sum(CASE WHEN full_ THEN cap END) OVER (PARTITION BY domain, lang), 0) AS spent,
+      coalesce(sum(CASE WHEN NOT full_ THEN w END) OVER (PARTITION BY domain, lang), 0) AS open_w
+    FROM (
+      SELECT *, cap * (all_w - before_w) <= (budget - before_cap) * w AS full_
+      FROM (
+        SELECT *, coalesce(sum(cap) OVER o, 0) AS before_cap, coalesce(sum(w) OVER o, 0) AS before_w, sum(w) OVER (PARTITION BY domain, lang) AS all_w
+        FROM (SELECT *, 1::HUGEINT AS w FROM s_in)
+        WINDOW o AS (PARTITION BY domain, lang ORDER BY cap::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      )
+    )
+  )
+), e AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs,
+    CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest
+  FROM s_out
+), p AS (
+  SELECT d.*, epochs, rest, md5('17:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS place FROM d JOIN e USING (domain, lang, source)
+), c AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
+    - sum(tokens) OVER (PARTITION BY domain, lang, source, place) AS before
+  FROM p
+), n AS (
+  SELECT doc_id, domain, lang, source, tokens, epochs + (rest > 0 AND before < rest)::INT AS copies FROM c
+)
+SELECT doc_id, domain, lang, source, tokens AS n_tokens, unnest(generate_series(0, (copies - 1)::BIGINT))::INTEGER AS epoch FROM n WHERE copies > 0
+"""
+
 OP4 = """
 WITH v AS (
   SELECT row_number() OVER () AS rid, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
