@@ -2,8 +2,7 @@
 
 import pytest
 
-from tessera.plans.catalogue import QUERIES
-from tessera.plans.sql import ORACLES
+from tessera.plans import ORACLES, QUERIES
 
 from .conftest import SF
 from .oracle import assert_same
