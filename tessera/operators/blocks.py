@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import let
 from ..functions.fixed import clamp, div, round_shift
 
 N = 8
@@ -42,12 +43,10 @@ def transformed(blocks: DataFrame, matrix: list[list[float]] | list[list[int]],
     dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q), kind)
     places = F.array(*map(F.lit, range(N)))
     product = lambda rows: F.transform(rows, lambda row: F.transform(m, lambda of: dot(row, of)))
-    turned = lambda rows: F.transform(places, lambda i: F.transform(rows, lambda row: F.get(row, i)))
-    rows = F.transform(places, lambda r: F.transform(F.slice("b", r * N + 1, N), lambda x: x.cast(kind)))
-    df = blocks.withColumn("_h", product(rows))
-    if rows_too:
-        df = df.withColumn("_h", turned(F.col("_h"))).withColumn("_h", product(F.col("_h"))).withColumn("_h", turned(F.col("_h")))
-    return df.withColumn(out, F.flatten("_h")).drop("_h")
+    turned = lambda rows: let(rows, lambda given: F.transform(places, lambda i: F.transform(given, lambda row: F.get(row, i))))
+    rows = let(F.col("b"), lambda b: F.transform(places, lambda r: F.transform(F.slice(b, r * N + 1, N), lambda x: x.cast(kind))))
+    lines = product(rows)
+    return blocks.withColumn(out, F.flatten(turned(product(turned(lines))) if rows_too else lines))
 
 
 HADAMARD = [[-1 if (i & j).bit_count() % 2 else 1 for j in range(N)] for i in range(N)]
@@ -72,7 +71,7 @@ def shifted(b: str, dr: int, dc: int, clamped: bool) -> Column:
     near = lambda x: min(max(x, 0), N - 1)
     inside = lambda r, c: clamped or (0 <= r < N and 0 <= c < N)
     places = F.array(*(F.lit(near(r + dr) * N + near(c + dc) if inside(r + dr, c + dc) else None).cast("int") for r in range(N) for c in range(N)))
-    return F.transform(places, lambda i: F.coalesce(F.get(F.col(b), i), F.lit(0).cast("bigint")))
+    return let(F.col(b), lambda given: F.transform(places, lambda i: F.coalesce(F.get(given, i), F.lit(0).cast("bigint"))))
 
 
 def added(arrays: list[Column]) -> Column:

@@ -165,7 +165,7 @@ def dft_energy(spark, d):
 
 
 @oracle(f"""
-  WITH {PAIRS}, s AS (SELECT label, sum(a.v * a.v)::BIGINT AS xx, sum(a.v)::BIGINT AS x, count(*) AS n, sum(a.v * b.v)::BIGINT AS xy, sum(b.v)::BIGINT AS y
+  WITH {PAIRS}, s AS (SELECT a.label, sum(a.v * a.v)::BIGINT AS xx, sum(a.v)::BIGINT AS x, count(*) AS n, sum(a.v * b.v)::BIGINT AS xy, sum(b.v)::BIGINT AS y
     FROM p JOIN cells a ON a.vec_id = p.vec_id JOIN cells b ON b.vec_id = other_id AND a.i = b.i GROUP BY 1)
   SELECT label, n, round((n * xy - x * y)::DOUBLE / (n * xx - x * x)::DOUBLE, 6) AS slope, round((y * xx - x * xy)::DOUBLE / (n * xx - x * x)::DOUBLE, 4) AS intercept FROM s""")
 def least_squares_2x2(spark, d):
