@@ -115,13 +115,15 @@ def test_encoder_equals_library(library):
         assert np.frombuffer(ids, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_op6(spark, documents):
+def test_op6(spark):
+    larger = SF.replace("0.001", "0.01")  # the smallest tables hold no secret
+    documents = {r["doc_id"]: r["text"] for r in table(spark, larger, "documents").collect()}
     planted = {
         (doc_id, m.start(1), len(m[1]))
         for doc_id, text in documents.items()
         for m in re.finditer(r'(?:(?:token = "|password=)|\b(?=AKIA))([0-9A-Za-z]{16,})', text)
     }
-    got = {(r["doc_id"], r["start"], r["length"]): r["sha256"] for r in queries.op6_secret_scan(spark, SF).collect()}
+    got = {(r["doc_id"], r["start"], r["length"]): r["sha256"] for r in queries.op6_secret_scan(spark, larger).collect()}
     assert planted and got.keys() == planted
     for (doc_id, start, n), digest in got.items():
         assert digest == hashlib.sha256(documents[doc_id][start : start + n].encode()).hexdigest()
