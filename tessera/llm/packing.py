@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import encoder, slices
+from .tokens import encoder, text_slices
 
 #: Fixed values of the contract: tokens in a sequence; the id that ends each document.
 CAPACITY, END_ID = 2048, 0
@@ -44,10 +44,10 @@ def pieces_of(documents: DataFrame, capacity: int = CAPACITY, end_id: int = END_
         own = encoder(vocabulary)
         end, width = np.asarray([end_id], own.dtype).tobytes(), own.dtype.itemsize
         for batch in batches:
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts):
+            doc_ids = batch.column("doc_id").to_pylist()
+            for a, b, texts in text_slices(batch.column("text")):
                 rows = []
-                for doc_id, ids in zip(doc_ids[a:b], own.encode(texts[a:b]), strict=True):
+                for doc_id, ids in zip(doc_ids[a:b], own.encode(texts), strict=True):
                     ids += end
                     n = len(ids) // width
                     rows += [(doc_id, i, start, min(capacity, n - start), ids[start * width : (start + capacity) * width]) for i, start in enumerate(range(0, n, capacity))]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored
-from .tokens import encoder, slices
+from .tokens import encoder, text_slices
 
 #: Fixed value of the contract: the id that ends each document.
 END_ID = 2
@@ -92,11 +92,11 @@ def _encode(bounds: list[int], vocabulary: str | None, end_id: int):
         own = encoder(vocabulary)
         end, width = np.asarray([end_id], own.dtype).tobytes(), own.dtype.itemsize
         for batch in batches:
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            doc_ids = batch.column("doc_id")
             keys = doc_ids.fill_null(-(2**63)).to_numpy()
             shards = np.searchsorted(np.asarray(bounds, np.int64), keys, side="left").astype(np.int32)
-            for a, b in slices(texts):
-                ids = [x + end for x in own.encode(texts[a:b])]
+            for a, b, texts in text_slices(batch.column("text")):
+                ids = [x + end for x in own.encode(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(shards[a:b]), doc_ids.slice(a, b - a), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     return encode

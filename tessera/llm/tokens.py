@@ -2,7 +2,8 @@
 
 A text's ids are the ids of its runs between white space, one after the other, for tokenizers that drop white space
 and never look across it (``word_bpe_49k.json``). Runs recur, so each worker keeps the ids of the runs that it has
-met; new runs of a batch are encoded together, between marker runs that tell their ids apart.
+met; new runs of a batch are encoded together and their ids told apart, by word ends for plain runs, by marker runs
+between all others.
 """
 
 from __future__ import annotations
@@ -12,14 +13,22 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Runs that a worker keeps at most; beyond that it starts anew.
-KEPT_RUNS = 1_000_000
+#: Runs in each of the two generations that a worker keeps at most (some 200 bytes each). When the younger is full it
+#: becomes the older one, and runs that are met again move to the new.
+KEPT_RUNS = 400_000
 #: Runs encoded in one call of the library.
 RUNS_A_TEXT, TEXTS_A_CALL = 1000, 16
 #: Fixed value: white space for str.split() that the tokenizer's pattern takes for a part of a word.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(r"[^\S\x1c-\x1f]+")
+#: Fixed value: runs of one word, or of one word and one mark, for the tokenizer: letters that its normaliser maps to
+#: one letter each (Latin, but for those that change their length), then marks.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+([.,!?;:]*)")
+#: Fixed value: what ends the last token of each word and mark.
+WORD_END = "</w>"
 #: Fixed value: a run of one control character, which encodes as ids that no other run begins with.
 MARKER = "\x00"
 
@@ -41,34 +50,52 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or default_vocabulary())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)), bool, size)
         (self.marker,) = self.tokenizer.encode(MARKER, add_special_tokens=False).ids
 
     def _learn(self, runs: list[str]) -> None:
-        width = self.dtype.itemsize
-        odd = [r for r in runs if MARKER in r]
-        for run in odd:
-            self.runs[run] = np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, self.dtype).tobytes()
-        runs = [r for r in runs if MARKER not in r] if odd else runs
+        plain, words, marked = [], [], []
+        for run in runs:
+            if m := PLAIN.fullmatch(run):
+                plain.append(run)
+                words.append(2 if m[1] else 1)
+            elif MARKER in run:
+                self.runs[run] = np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, self.dtype).tobytes()
+            else:
+                marked.append(run)
+        for part, ids in self._joined(plain, " "):
+            n, words = words[: len(part)], words[len(part) :]
+            self._keep(part, ids, np.flatnonzero(self.ends[ids])[np.cumsum(n) - 1] + 1, 0)
+        for part, ids in self._joined(marked, f" {MARKER} "):
+            self._keep(part, ids, np.append(np.flatnonzero(ids == self.marker), len(ids)), 1)
+
+    def _joined(self, runs: list[str], by: str) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Some runs and the ids of their text, again and again."""
         parts = [runs[i : i + RUNS_A_TEXT] for i in range(0, len(runs), RUNS_A_TEXT)]
         for i in range(0, len(parts), TEXTS_A_CALL):
             some = parts[i : i + TEXTS_A_CALL]
-            for part, encoding in zip(some, self.tokenizer.encode_batch_fast([f" {MARKER} ".join(p) for p in some], add_special_tokens=False), strict=True):
-                ids = np.asarray(encoding.ids, self.dtype)
-                ends = np.append(np.flatnonzero(ids == self.marker), len(ids)) * width
-                whole, start = ids.tobytes(), 0
-                for run, end in zip(part, ends.tolist(), strict=True):
-                    self.runs[run] = whole[start:end]
-                    start = end + width
+            for part, encoding in zip(some, self.tokenizer.encode_batch_fast([by.join(p) for p in some], add_special_tokens=False), strict=True):
+                yield part, np.asarray(encoding.ids, self.dtype)
+
+    def _keep(self, runs: list[str], ids: np.ndarray, ends: np.ndarray, between: int) -> None:
+        """Cuts the ids of some runs apart: each ends at its place in ``ends``, the next begins ``between`` later."""
+        width, whole, start = self.dtype.itemsize, ids.tobytes(), 0
+        for run, end in zip(runs, (ends * self.dtype.itemsize).tolist(), strict=True):
+            self.runs[run] = whole[start:end]
+            start = end + between * width
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         split = [[] if not t else (SPACE.split(t) if NOT_SPACE.search(t) else t.split()) for t in texts]
         met = set().union(*split)
         new = [r for r in met if r not in self.runs]
         if len(self.runs) + len(new) > KEPT_RUNS:
-            self.runs.clear()
-            new = list(met)
-        if new:
-            self._learn(new)
+            self.older, self.runs, new = self.runs, {}, list(met)
+        known = [r for r in new if r in self.older]
+        self.runs.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        if len(known) < len(new):
+            self._learn([r for r in new if r not in self.runs] if known else new)
         get = self.runs.__getitem__
         for runs in split:
             yield b"".join(map(get, runs))
@@ -84,16 +111,15 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of texts with about ``most`` characters each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(start, end, texts) of a batch's column of texts, each slice of about ``most`` bytes, one at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < len(column):
+        before = int(sizes[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
 
 
 def wide(ids: bytes, n: int) -> bytes:
