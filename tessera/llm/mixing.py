@@ -8,7 +8,7 @@ ancestors. Shares are integers, rounded down.
 
 A leaf with budget b and t tokens gives b div t whole epochs and then a prefix of one more, whose order is that of
 md5(seed:epoch:doc_id). The prefix ends with the document that reaches the budget. Its end is found by descent: the
-tokens of 4096 ranges of the order, then of 4096 ranges within the one that holds the end, until few documents are
+tokens of 256 ranges of the order, then of 256 ranges within the one that holds the end, until few documents are
 left; no leaf is ever sorted whole or gathered. Documents then only compare their place with their leaf's end.
 
 Tokens are runs of anything but ASCII white space. Edge cases: a null domain, language or source is a value of its
@@ -37,7 +37,7 @@ DOMAINS: dict[str, list[str]] = {
 #: Budget in percent of the corpus' tokens; epochs that a leaf gives at most; seed of the orders.
 BUDGET_PERCENT, MAX_EPOCHS, SEED = 100, 4, 17
 #: Hex digits that the descent takes at once; documents of a range at which it ends.
-STEP, FEW = 3, 2000
+STEP, FEW = 2, 2000
 #: Leaves whose ends are sent to every executor at most (some 100 bytes each).
 BROADCAST_LEAVES = 100_000
 

@@ -2,9 +2,9 @@
 
 Documents become pieces of at most ``CAPACITY`` tokens (only longer ones are cut). Pieces are dealt into partitions;
 each packs its own by best-fit decreasing and compares the bins with a lower bound from dual feasible functions. A
-partition that reaches its bound is certified and done. Partitions with gaps keep their full bins and give the
-documents of all others to a common pool, which is dealt anew into partitions that mix them, and packed and
-certified again; a round that would need more bins is not taken. Rounds end when nothing has a gap, when the bound of the
+partition that reaches its bound is certified and done, but for its least filled bin, which it owes to rounding its
+bound up. Partitions with gaps keep their full bins. The documents of all other bins go to a common pool, which is
+dealt anew into fewer partitions that mix them, and packed and certified again; a round that would need more bins is not taken. Rounds end when nothing has a gap, when the bound of the
 whole corpus is reached, once all that is left lay in a single partition, or after ``ROUNDS``.
 
 Only the histogram of lengths (``CAPACITY`` rows) and counts reach the driver.
@@ -111,13 +111,13 @@ def _pack(capacity: int):
         bound = lower_bound(Counter(lengths.tolist()), capacity)
         n = len(lengths)
         return pa.table(
-            {"key": table.column("key"), "length": lengths, "part": np.full(n, key[0].as_py(), np.int64), "bin": bins, "offset": offsets, "full": (filled == capacity)[bins], "gap": np.full(n, made - bound, np.int64), "bins": np.full(n, made, np.int64)}
+            {"key": table.column("key"), "length": lengths, "part": np.full(n, key[0].as_py(), np.int64), "bin": bins, "offset": offsets, "full": (filled == capacity)[bins], "least": bins == filled.argmin(), "gap": np.full(n, made - bound, np.int64), "bins": np.full(n, made, np.int64)}
         )
 
     return pack
 
 
-PACKED = "key long, length long, part long, bin long, offset long, full boolean, gap long, bins long"
+PACKED = "key long, length long, part long, bin long, offset long, full boolean, least boolean, gap long, bins long"
 
 
 def _packed(rows: DataFrame, parts: int, seed: int, capacity: int, name: str) -> DataFrame:
@@ -136,12 +136,12 @@ def assign(lengths: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART
     parts = max(1, math.ceil(left / part_pieces))
     now = _packed(lengths, parts, 0, capacity, "packed-0")
     for turn in range(1, rounds + 1):
-        final = (F.col("gap") <= 0) | F.col("full")
+        final = F.col("full") | ((F.col("gap") <= 0) & ~F.col("least"))
         sums = now.groupBy("part", "bin").agg(F.first(final).alias("final"), F.count("*").alias("n")).groupBy("final").agg(F.count("*").alias("bins"), F.sum("n").alias("n")).collect()
         by = {r["final"]: r for r in sums}
         pool, pool_bins = (by[False]["n"], by[False]["bins"]) if False in by else (0, 0)
         done_bins += by[True]["bins"] if True in by else 0
-        if not pool or done_bins + pool_bins <= goal or (parts == 1 and turn > 1):
+        if not pool or done_bins + pool_bins <= goal or parts == 1:
             break
         fewer = max(1, min(math.ceil(pool / part_pieces), parts - 1))
         again = _packed(now.filter(~final), fewer, turn, capacity, f"packed-{turn}")

@@ -16,11 +16,12 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, let
+from .common import let
 
 #: Findings that the forest is trained on; trees; depth; seed; share of trees that must agree, in percent.
 LABELLED, TREES, DEPTH, SEED, VOTES_PERCENT = 6000, 15, 6, 5, 50
@@ -83,8 +84,10 @@ def features(c: Column, left: Column, right: Column) -> Column:
 
 def cut_text(text: Column) -> Column:
     """The text in pieces; those at odd places are its candidates."""
-    text = F.translate(text, "\x01", " ")
-    return F.when(text.rlike(CANDIDATE), F.split(F.regexp_replace(text, f"({CANDIDATE})", "\x01$1\x01"), "\x01")).otherwise(F.array(text))
+    return let(
+        F.replace(text, F.lit("\x01"), F.lit(" ")),
+        lambda t: F.when(t.rlike(CANDIDATE), F.split(F.regexp_replace(t, f"({CANDIDATE})", "\x01$1\x01"), "\x01")).otherwise(F.array(t)),
+    )
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEED) -> DataFrame:
@@ -178,32 +181,47 @@ def votes(forest: list[list], x: Column) -> Column:
     return total
 
 
-def judged(documents: DataFrame, forest: list[list], text: str = "text") -> tuple[DataFrame, str, str]:
-    """``documents`` with two columns more, and their names: the text's pieces, and each candidate's votes in order."""
-    pieces, x, v = (free_name(documents, n) for n in ("pieces", "features", "votes"))
-    out = documents.withColumn(pieces, cut_text(F.col(text)))
-    p = F.col(pieces)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(2)) - 1), lambda i: (i % 2 == 1) & (i < F.size(p)))
-    out = out.withColumn(x, F.when(p.isNotNull(), F.transform(places, lambda i: features(p[i], p[i - 1], p[i + 1]))))
-    return out.withColumn(v, F.transform(x, lambda f: let(f, lambda y: votes(forest, y)))).drop(x), pieces, v
+def with_votes(text: Column, forest: list[list], body: Callable[[Column, Column], Column]) -> Column:
+    """``body(pieces, votes)`` of a text: its pieces, and the votes for each candidate in order.
+
+    One nested expression: whatever the optimizer does with it, a text is cut once for each time it is evaluated.
+    """
+
+    def judge(p: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(2)) - 1), lambda i: (i % 2 == 1) & (i < F.size(p)))
+        return let(F.transform(places, lambda i: let(features(p[i], p[i - 1], p[i + 1]), lambda x: votes(forest, x))), lambda v: body(p, v))
+
+    return let(cut_text(text), judge)
+
+
+def _least(forest: list[list], votes_percent: int) -> int:
+    return len(forest) * votes_percent // 100 + 1
 
 
 def find_secrets(documents: DataFrame, forest: list[list], votes_percent: int = VOTES_PERCENT) -> DataFrame:
     """doc_id, start, length (code points of the whole text), sha256 (of the secret), votes of each secret found."""
-    rows, pieces, v = judged(documents.select("doc_id", "text"), forest)
-    least = len(forest) * votes_percent // 100 + 1
-    rows = rows.filter(F.exists(v, lambda n: n >= least)).withColumn("lengths", F.transform(pieces, F.length))
-    found = rows.select("doc_id", pieces, "lengths", F.posexplode(v).alias("at", "votes")).filter(F.col("votes") >= least)
-    place = 2 * F.col("at") + 1
-    start = F.aggregate(F.slice("lengths", 1, place), F.lit(0).cast("bigint"), lambda a, n: a + n)
-    secret = F.col(pieces)[place]
-    return found.select("doc_id", start.alias("start"), F.length(secret).cast("bigint").alias("length"), F.sha2(secret.cast("binary"), 256).alias("sha256"), F.col("votes").cast("int"))
+    least = _least(forest, votes_percent)
+
+    def found(p: Column, v: Column) -> Column:
+        lengths = F.transform(p, F.length)
+        start = lambda place: F.aggregate(F.slice(lengths, 1, place), F.lit(0).cast("bigint"), lambda a, n: a + n)
+        every = F.transform(v, lambda n, i: F.struct((i * 2 + 1).alias("place"), n.alias("votes")))
+        secret = lambda x: F.get(p, x["place"])
+        return F.transform(
+            F.filter(every, lambda x: x["votes"] >= least),
+            lambda x: F.struct(start(x["place"]).alias("start"), F.length(secret(x)).cast("bigint").alias("length"), F.sha2(secret(x).cast("binary"), 256).alias("sha256"), x["votes"].cast("int").alias("votes")),
+        )
+
+    rows = documents.filter("text IS NOT NULL").select("doc_id", F.explode(with_votes(F.col("text"), forest, found)).alias("x"))
+    return rows.select("doc_id", "x.start", "x.length", "x.sha256", "x.votes")
 
 
 def redact(documents: DataFrame, forest: list[list], text: str = "text", votes_percent: int = VOTES_PERCENT) -> DataFrame:
     """``documents`` with every secret in the text replaced by ``REDACTED``; no row is dropped."""
-    rows, pieces, v = judged(documents, forest, text)
-    least = len(forest) * votes_percent // 100 + 1
-    clean = F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & (F.get(F.col(v), F.floor(i / 2).cast("int")) >= least), F.lit(REDACTED)).otherwise(p))
-    whole = F.when(F.exists(v, lambda n: n >= least), F.array_join(clean, "")).otherwise(F.col(text))
-    return rows.withColumn(text, whole).select(*documents.columns)
+    least = _least(forest, votes_percent)
+
+    def clean(p: Column, v: Column) -> Column:
+        piece = lambda x, i: F.when((i % 2 == 1) & (F.get(v, F.floor(i / 2).cast("int")) >= least), F.lit(REDACTED)).otherwise(x)
+        return F.when(F.exists(v, lambda n: n >= least), F.array_join(F.transform(p, piece), "")).otherwise(F.col(text))
+
+    return documents.withColumn(text, F.when(F.col(text).isNotNull(), with_votes(F.col(text), forest, clean)))
