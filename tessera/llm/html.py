@@ -44,9 +44,12 @@ OTHER_WORDS = set(
 )
 OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "note"}
 COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "replies", "reply", "discussion", "disqus"}
+#: Words that say of a holder what it has or lacks, as in ``has-sidebar``.
+SAYS_OF_HOLDER = {"has", "no", "with", "without"}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.DOTALL)
-MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+MAY_MARK = re.compile("class|id|role", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -59,19 +62,22 @@ class Line:
 
 
 def marked_other(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment section."""
+    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment section.
+
+    Only attributes of these very names count, not others' names or values (``data-id``, ``title="Hidden lakes"``).
+    Within an article a header is its own: it holds the title.
+    """
     if tag in NEVER or (tag == "header" and not in_article):
         return True
-    if not attributes:
+    if tag in UNMARKED or not MAY_MARK.search(attributes):
         return False
-    for name, *values in MARK.findall(attributes):
+    other = COMMENT_WORDS if tag == "article" else OTHER_WORDS - {"header"} if in_article else OTHER_WORDS
+    for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
-        words = set(WORD.findall(value))
-        if tag in UNMARKED:
-            continue
-        if name in ("class", "id") and (words & (COMMENT_WORDS if tag == "article" else OTHER_WORDS)):
-            return True
-        if (name == "role" and words & OTHER_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if name in ("class", "id"):
+            if any(words & other and not words & SAYS_OF_HOLDER for words in (set(WORD.findall(x)) for x in value.split())):
+                return True
+        elif (name == "role" and set(value.split()) & OTHER_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
     return False
 

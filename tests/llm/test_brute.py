@@ -71,6 +71,16 @@ def test_op3_layouts():
     assert html.main_text("<article>caf&eacute &amp;amp; &am") == "café &amp; &am"
 
 
+def test_op3_attributes():
+    kept = ['data-id="ad"', 'title="Hidden lakes"', 'style="overflow: hidden"', 'class="has-sidebar"', "class='no-comments wide'", 'data-x="a class=menu b"', 'id="header-of-article"', 'alt="id=footer"', "class", 'role="region"']
+    dropped = ["hidden", 'class="wide ad"', "id=footer", "CLASS='Related-Posts'", 'role="navigation"', 'aria-hidden="true"', "data-n=1 hidden=''", 'title="x" class="no-border menu"']
+    for attributes in kept:
+        assert html.main_text(f"<article><p>a<div {attributes}>b</div></article>") == "a\nb", attributes
+    for attributes in dropped:
+        assert html.main_text(f"<article><p>a<div {attributes}>b</div></article>") == "a", attributes
+    assert html.main_text("<div class=page-header>Site</div><article><div class=entry-header><h1>T</h1></div>a</article>") == "T\na"
+
+
 def test_op5(spark, documents, library):
     got = sorted(queries.op5_token_files(spark, SF).collect())
     start = 0
