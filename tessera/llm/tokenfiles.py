@@ -32,6 +32,8 @@ from .tokens import encoder, text_slices
 END_ID = 2
 #: Documents in a shard, about; ids in a segment, about.
 SHARD_DOCS, SEGMENT_TOKENS = 8192, 1 << 18
+#: Shards at most; beyond that they hold more documents. Bounds what the driver holds of the quantiles (16 bytes each).
+MOST_SHARDS = 20_000
 CHUNK_BITS, RANK_BITS = 8, 512
 #: Rows of shard totals that are sent to every executor at most (12 bytes each); more are joined.
 BROADCAST_SHARDS = 500_000
@@ -131,10 +133,11 @@ def _segments(segment_tokens: int):
 def write_tokens(documents: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     """Token files of ``documents`` (doc_id, text): one row a segment, as of ``SEGMENT``; written before it returns.
 
-    Shards are ranges of doc_id between approximate quantiles, the only figures that reach the driver.
+    Shards are ranges of doc_id between approximate quantiles, the only figures that reach the driver. A shard is sorted
+    with spills and written segment by segment, so its size doesn't bear on memory.
     """
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    shards = max(1, math.ceil(rows.select("doc_id").count() / shard_docs))
+    shards = min(MOST_SHARDS, max(1, math.ceil(rows.select("doc_id").count() / shard_docs)))
     quantiles = rows.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("q")).first()["q"] if shards > 1 else []
     bounds = sorted(set(quantiles or []))
     coded = rows.mapInArrow(_encode(bounds, vocabulary, end_id), "shard int, doc_id long, n_tokens long, ids binary")
