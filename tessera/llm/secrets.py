@@ -1,8 +1,10 @@
 """Operator 6, secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame functions.
 
-A candidate is a run of letters, digits and ``+ / _ -`` of 12 characters or more with a letter and a digit. Its
-features are its length, shares and changes of character classes, the share of it that a dictionary covers, whether
-it stands in a path or an address, and the words around it. The forest is Spark ML's, trained on labelled findings;
+Candidates are wide, and the forest decides: what is assigned to a name with a secret word in it, of 6 characters or
+more, quoted or up to white space, whatever its characters; tokens of dotted parts, whole; and runs of letters, digits
+and ``+ / _ -`` of 12 characters or more with a letter. Features are the candidate's length, shares and changes of
+character classes, the share of it that a dictionary covers, whether it stands in a path or an address, and the
+words around it. The forest is Spark ML's, trained on labelled findings;
 its trees then become one CASE expression each, so that whole texts are scanned in one pass without a shuffle.
 
 ``labelled_findings`` makes a bounded set of findings (``LABELLED`` rows) from templates with pseudo-random values:
@@ -29,8 +31,6 @@ LABELLED, TREES, DEPTH, SEED, VOTES_PERCENT = 6000, 15, 6, 5, 50
 NEAR = 48
 REDACTED = "[SECRET]"
 
-#: What a candidate looks like (Java pattern).
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,}+={0,2}"
 #: Words that stand before secrets, words that stand before other codes, prefixes of known keys.
 SECRET_WORDS = "password passwd passphrase pass pwd secret token apikey api_key api-key access_key access-key auth authorization credential credentials bearer private_key client_secret signature key".split()
 OTHER_CODES = "commit sha sha1 sha256 md5 checksum digest hash uuid guid build revision version etag order invoice tracking image file id ref issue ticket isbn serial part trace request session".split()
@@ -44,20 +44,40 @@ DICTIONARY = (
     "button color style header footer content article product order number code value string model series summer winter world health company"
 ).split()
 
-FEATURES = ["length", "digits", "upper", "lower", "marks", "changes", "distinct", "hex", "dictionary", "path", "address", "uuid", "prefix", "secret_word", "secret_near", "other_word", "assigned"]
-_TREE = re.compile(r"^\s*(?:(If|Else) \(feature (\d+) (<=|>) ([-\d.Ee]+)\)|Predict: ([\d.]+))$")
-
 
 def _either(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
 
 
+#: What candidates look like (Java patterns). Behind ``ASSIGNED`` stands a
+#: value in quotes, or one up to white space, less the punctuation of the sentence around it. Where a value in quotes
+#: has white space and holds runs or assignments, or a value is an address, those within are candidates instead.
+_INNER = rf"(?![^\s\"']*?(?:://|(?i:{_either(SECRET_WORDS)})[0-9_]{{0,4}}[=:][^\s\"']{{6}}))"
+_BARE = rf"{_INNER}(?:(?![.,;:)\]}}]{{0,8}}+(?:[\s\"'<>]|\z)|[&,;][A-Za-z_]\w*+[=:]|\\[\"'n])[^\s\"'<>]){{6,}}+"
+ASSIGNED = (
+    r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]{3,}+[\\\"'\]]{0,3}\s{0,8}[=:])([A-Za-z0-9+/_.-]*?"
+    rf"(?i:{_either(SECRET_WORDS)})[0-9_]{{0,4}}[\\\"'\]]{{0,3}}\s{{0,8}}(?:=>|[=:]{{1,2}})\s{{0,8}}(?:(?i:bearer|basic|token)\s{{1,8}})?)"
+)
+_DOTTED = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z0-9._-]{12})[A-Za-z0-9_-]{2,}+(?:\.[A-Za-z0-9_-]{6,}+)++(?![@/])"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}+={0,2}"
+_QUOTED = [
+    rf"({q})(?=[^{q}\r\n]{{6,}}+{q}){_INNER}(?:(?=[^{q}\s]++{q})|(?![^{q}\r\n]*?(?:[=:]|[A-Za-z0-9+/_-]{{12}})))([^{q}\r\n]++)"
+    for q in ('"', "'")
+]
+CANDIDATE = rf"{ASSIGNED}(?:{_QUOTED[0]}|{_QUOTED[1]}|((?:\\*[\"'])?)({_BARE}))|({_DOTTED}|{_RUN})"
+#: What stands before and within the candidate, by groups of ``CANDIDATE``.
+CUT = "$1$2$4$6\x01$3$5$7$8\x01"
+
+FEATURES = ["length", "digits", "upper", "lower", "marks", "changes", "distinct", "hex", "dictionary", "path", "address", "uuid", "prefix", "secret_word", "secret_near", "other_word", "assigned", "other_marks", "spaces", "dots", "vowels", "words"]
+_TREE = re.compile(r"^\s*(?:(If|Else) \(feature (\d+) (<=|>) ([-\d.Ee]+)\)|Predict: ([\d.]+))$")
+
+
 def features(c: Column, left: Column, right: Column) -> Column:
     """Struct of ``FEATURES`` (doubles) of a candidate between two texts."""
     n = F.length(c)
     before, after = F.lower(F.substring(left, -NEAR, NEAR)), F.substring(right, 1, NEAR)
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0"), "[+/_=-]+", "-")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0"), "[^A-Za-z0-9]+", "-")
     known = n - F.length(F.regexp_replace(F.lower(c), f"(?:{_either(DICTIONARY)})", ""))
     has = lambda text, pattern: text.rlike(pattern).cast("double")
     found = {
@@ -74,10 +94,15 @@ def features(c: Column, left: Column, right: Column) -> Column:
         "address": F.greatest(has(after, "^@"), has(before, r"(?:@|https?://|www\.)\S*$")),
         "uuid": has(c, "^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"),
         "prefix": has(c, f"^(?:{_either(KEY_PREFIXES)})"),
-        "secret_word": has(before, rf"(?:{_either(SECRET_WORDS)})[^a-z0-9]{{1,8}}$"),
+        "secret_word": has(before, rf"(?:{_either(SECRET_WORDS)})[0-9_]{{0,4}}[^a-z0-9]{{1,8}}(?:(?:bearer|basic|token)\s+)?$"),
         "secret_near": has(before, rf"(?:{_either(SECRET_WORDS)})"),
         "other_word": has(before, rf"\b(?:{_either(OTHER_CODES)})[^a-z0-9]{{1,8}}$"),
         "assigned": has(before, r"""[=:]\s*["']?$"""),
+        "other_marks": share(r"[^A-Za-z0-9+/_=\s.-]"),
+        "spaces": share(r"\s"),
+        "dots": share(r"\."),
+        "vowels": share("[aeiouAEIOU]"),
+        "words": has(c, r"^(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*+|[A-Z]?[a-z]+(?:[-_/. ]+[A-Z]?[a-z]+)*+|[A-Z]+(?:[-_/.]+[A-Z]+)*+)$"),
     }
     return F.struct(*(found[name].cast("double").alias(name) for name in FEATURES))
 
@@ -86,12 +111,19 @@ def cut_text(text: Column) -> Column:
     """The text in pieces; those at odd places are its candidates."""
     return let(
         F.replace(text, F.lit("\x01"), F.lit(" ")),
-        lambda t: F.when(t.rlike(CANDIDATE), F.split(F.regexp_replace(t, f"({CANDIDATE})", "\x01$1\x01"), "\x01")).otherwise(F.array(t)),
+        lambda t: F.when(t.rlike(CANDIDATE), F.split(F.regexp_replace(t, CANDIDATE, CUT), "\x01")).otherwise(F.array(t)),
     )
 
 
+def around(p: Column, i: Column) -> tuple[Column, Column]:
+    """What stands before and behind piece ``i``, other candidates included: the neighbourhood is not cut at them."""
+    piece = lambda k: F.coalesce(F.get(p, i + k), F.lit(""))
+    near = lambda k: F.substring(piece(k), -NEAR, NEAR) if k < 0 else F.substring(piece(k), 1, NEAR)
+    return F.concat(*(near(k) for k in range(-5, 0))), F.concat(*(near(k) for k in range(1, 6)))
+
+
 def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEED) -> DataFrame:
-    """(text, label): short texts with one candidate each; label 1.0 if it is a secret. As many of either kind."""
+    """(id, text, label, secret): short texts; label 1.0 and the secret if there is one. As many of either kind."""
     i = F.col("id")
     r = lambda salt: F.sha2(F.concat_ws(":", F.lit(seed), F.lit(salt), i), 256)  # noqa: E731  64 hex digits
     n = lambda salt, below: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), i), F.lit(below)).cast("int")
@@ -106,15 +138,30 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
     sign = pick("sign", ["=", ": ", " = ", ' = "', '="', ": '", "='"])
     ends = pick("end", ['"', "'", " ", "\n", ",", ";"])
     safe = lambda c: F.concat(F.lit("a"), c, F.lit("7"))  # noqa: E731  a letter and a digit, whatever the rest
+    none = F.lit("")
+    letters = lambda salt: F.translate(plain(salt), "0123456789", "kRwZmTqLxG")
+    odd = lambda salt: pick(salt, list("@!#$%&*?^~"))
+    part = lambda salt, least, more: F.substring(F.translate(base64(salt), "+/", "-_"), 1, F.lit(least) + n(f"{salt}l", more))
+    quoted = pick("quoted", [' = "', '="', ': "'])
+    # what stands before the secret, the secret, what stands behind
     secrets = [
-        F.concat(secret_word, sign, F.substring(r("a"), 1, 16 + n("al", 4) * 2), ends),
-        F.concat(secret_word, sign, F.substring(r("b"), 1, 40), ends),
-        F.concat(secret_word, sign, F.substring(safe(plain("c")), 1, 14 + n("cl", 30)), ends),
-        F.concat(secret_word, sign, safe(base64("d")), ends),
-        F.concat(pick("e", ["", "key ", "aws ", 'id = "', "access_key_id: "]), F.lit("AKIA"), F.substring(upper32("e1"), 1, 15), F.lit("7"), ends),
-        F.concat(pick("f", ["", "token ", 'export X="', "use "]), pick("fp", ["ghp_", "gho_", "glpat-", "npm_", "sk-", "sk_live_", "xoxb-", "AIza"]), F.substring(safe(plain("f1")), 1, 30), F.lit("7"), ends),
-        F.concat(F.lit("Authorization: Bearer eyJ"), plain("g"), F.lit("0"), ends),
-        F.concat(secret_word, F.lit(" is "), F.substring(safe(plain("h")), 1, 20), F.lit("9 "), word("h2")),
+        (F.concat(secret_word, sign), F.substring(r("a"), 1, 16 + n("al", 4) * 2), ends),
+        (F.concat(secret_word, sign), F.substring(r("b"), 1, 40), ends),
+        (F.concat(secret_word, sign), F.substring(safe(plain("c")), 1, 14 + n("cl", 30)), ends),
+        (F.concat(secret_word, sign), safe(base64("d")), ends),
+        (pick("e", ["", "key ", "aws ", 'id = "', "access_key_id: "]), F.concat(F.lit("AKIA"), F.substring(upper32("e1"), 1, 16)), ends),
+        (pick("e2", ["", "key ", "aws ", 'id = "', "access_key_id: "]), F.concat(pick("e3", ["AKIA", "ASIA"]), F.translate(F.substring(upper32("e4"), 1, 16), "23456789", "GHKMNPRT")), ends),
+        (pick("f", ["", "token ", 'export X="', "use "]), F.concat(pick("fp", ["ghp_", "gho_", "glpat-", "npm_", "sk-", "sk_live_", "xoxb-", "AIza"]), F.substring(safe(plain("f1")), 1, 30), F.lit("7")), ends),
+        (pick("f2", ["", "token ", 'export X="', "use "]), F.concat(pick("fq", ["ghp_", "gho_", "glpat-", "npm_", "sk_live_", "AIza"]), F.substring(letters("f3"), 1, 30)), ends),
+        (F.lit("Authorization: Bearer "), F.concat(F.lit("eyJ"), plain("g"), F.lit("0")), ends),
+        (pick("g1", ["Authorization: Bearer ", "", "token=", 'jwt = "', "use "]), F.concat(F.lit("eyJ"), part("g2", 17, 20), F.lit("."), F.lit("eyJ"), part("g3", 12, 28), F.lit("."), part("g4", 30, 12)), ends),
+        (F.concat(secret_word, F.lit(" is ")), F.concat(F.substring(safe(plain("h")), 1, 20), F.lit("9")), F.concat(F.lit(" "), word("h2"))),
+        (F.concat(secret_word, sign), F.concat(F.when(n("u0", 3) == 0, F.initcap(word("u"))).otherwise(word("u")), n("u1", 999).cast("string"), pick("u2", ["abc", "xy", "q", "Zz", ""])), ends),
+        (F.concat(secret_word, sign), F.concat(F.substring(word("z"), 1, 5 + n("z0", 4)), n("z1", 99).cast("string"), F.substring(letters("z2"), 1, n("z3", 4))), ends),
+        (F.concat(secret_word, sign), F.concat(pick("v", ["Tr", "hu", "mo", "Be", "xK", "Su"]), n("v1", 99).cast("string"), F.substring(word("v2"), 1, 3), odd("v3"), n("v4", 9999).cast("string"), pick("v5", ["", "!", "#"])), ends),
+        (F.concat(secret_word, sign), F.concat(F.substring(letters("w"), 1, 4 + n("w1", 8)), odd("w2"), F.substring(letters("w3"), 1, 3)), ends),
+        (F.concat(secret_word, sign), F.substring(letters("x"), 1, 12 + n("x1", 20)), ends),
+        (F.concat(secret_word, quoted), F.concat(F.initcap(word("y")), F.lit(" "), n("y1", 999).cast("string"), odd("y2"), F.lit(" "), word("y3"), odd("y4")), F.lit('"')),
     ]
     others = [
         F.concat(pick("i", ["commit ", "sha1: ", "revision ", "md5 = ", "checksum: ", "etag: ", "sha256=", "build ", "hash "]), F.substring(r("i1"), 1, F.element_at(F.array(F.lit(40), F.lit(32), F.lit(64), F.lit(16)), n("il", 4) + 1)), ends),
@@ -127,19 +174,35 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
         F.concat(word("q"), F.lit("_"), word("q1"), F.lit("_0"), n("q2", 99).cast("string"), F.lit("@mail.example.com "), word("q3")),
         F.concat(word("r"), word("r1"), word("r2"), n("r3", 99).cast("string"), F.lit("a "), word("r4")),
         F.concat(F.lit("20240"), n("s", 9).cast("string"), F.lit("11T0"), n("s1", 99999).cast("string"), F.lit("Z-"), word("s2"), F.lit(" ")),
+        F.concat(word("A"), word("A1"), word("A2"), word("A3"), F.lit(" ")),
+        F.upper(F.concat(words("J"), F.lit("!! "), word("J1"), word("J2"), word("J3"), pick("J4", [" ", "!! ", ". ", ",!! "]), words("J5"))),
+        F.upper(F.concat(words("K"), F.lit(" "), pick("K0", ["th", "sch", "er", "wh"]), word("K1"), pick("K3", ["sch", "th", "st", "ng"]), word("K2"), pick("K4", [" ", "!! ", ". ", ",!! "]), words("K5"))),
+        F.concat(F.initcap(word("B")), pick("B1", ["-", "/", "_", "", "."]), F.initcap(word("B2")), pick("B3", ["-", "/", "_", ""]), word("B4"), ends),
+        F.concat(F.lower(word("C")), F.initcap(word("C1")), F.initcap(word("C2")), pick("C3", ["(", "=", " ", "."]), F.lit(" ")),
+        F.concat(F.upper(word("D")), F.lit("_"), F.upper(word("D1")), F.lit("_"), F.upper(word("D2")), pick("D3", ["=", " ", ": "])),
+        F.concat(secret_word, sign, word("E"), pick("E1", ["", ",", "."]), F.lit(" "), word("E2"), ends),
+        F.concat(secret_word, quoted, word("F"), F.lit(" "), word("F1"), F.lit(" "), word("F2"), F.lit('"')),
+        F.concat(secret_word, sign, pick("G", ["os.environ", "process.env.PASSWORD", "getpass()", "get_token()", "required", "optional", "string", "undefined", "config.secret", "settings.TOKEN", "self.password", "********", "<password>", "${PASSWORD}", "$PASSWORD", "{{ token }}", "%(password)s", "YOUR_API_KEY", "input()"]), ends),
+        F.concat(word("H"), F.lit("."), word("H1"), pick("H2", [".example ", ".module ", "() ", " "]), word("H3")),
+        F.concat(F.lit("release-"), n("I", 9).cast("string"), F.lit(".example."), word("I1"), F.lit(" ")),
         F.concat(pick("t", ["order ", "invoice ", "tracking ", "ticket ", "isbn ", "serial "]), F.upper(F.substring(r("t1"), 1, 12)), F.lit("A1 "), word("t2")),
     ]
+    secrets = [F.struct(a.alias("before"), b.alias("secret"), c.alias("after")) for a, b, c in secrets]
+    others = [F.struct(x.alias("before"), F.lit(None).cast("string").alias("secret"), none.alias("after")) for x in others]
     choose = lambda kinds, salt: F.element_at(F.array(*kinds), n(salt, len(kinds)) + 1)
     is_secret = n("label", 2) == 1
     body = F.when(is_secret, choose(secrets, "kind")).otherwise(choose(others, "kind2"))
-    text = F.concat(words("left"), F.lit(" "), body, F.lit(" "), words("right"))
-    return spark.range(0, rows, 1, 1).select("id", text.alias("text"), is_secret.cast("double").alias("label"))
+    text = F.concat(words("left"), F.lit(" "), F.col("b.before"), F.coalesce("b.secret", none), F.col("b.after"), F.lit(" "), words("right"))
+    rows = spark.range(0, rows, 1, 1).withColumn("b", body)
+    return rows.select("id", text.alias("text"), is_secret.cast("double").alias("label"), F.col("b.secret").alias("secret"))
 
 
 def finding_features(findings: DataFrame) -> DataFrame:
-    """(id, label, x): features of the first candidate of each labelled finding."""
+    """(id, label, x): features of every candidate of the labelled findings; label 1.0 for those that are the secret."""
     pieces = findings.withColumn("p", cut_text(F.col("text"))).filter(F.size("p") > 1)
-    return pieces.select("id", "label", features(F.col("p")[1], F.col("p")[0], F.col("p")[2]).alias("x"))
+    places = pieces.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2))))
+    mine = F.coalesce(F.col("p")[F.col("i")].contains(F.col("secret")), F.lit(False)).cast("double")
+    return places.select("id", mine.alias("label"), features(F.col("p")[F.col("i")], *around(F.col("p"), F.col("i"))).alias("x"))
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[list]:
@@ -147,12 +210,14 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, se
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = finding_features(findings).select("label", "x.*")
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features").persist()
+    findings = findings.select("id", "text", "secret").persist()  # so that templates aren't repeated in every feature
+    rows = finding_features(findings).persist()
     try:
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(rows)
+        given = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.select("label", "x.*"))
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(given.select("label", "features"))
     finally:
         rows.unpersist()
+        findings.unpersist()
     return [_tree(iter(tree.toDebugString.splitlines()[1:])) for tree in forest.trees]
 
 
@@ -189,7 +254,7 @@ def with_votes(text: Column, forest: list[list], body: Callable[[Column, Column]
 
     def judge(p: Column) -> Column:
         places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(2)) - 1), lambda i: (i % 2 == 1) & (i < F.size(p)))
-        return let(F.transform(places, lambda i: let(features(p[i], p[i - 1], p[i + 1]), lambda x: votes(forest, x))), lambda v: body(p, v))
+        return let(F.transform(places, lambda i: let(features(p[i], *around(p, i)), lambda x: votes(forest, x))), lambda v: body(p, v))
 
     return let(cut_text(text), judge)
 
