@@ -7,6 +7,9 @@ that level. A host is blocked when the lower bound of its posterior rate of bad
 
 A host with few labels so inherits what is known of its domain, and a host without labels can still be judged.
 
+Suffixes of two labels are known from a fixed table (``SUFFIXES``), ports are not part of a domain, and an address is
+its own domain and suffix.
+
 Edge cases: a null url, or one without ``://``, has an empty host and path and is allowed; labels without a page or
 with null outcomes count as not bad; several labels of a page count once, as bad if any is; repeated pages each
 count and each get a row; with no labels at all every page that no rule names is allowed; an empty table gives an
@@ -25,6 +28,20 @@ MAX_BAD, BOUND_SD = 0.5, 1.645
 #: Least and greatest prior strength, in pages.
 LEAST_STRENGTH, GREATEST_STRENGTH = 2.0, 1000.0
 
+#: Public suffixes of two labels, as second labels by country; any other suffix is the last label.
+SUFFIXES = {
+    "uk": "co org me ltd plc net sch ac gov nhs police", "au": "com net org edu gov asn id", "nz": "co net org govt ac school geek gen maori iwi cri health mil",
+    "br": "com net org gov edu art blog eco ind inf adv eng med mil tv wiki", "jp": "co ne or ac ad ed go gr lg", "kr": "co ne or re pe go ac hs ms es sc",
+    "in": "co net org gen firm ind ac edu res gov nic mil", "id": "co or net web ac sch go mil my desa", "il": "co org net ac gov k12 muni idf", "za": "co org net web ac gov law edu nom school",
+    "cn": "com net org gov edu ac mil", "tw": "com net org gov edu idv game club ebiz mil", "hk": "com net org gov edu idv", "sg": "com net org gov edu per", "my": "com net org gov edu mil name",
+    "th": "co or net ac go in mi", "ph": "com net org gov edu mil ngo", "vn": "com net org gov edu ac info name pro health biz int", "pk": "com net org gov edu fam biz web", "bd": "com net org gov edu ac mil",
+    "tr": "com net org gov edu bel biz info name web gen tv av dr k12 tel bbs pol mil", "mx": "com net org gob edu", "ar": "com net org gob edu int mil tur", "co": "com net org gov edu nom mil", "pe": "com net org gob edu nom mil",
+    "ve": "com net org gob edu co info web", "ec": "com net org gob edu fin info med pro", "uy": "com net org gub edu mil", "ua": "com net org gov edu in kiev kyiv lviv odessa", "pl": "com net org gov edu info biz waw",
+    "gr": "com net org gov edu", "cy": "com net org gov ac biz ltd", "es": "com nom org gob edu", "pt": "com net org gov edu int nome publ", "fr": "com asso nom prd tm gouv", "hu": "co org info", "at": "co or ac gv",
+    "ru": "com net org msk spb", "ke": "co or ne go ac sc me mobi info", "ng": "com net org gov edu name sch mobi mil i", "gh": "com org gov edu mil", "eg": "com net org gov edu eun mil name sci", "ma": "co net org gov ac press",
+    "sa": "com net org gov edu med pub sch", "ae": "co net org gov ac sch mil", "cr": "co or fi go ac ed sa", "tz": "co or ne go ac sc me info", "ug": "co or ne go ac sc com org", "zw": "co org ac gov mil", "lk": "com net org gov edu ac", "np": "com net org gov edu mil",
+}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -37,13 +54,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
+_SECOND = "|".join(f"(?:{'|'.join(second.split())})[.]{country}" for country, second in SUFFIXES.items())
+_ADDRESS = r"^(?:[0-9]{1,3}(?:[.][0-9]{1,3}){3}|\[.*\])$"
+
+
+def _name(host: Column) -> Column:
+    """The host without user, port and the dot of the root."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), ":[0-9]*$", ""), "[.]$", "")
+
+
 def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+    """Registered domain: the public suffix and one label more; an address is its own domain."""
+    name = _name(host)
+    labels = F.when(name.rlike(rf"[.](?:{_SECOND})$"), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return F.when(name.rlike(_ADDRESS), name).otherwise(labels)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """Public suffix, the longest that is known (``SUFFIXES``); that of an address is itself."""
+    name = _name(host)
+    labels = F.when(name.rlike(rf"(?:^|[.])(?:{_SECOND})$"), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return F.when(name.rlike(_ADDRESS), name).otherwise(labels)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
