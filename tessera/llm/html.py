@@ -1,68 +1,107 @@
 """Operator 3, HTML extraction by the distribution of text over line blocks.
 
 A page becomes lines, one for each block of its markup (paragraph, heading, list item, table cell, ...), in page
-order. A line weighs its characters outside links; lines of a menu, header, footer, sidebar, notice, advert, form or
-comment section are set aside, and so is every line outside the article where the page marks one. Weights are summed
-over sliding windows of lines. Text surges where a window reaches the threshold and dives where a window has
-nothing left; what lies between the two is kept. Where the page marks its article the threshold is one character, so
-that no short paragraph is lost.
-
-Edge cases: a null or empty page gives an empty text; markup that ends in mid-tag loses that tag, unclosed elements
-end with what holds them or with the page; repeated rows are each extracted; an empty table gives an empty result;
-columns other than page_id, url and html are not carried. A page is handled whole within a task, never a prefix.
+order. What stands in a menu, footer, sidebar, notice, advert, script, comment section or the like makes no line; it is
+told by its element, or by a class or id that is nothing but such words. A line weighs its characters outside links,
+times a factor for where it stands (``WEIGHTS``): markup is an input to the distribution, which then decides on every page.
+
+Weights are summed over sliding windows of lines. Text surges where a window reaches ``SURGE`` of the page's fullest
+one, and dives where a window has nothing: a menu of links, whatever holds it. What lies between dives and surges
+somewhere is kept. Two corrections follow. Of an article that surges, all lines between dives stay, however short.
+Where the page marks none, a run is cut back to its heavy lines and then extended over adjoining headings and short
+paragraphs beside them.
+
+Edge cases: a null or empty page gives an empty text; markup is read as browsers do: a tag or quote that the page ends
+in takes the rest with it, elements end with what holds them; repeated rows are each extracted; an empty table gives
+an empty result; columns other than page_id, url and html are not carried. A page is handled whole within a task, never
+a prefix, in time linear in its length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window; characters that a window must reach in a page that marks no article.
-WINDOW, SURGE = 3, 80
+#: Lines on each side of the one that a window is centred on; share of the page's fullest window at which text surges.
+REACH, SURGE = 2, 0.2
+#: What a character counts in an article, in the main part of the page, elsewhere; and in a form, times that.
+WEIGHTS, FORM_WEIGHT = {"article": 10.0, "main": 3.0, None: 1.0}, 0.01
 
 # Elements by their use in HTML.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCKS = set(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+BLOCKS = HEADINGS | set(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td template tfoot th thead tr ul".split()
 )
-NEVER = {"head", "nav", "aside", "form", "footer", "menu", "dialog", "search", "noscript", "template", "svg", "math", "object", "canvas", "audio", "video", "select", "button", "datalist"}
+TEXTUAL = {"p", "blockquote", "pre", "figcaption", "caption", "dd", "dt", "li", "td", "th", "address"}
+IN_LISTS = {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "ul", "ol", "dl", "table"}
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
+NEVER = {"head", "nav", "aside", "footer", "menu", "dialog", "search", "noscript", "template", "svg", "canvas", "audio", "video", "select", "button", "datalist"}
 ARTICLE = {"article", "main"}
-UNMARKED = {"html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words in a class or id, and roles, that mark what isn't the article.
+UNMARKED = {"html", "body", "main"} | HEADINGS
+#: An element that starts ends those open ones (left) that no other (right) holds.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
+    "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "a": ({"a"}, {"td", "th", "caption", "object"}),
+}
+SCOPE = {"button", "caption", "object", "table", "td", "th", "template"}
+#: Words that mark what isn't the article, wherever they stand; those that do so outside of an article only; words
+#: that may stand beside either in a class or id; and beside the former only.
 OTHER_WORDS = set(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promoted promotion sidebar sidebars "
-    "menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer colophon cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login comment comments commentlist respond replies reply discussion disqus share sharing social related "
-    "recommended recommendations widget widgets toolbar pagination pager search form".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promoted promotion promotions sidebar sidebars "
+    "menu menus nav navbar navigation breadcrumb breadcrumbs footer colophon cookie cookies consent gdpr notice notices popup newsletter subscribe subscription signup login "
+    "comment comments commentlist disqus share sharing related recommended recommendations pagination pager".split()
+)
+OUTER_WORDS = set("banner header masthead topbar alert modal overlay discussion respond replies reply social widget widgets toolbar search form".split())
+BESIDE = set(
+    "site page main top bottom left right center side head upper lower global primary secondary mobile desktop sticky fixed floating list lists box boxes section block blocks container wrapper wrap inner outer "
+    "bar bars area item items link links button buttons icon icons unit units slot slots zone row column col panel card cards group holder body content text title author meta count counter date thread tree "
+    "posts articles stories news pages products media policy message messages warning info us you may like more also this by to and your email the in up id js".split()
 )
+BESIDE_MARKED = {"post", "article", "entry", "blog", "story", "user", "reader", "readers"}
 OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "note"}
-COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "replies", "reply", "discussion", "disqus"}
-#: Words that say of a holder what it has or lacks, as in ``has-sidebar``.
-SAYS_OF_HOLDER = {"has", "no", "with", "without"}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.DOTALL)
-MAY_MARK = re.compile("class|id|role", re.IGNORECASE)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-WORD = re.compile(r"[a-z]+")
+TAG = re.compile(
+    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?)*+)(>|\Z)""",
+    re.DOTALL,
+)
+MAY_MARK = re.compile("class|id|role|style", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 @dataclass
 class Line:
     text: str
     weight: int  # characters outside links
-    other: bool  # of a menu, header, ...
-    article: int  # number of the article that holds it; 0: none
+    tag: str = ""  # the block that it stands in
+    parent: int = 0  # number of the element that holds that block, or the list or table that does
+    article: int = 0  # number of the article or main part that holds it; 0: none
+    within: str | None = None  # that element
+    form: bool = False
+
+
+def names_other(name: str, in_article: bool) -> bool:
+    """Whether a class or id says nothing but that it is a menu, header, advert, ...: ``related-posts``, not ``related-work``."""
+    words = {w.lower() for w in NAME_WORD.findall(name)}
+    if words & OTHER_WORDS and words <= OTHER_WORDS | OUTER_WORDS | BESIDE | BESIDE_MARKED:
+        return True
+    return not in_article and bool(words & OUTER_WORDS) and words <= OUTER_WORDS | BESIDE
 
 
 def marked_other(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment section.
+    """Whether an element is a menu, header, footer, sidebar, notice, advert or comment section, or not shown.
 
     Only attributes of these very names count, not others' names or values (``data-id``, ``title="Hidden lakes"``).
     Within an article a header is its own: it holds the title.
@@ -71,114 +110,227 @@ def marked_other(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if tag in UNMARKED or not MAY_MARK.search(attributes):
         return False
-    other = COMMENT_WORDS if tag == "article" else OTHER_WORDS - {"header"} if in_article else OTHER_WORDS
     for name, *values in ATTRIBUTE.findall(attributes):
-        value, name = "".join(values).lower(), name.lower()
+        value, name = "".join(values), name.lower()
         if name in ("class", "id"):
-            if any(words & other and not words & SAYS_OF_HOLDER for words in (set(WORD.findall(x)) for x in value.split())):
+            if any(names_other(x, in_article) for x in value.split()):
                 return True
-        elif (name == "role" and set(value.split()) & OTHER_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
+        elif (name == "role" and set(value.lower().split()) & OTHER_ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and UNSEEN.search(value)):
             return True
     return False
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page's blocks with text, in order."""
-    lines: list[Line] = []
-    text: list[str] = []
-    weight = articles = links = at = 0
-    stack: list[tuple[str, bool, int, int]] = []  # open elements that change what holds text: tag, other before, article before, links before
-    other, article = False, 0
-
-    def end_block() -> None:
-        nonlocal weight
-        whole = " ".join(unescape("".join(text)).split())
+@dataclass(eq=False)
+class _Open:
+    """An open element: what it adds to the state while it is open."""
+
+    tag: str
+    number: int
+    other: bool = False
+    link: bool = False
+    article: bool = False
+
+
+@dataclass
+class _Reader:
+    """The state of a page that is read from start to end."""
+
+    lines: list[Line] = field(default_factory=list)
+    stack: list[_Open | None] = field(default_factory=list)  # None: ended before what it holds
+    places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))  # of each tag's open elements in the stack
+    blocks: list[_Open] = field(default_factory=list)
+    articles: list[_Open] = field(default_factory=list)
+    others: int = 0
+    links: int = 0
+    number: int = 0
+    text: list[str] = field(default_factory=list)
+    weight: int = 0
+    at: tuple = ()  # what the block's first text stands in
+
+    def add(self, text: str) -> None:
+        if self.others or not text:
+            return
+        text = unescape(text) if "&" in text else text
+        if not self.at and not text.isspace():
+            article = self.articles[-1] if self.articles else None
+            block, holder = self.blocks[-1] if self.blocks else None, 0
+            for up in reversed(self.blocks[-9:-1]):
+                holder = up.number
+                if up.tag not in IN_LISTS or block.tag not in IN_LISTS:
+                    break
+            self.at = (block.tag if block else "", holder, article.number if article else 0, article.tag if article else None, bool(self.places["form"]) and self.form_holds())
+        self.text.append(text)
+        if not self.links:
+            self.weight += len(text.strip())
+
+    def form_holds(self) -> bool:
+        """Whether the innermost form is within the innermost article, if there is one."""
+        inner = [self.places[tag][-1] for tag in ARTICLE if self.places[tag]]
+        return self.places["form"][-1] > max(inner, default=-1)
+
+    def end_block(self) -> None:
+        if self.others:
+            return
+        whole = " ".join("".join(self.text).split())
         if whole:
-            lines.append(Line(whole, weight, other, article))
-        text.clear()
-        weight = 0
+            self.lines.append(Line(whole, self.weight, *self.at))
+        self.text, self.weight, self.at = [], 0, ()
+
+    def last(self, tags: set[str]) -> int:
+        """The place of the innermost open element of some tags; -1: none."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
+
+    def end(self, place: int) -> None:
+        """Ends the element at a place of the stack."""
+        x = self.stack[place]
+        self.stack[place] = None
+        of = self.places[x.tag]
+        if of[-1] == place:
+            of.pop()
+        else:
+            of.remove(place)
+        self.others -= x.other
+        self.links -= x.link
+        for held in (self.articles if x.article else None, self.blocks if x.tag in BLOCKS else None):
+            if held:
+                held.pop() if held[-1] is x else held.remove(x)
+        while self.stack and self.stack[-1] is None:
+            self.stack.pop()
+
+    def end_from(self, place: int) -> None:
+        """Ends an element with all that it holds."""
+        block = False
+        while len(self.stack) > place:
+            x = self.stack[-1]
+            if x.tag in BLOCKS and not block:
+                block = True
+                self.end_block()
+            self.end(len(self.stack) - 1)
+        if block:
+            self.end_block()
+
+    def start_tag(self, tag: str, attributes: str) -> None:
+        block = tag in BLOCKS
+        if self.places["head"] and tag not in IN_HEAD:
+            self.end_from(self.places["head"][-1])
+        if tag in ENDS:
+            ended, held = ENDS[tag]
+            if (place := self.last(ended)) > self.last(held):
+                self.end_from(place)
+        if block and tag != "option" and (place := self.last({"p"})) > self.last(SCOPE):
+            self.end_from(place)
+        if block:
+            self.end_block()
+        elif tag == "br":
+            self.add(" ")
+        if tag in VOID or attributes.endswith("/") and (tag == "svg" or self.places["svg"]):
+            return
+        self.number += 1
+        inside = bool(self.articles)
+        x = _Open(tag, self.number, other=marked_other(tag, attributes, inside))
+        x.link = tag == "a" and "href" in attributes.lower()
+        x.article = tag in ARTICLE and not x.other and not self.others and (tag == "article" or not inside)
+        self.others += x.other
+        self.links += x.link
+        if x.article:
+            self.articles.append(x)
+        if block:
+            self.blocks.append(x)
+        self.places[tag].append(len(self.stack))
+        self.stack.append(x)
+
+    def end_tag(self, tag: str) -> None:
+        if not self.places[tag]:
+            if tag in BLOCKS:
+                self.end_block()
+            return
+        place = self.places[tag][-1]
+        if tag in BLOCKS or not self.blocks or self.last({self.blocks[-1].tag}) < place:
+            self.end_from(place)
+        else:  # an inline element that ends before the blocks within it
+            self.end(place)
 
-    def add(piece: str) -> None:
-        nonlocal weight
-        text.append(piece)
-        if not links:
-            weight += len(piece.strip())
 
+def lines_of(page: str) -> list[Line]:
+    """The page's blocks with text, in order."""
+    reader, at = _Reader(), 0
     while m := TAG.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
+        reader.add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        block = tag in BLOCKS
+        if not m[4]:  # the page ends within the tag
+            break
         if m[1]:
-            if block:
-                end_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    _, other, article, links = stack[i]
-                    del stack[i:]
-                    break
-            continue
-        if tag in RAW:
-            if tag != "title":
-                end_block()
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title"):
-                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = close.end() if close else len(page)
-            continue
-        if block:
-            end_block()
-        elif tag == "br":
-            text.append(" ")
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        if tag == "body":  # ends a head that was left open
-            stack.clear()
-            other, article, links = False, 0, 0
-        elif tag == "a":
-            stack.append((tag, other, article, links))
-            links = 1
-        elif tag in ARTICLE or marked_other(tag, m[3], article > 0):
-            stack.append((tag, other, article, links))
-            if marked_other(tag, m[3], article > 0):
-                other = True
-            elif not article:
-                articles += 1
-                article = articles
-        elif any(open_tag == tag for open_tag, *_ in stack):
-            stack.append((tag, other, article, links))  # so that its end doesn't end the outer one
-    rest = page[at:]
-    cut = re.search(r"<[a-zA-Z/!?]", rest)
-    add(rest[: cut.start()] if cut else rest)
-    end_block()
-    return lines
-
-
-def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[Line]:
-    """The lines between the surge and dive points of the text's distribution.
-
-    Lines marked as not of the article have no place in the windows. Where no window reaches ``surge``, the
-    heaviest one counts as one.
-    """
-    lines = [x for x in lines if not x.other]
-    if marked := any(x.article for x in lines):
-        lines, surge = [x for x in lines if x.article], 1
-    weights = [max(x.weight, int(marked)) for x in lines]
-    sums, total = [], sum(weights[:window])
-    for i in range(len(lines)):
-        sums.append(total)
-        total += (weights[i + window] if i + window < len(lines) else 0) - weights[i]
-    least, kept, i = max(min(surge, max(sums, default=0)), 1), [], 0
-    while i < len(lines):
-        if sums[i] < least:
+            reader.end_tag(tag)
+        elif tag in RAW:
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
+            at = close.end() if close else len(page)
+        else:
+            reader.start_tag(tag, m[3])
+    else:
+        reader.add(page[at:])
+    reader.end_from(0)
+    reader.end_block()
+    return reader.lines
+
+
+def _runs(lines: list[Line], sums: list[float], least: float, whole: bool) -> Iterator[tuple[int, int]]:
+    """(start, end) of what lies between dives and surges, without the links beside a dive; ``whole``: surges or not."""
+    i, n = 0, len(lines)
+    while i < n:
+        if not sums[i]:
             i += 1
             continue
         start = i
-        while i < len(lines) and sums[i]:
+        while i < n and sums[i]:
             i += 1
-        kept += lines[start:i]
+        end = i
+        if whole or max(sums[start:end]) >= least:
+            while start and not lines[start].weight:
+                start += 1
+            while end < n and not lines[end - 1].weight:
+                end -= 1
+            yield start, end
+
+
+def _extended(lines: list[Line], start: int, end: int, heavy: float) -> tuple[int, int]:
+    """A run of a page that marks no article: from its heavy lines over what adjoins and stands beside them."""
+    core = [i for i in range(start, end) if lines[i].weight >= heavy]
+    beside, tags = {lines[i].parent for i in core}, {lines[i].tag for i in core} | TEXTUAL
+    a, b = core[0], core[-1] + 1
+    while b < end and lines[b].tag not in HEADINGS and lines[b].tag in tags and lines[b].parent in beside:
+        b += 1
+    while a > start and lines[a].tag != "h1":
+        x = lines[a - 1]
+        if x.tag not in HEADINGS and (x.tag in IN_LISTS or x.tag not in tags or x.parent not in beside):
+            break
+        a -= 1
+    return a, b
+
+
+def main_lines(lines: list[Line], reach: int = REACH, surge: float = SURGE) -> list[Line]:
+    """The lines between the surge and dive points of the text's distribution, corrected by the articles marked."""
+    parts = [list(part) for _, part in groupby(lines, lambda x: (x.article, x.form))]
+    all_sums = []
+    for part in parts:
+        factor = WEIGHTS[part[0].within] * (FORM_WEIGHT if part[0].form else 1)
+        upto = [0.0, *accumulate(x.weight * factor for x in part)]
+        all_sums.append([upto[min(i + reach + 1, len(part))] - upto[max(i - reach, 0)] for i in range(len(part))])
+    least = max(max((max(s) for s in all_sums), default=0) * surge, 1e-9)
+    surged = {part[0].article for part, s in zip(parts, all_sums, strict=True) if part[0].article and not part[0].form and max(s) >= least}
+    kept: list[Line] = []
+    for k, (part, sums) in enumerate(zip(parts, all_sums, strict=True)):
+        marked = part[0].article in surged and not part[0].form
+        for start, end in _runs(part, sums, least, marked):
+            if not marked:
+                start, end = _extended(part, start, end, min(least / WEIGHTS[part[0].within] / (2 * reach + 1), max(x.weight for x in part[start:end])))
+            elif not start and k and not any(x.tag in ("h1", "h2") for x in part):  # its title stands before it
+                title = parts[k - 1][-1]
+                if title.tag in ("h1", "h2") and not title.form and (not kept or kept[-1] is not title):
+                    kept.append(title)
+            kept += part[start:end]
     return kept
 
 
