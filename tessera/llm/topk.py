@@ -11,16 +11,22 @@ of its partial scores over the segments, each of which is a list of its own, hel
    that no list gave, bound it from above; the fully known scores raise the cutoff.
 3. Classes whose bound reaches the cutoff get their missing partial scores, and the best are taken.
 
-Queries go in blocks against blocks of all classes. Nothing but counts reaches the driver.
+Blocks of classes stay where they are: blocks of queries are broadcast to them, as many at a time as have
+``CHUNK_BLOCKS`` blocks and ``CHUNK_BYTES`` bytes at most, and the phases are run for these; then for the next ones.
+Vectors are shuffled to find equal ones and to form blocks, and once more for each such chunk in phase 3, never for each
+block of queries. Nothing but counts reaches the driver.
 
 Edge cases: vectors that are null, or hold nulls, NaN or infinities, and rows without an id take no part, neither as
 query nor as candidate; vectors are compared only with those of the same length; equal scores go by smaller id; of
-repeated ids each row is a candidate and each query row gets its own answer, leaving out one row with its own id; an empty table gives an empty result; other columns are not carried.
+repeated ids each row is a candidate and each query row gets its own answer, leaving out one row with its own id; an
+empty table gives an empty result; other columns are not carried. Components so large that scores may need more than 64
+bits raise a ValueError before anything is compared.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,8 @@ from .common import stored
 
 #: Segments that a vector is cut into; bits of a block's size in classes; the same for queries.
 LISTS, BLOCK_BITS, QUERY_BITS = 2, 11, 10
+#: Blocks of queries, and bytes of their components, that are broadcast at a time at most.
+CHUNK_BLOCKS, CHUNK_BYTES = 64, 32 << 20
 SCALE = 256
 
 
@@ -92,35 +100,45 @@ def _matrix(row: dict, flat: str, ids: str) -> np.ndarray:
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of all rows of q with all rows of c."""
+    """Exact inner products of all rows of q with all rows of c, which fit in 64 bits (``_check_size``)."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if most < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T if most < 2**63 else (q.astype(object) @ c.astype(object).T)
+    return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if most < 2**53 else q @ c.T
 
 
-def _only(table: pa.Table) -> dict:
-    return {name: table.column(name).combine_chunks()[0].values.to_numpy(zero_copy_only=False) if pa.types.is_list(table.schema.field(name).type) else table.column(name)[0].as_py() for name in table.column_names}
+def _check_size(classes: DataFrame, lists: int) -> None:
+    """Raises if a score, or one times ``lists``, may need more than 62 bits."""
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    most = classes.agg(F.max(largest * largest * F.col("dim")).alias("most")).first()["most"] or 0
+    if most * lists >= 2**62:
+        raise ValueError("components are so large that their inner products may need more than 64 bits")
+
+
+def _rows(batches, of):
+    """``of`` (a dict of one row, arrays as NumPy's) for each row of some batches."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            yield of({n: one.column(n)[0].values.to_numpy(zero_copy_only=False) if pa.types.is_list(one.schema.field(n).type) else one.column(n)[0].as_py() for n in one.schema.names})
 
 
 def _best_partials(keep: int):
-    def best(table: pa.Table) -> pa.Table:
-        row = _only(table)
+    def best(row: dict) -> pa.RecordBatch:
         part = products(_matrix(row, "qflat", "qgids"), _matrix(row, "flat", "gids"))
         k = min(keep, part.shape[1])
         top = np.argpartition(-part, k - 1, axis=1)[:, :k]
-        return pa.table({"qgid": np.repeat(row["qgids"], k), "seg": np.full(top.size, row["seg"], np.int32), "gid": row["gids"][top].ravel(), "part": np.take_along_axis(part, top, 1).ravel().astype(np.int64)})
+        columns = {"qgid": np.repeat(row["qgids"], k), "seg": np.full(top.size, row["seg"], np.int32), "gid": row["gids"][top].ravel(), "part": np.take_along_axis(part, top, 1).ravel().astype(np.int64)}
+        return pa.RecordBatch.from_pydict(columns)
 
     return best
 
 
 def _entries(parts: int):
-    def entries(table: pa.Table) -> pa.Table:
-        row = _only(table)
+    def entries(row: dict) -> pa.RecordBatch:
         part = products(_matrix(row, "qflat", "qgids"), _matrix(row, "flat", "gids"))
         qi, ci = np.nonzero(part * parts >= row["cutoffs"][:, None])
         one = lambda x: pa.array([x], pa.list_(pa.from_numpy_dtype(x.dtype)))
-        return pa.table({"qb": pa.array([row["qb"]], pa.int64()), "cb": pa.array([row["cb"]], pa.int64()), "dim": pa.array([row["dim"]], pa.int32()), "seg": pa.array([row["seg"]], pa.int32()), "qi": one(qi.astype(np.int32)), "ci": one(ci.astype(np.int32)), "part": one(part[qi, ci].astype(np.int64))})
+        columns = {"qb": pa.array([row["qb"]], pa.int64()), "cb": pa.array([row["cb"]], pa.int64()), "dim": pa.array([row["dim"]], pa.int32()), "seg": pa.array([row["seg"]], pa.int32()), "qi": one(qi.astype(np.int32)), "ci": one(ci.astype(np.int32)), "part": one(part[qi, ci].astype(np.int64))}
+        return pa.RecordBatch.from_pydict(columns)
 
     return entries
 
@@ -153,26 +171,35 @@ def _raised(keep: int, parts: int):
     return raised
 
 
-def _resolved(keep: int, parts: int):
-    """Exact scores of the entries of a pair of blocks whose bound reaches the cutoff: each query's best classes."""
+def _reaching(parts: int):
+    """Entries of a pair of blocks whose bound reaches the cutoff, as (qi, ci) lists."""
+
+    def reaching(table: pa.Table) -> pa.Table:
+        q, c, known, seen = _gathered(table)
+        cutoffs, raised = (table.column(n)[0].values.to_numpy(zero_copy_only=False) for n in ("cutoffs", "raised"))
+        reach = parts * known + (parts - seen) * cutoffs[q] >= parts * raised[q]
+        at = {name: table.column(name)[0].as_py() for name in ("qb", "cb", "dim")}
+        types = {"qb": pa.int64(), "cb": pa.int64(), "dim": pa.int32()}
+        lists = {"qi": pa.array([q[reach].astype(np.int32)], pa.list_(pa.int32())), "ci": pa.array([c[reach].astype(np.int32)], pa.list_(pa.int32()))}
+        return pa.table({n: pa.array([at[n]], t) for n, t in types.items()} | lists)
+
+    return reaching
+
 
-    def resolved(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, c, known, seen = _gathered(left)
-        rows = {right.column("seg")[i].as_py(): _only(right.slice(i, 1)) for i in range(right.num_rows)}
-        one = next(iter(rows.values()))
-        missing = (parts - seen) * one["cutoffs"][q]
-        reach = parts * known + missing >= parts * one["raised"][q]
-        q, c = q[reach], c[reach]
+def _resolved(keep: int):
+    """Exact scores of a pair's candidates, all lists together: each query's best classes."""
+
+    def resolved(row: dict) -> pa.RecordBatch:
+        q, c = row["qi"], row["ci"]
+        a, b = _matrix(row, "qflat", "qgids"), _matrix(row, "flat", "gids")
         score = np.zeros(len(q), np.int64)
-        for row in rows.values():
-            a, b = _matrix(row, "qflat", "qgids"), _matrix(row, "flat", "gids")
-            for i in range(0, len(q), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                score[s] += np.einsum("ij,ij->i", a[q[s]], b[c[s]])
-        order = np.lexsort((one["least"][c], -score, q))
+        for i in range(0, len(q), 1 << 16):
+            s = slice(i, i + (1 << 16))
+            score[s] = np.einsum("ij,ij->i", a[q[s]], b[c[s]])
+        order = np.lexsort((row["least"][c], -score, q))
         q, c, score = q[order], c[order], score[order]
         first = np.arange(len(q)) - np.searchsorted(q, q) < keep
-        return pa.table({"qgid": one["qgids"][q[first]], "gid": one["gids"][c[first]], "score": score[first]})
+        return pa.RecordBatch.from_pydict({"qgid": row["qgids"][q[first]], "gid": row["gids"][c[first]], "score": score[first]})
 
     return resolved
 
@@ -182,41 +209,73 @@ def _packed(cutoffs: DataFrame, value: str, name: str) -> DataFrame:
     return cutoffs.groupBy("qb", "dim").agg(F.sort_array(F.collect_list(F.struct("qgid", value))).alias("r")).select("qb", "dim", F.col("r")[value].alias(name))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, lists: int = LISTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` best other rows of every row for which ``is_query`` (of vec_id) holds."""
-    keep, lowest = k + 1, -(2**62)
-    rows = quantised(vectors, scale)
-    queries = rows.filter(is_query)
-    classes = classes_of(rows, keep, BLOCK_BITS, "topk")
-    asked = classes_of(queries, 1, QUERY_BITS, "topk-asked").drop("ids").withColumnsRenamed({"gid": "qgid"})
-    asked_lists = _lists(asked.select(F.col("qgid").alias("gid"), "v", "dim", F.array(F.lit(0).cast("bigint")).alias("ids")), QUERY_BITS, "qb", ("qgids", "_", "qflat"), lists).drop("_")
-    pairs = stored(_lists(classes, BLOCK_BITS, "cb", ("gids", "least", "flat"), lists), "topk-lists").join(stored(asked_lists, "topk-asked-lists"), ["dim", "seg"])
+def _chunks(asked_lists: DataFrame, chunk_blocks: int, chunk_bytes: int) -> list[DataFrame]:
+    """The blocks of queries in chunks that may be broadcast."""
+    blocks = asked_lists.groupBy("qb", "dim").agg(F.sum(8 * (F.size("qflat") + F.size("qgids"))).alias("bytes"))
+    chunk = lambda n: F.pmod(F.xxhash64("qb", "dim"), F.lit(n))
+    n, total = 1, blocks.count()
+    while n < 4 * total:
+        most = blocks.groupBy(chunk(n).alias("chunk")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).agg(F.max("n").alias("n"), F.max("bytes").alias("bytes")).first()
+        if most["n"] <= chunk_blocks and most["bytes"] <= chunk_bytes:
+            break
+        n *= 2
+    return [asked_lists.filter(chunk(n) == i) for i in range(n)] if total else []
+
+
+def _answers(blocks: DataFrame, wholes: DataFrame, classes: DataFrame, asked_lists: DataFrame, asked_wholes: DataFrame, asked: DataFrame, keep: int, lists: int) -> DataFrame:
+    """(qgid, gid, score): of each query of a chunk of blocks, its ``keep`` best classes at least."""
+    lowest, of_block = -(2**62), ["qb", "dim"]
+    place = asked.select("qgid", "dim", F.shiftright("qgid", QUERY_BITS).alias("qb"), F.col("v").alias("qv")).join(F.broadcast(asked_lists.select("qb", "dim").distinct()), of_block, "left_semi")
+    place = stored(place, "topk-chunk")
 
     # 1: the best of each list, scored in full
-    best = pairs.groupBy("qb", "cb", "dim", "seg").applyInArrow(_best_partials(keep), "qgid long, seg int, gid long, part long")
+    pairs = blocks.join(F.broadcast(asked_lists), ["dim", "seg"])
+    best = pairs.mapInArrow(lambda batches: _rows(batches, _best_partials(keep)), "qgid long, seg int, gid long, part long")
     of_list = Window.partitionBy("qgid", "seg").orderBy(F.desc("part"), "gid")
-    seen = best.withColumn("n", F.row_number().over(of_list)).filter(F.col("n") <= keep).select("qgid", "gid").distinct()
-    scored = seen.join(classes.select("gid", "v"), "gid").join(asked.select("qgid", F.col("v").alias("qv")), "qgid")
+    seen = stored(best.withColumn("n", F.row_number().over(of_list)).filter(F.col("n") <= keep).select("qgid", "gid").distinct(), "topk-seen")
+    scored = classes.select("gid", "v").join(F.broadcast(seen), "gid").join(F.broadcast(place.select("qgid", "qv")), "qgid")
     scored = scored.select("qgid", F.aggregate(F.zip_with("v", "qv", lambda x, y: x * y), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("score"))
     of_query = Window.partitionBy("qgid").orderBy(F.desc("score"))
     cutoff = scored.withColumn("n", F.row_number().over(of_query)).filter(F.col("n") == keep).select("qgid", F.col("score").alias("cutoff"))
-    place = asked.select("qgid", "dim", F.shiftright("qgid", QUERY_BITS).alias("qb"))
-    cutoff = stored(place.join(cutoff, "qgid", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(lowest))), "topk-cutoff")
+    cutoff = stored(place.drop("qv").join(cutoff, "qgid", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(lowest))), "topk-cutoff")
 
     # 2: all entries from the cutoff's share on; what is fully known raises the cutoff
-    listed = pairs.join(_packed(cutoff, "cutoff", "cutoffs"), ["qb", "dim"])
-    entries = stored(listed.groupBy("qb", "cb", "dim", "seg").applyInArrow(_entries(lists), "qb long, cb long, dim int, seg int, qi array<int>, ci array<int>, part array<bigint>"), "topk-entries")
+    cutoffs = _packed(cutoff, "cutoff", "cutoffs")
+    listed = blocks.join(F.broadcast(asked_lists.join(cutoffs, of_block)), ["dim", "seg"])
+    entries = listed.mapInArrow(lambda batches: _rows(batches, _entries(lists)), "qb long, cb long, dim int, seg int, qi array<int>, ci array<int>, part array<bigint>")
+    entries = stored(entries.filter(F.size("qi") > 0), "topk-entries")
     full = entries.groupBy("qb", "cb", "dim").applyInArrow(_raised(keep, lists), "qb long, dim int, qi int, score long")
     at = Window.partitionBy("qb", "dim", "qi").orderBy(F.desc("score"))
     full = full.withColumn("n", F.row_number().over(at)).filter(F.col("n") == keep).select("qb", "dim", "qi", "score")
-    nth = cutoff.withColumn("qi", (F.row_number().over(Window.partitionBy("qb", "dim").orderBy("qgid")) - 1).cast("int"))
+    nth = cutoff.withColumn("qi", (F.row_number().over(Window.partitionBy(*of_block).orderBy("qgid")) - 1).cast("int"))
     raised = nth.join(full, ["qb", "dim", "qi"], "left").select("qb", "dim", "qgid", F.greatest("cutoff", F.coalesce("score", F.lit(lowest))).alias("raised"))
 
     # 3: the rest, in full
-    again = listed.join(_packed(raised, "raised", "raised"), ["qb", "dim"])
-    by = ("qb", "cb", "dim")
-    found = entries.groupBy(*by).cogroup(again.groupBy(*by)).applyInArrow(_resolved(keep, lists), "qgid long, gid long, score long")
-    members = found.join(classes.select("gid", "ids"), "gid").select("qgid", "score", F.explode("ids").alias("vec_id"))
+    bounds = cutoffs.join(_packed(raised, "raised", "raised"), of_block)
+    bounded = entries.join(F.broadcast(stored(bounds, "topk-bounds")), of_block)
+    left = bounded.groupBy("qb", "cb", "dim").applyInArrow(_reaching(lists), "qb long, cb long, dim int, qi array<int>, ci array<int>").filter(F.size("qi") > 0)
+    whole = asked_wholes.join(F.broadcast(asked_lists.select(*of_block).distinct()), of_block, "left_semi")
+    again = wholes.join(left, ["cb", "dim"]).join(F.broadcast(whole), of_block)
+    return stored(again.mapInArrow(lambda batches: _rows(batches, _resolved(keep)), "qgid long, gid long, score long"), "topk-found")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, lists: int = LISTS, chunk_blocks: int = CHUNK_BLOCKS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` best other rows of every row for which ``is_query`` (of vec_id) holds."""
+    keep = k + 1
+    rows = quantised(vectors, scale)
+    queries = rows.filter(is_query)
+    classes = classes_of(rows, keep, BLOCK_BITS, "topk")
+    _check_size(classes, lists)
+    asked = classes_of(queries, 1, QUERY_BITS, "topk-asked").drop("ids").withColumnsRenamed({"gid": "qgid"})
+    blank = asked.select(F.col("qgid").alias("gid"), "v", "dim", F.array(F.lit(0).cast("bigint")).alias("ids"))
+    asked_lists, asked_wholes = (_lists(blank, QUERY_BITS, "qb", ("qgids", "_", "qflat"), n).drop("_") for n in (lists, 1))
+    asked_lists, asked_wholes = stored(asked_lists, "topk-asked-lists"), asked_wholes.drop("seg")
+    blocks = stored(_lists(classes, BLOCK_BITS, "cb", ("gids", "least", "flat"), lists), "topk-lists")
+    wholes = _lists(classes, BLOCK_BITS, "cb", ("gids", "least", "flat"), 1).drop("seg")
+    found = [_answers(blocks, wholes, classes, chunk, asked_wholes, asked, keep, lists) for chunk in _chunks(asked_lists, chunk_blocks, chunk_bytes)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    members = reduce(DataFrame.unionByName, found).join(classes.select("gid", "ids"), "gid").select("qgid", "score", F.explode("ids").alias("vec_id"))
     by_score = Window.partitionBy("qgid").orderBy(F.desc("score"), "vec_id")
     members = members.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= keep)
     answers = members.groupBy("qgid").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("r")).join(asked.select("qgid", "v"), "qgid")
