@@ -24,10 +24,10 @@ def total(a: Column, kind: str = "bigint") -> Column:
 
 
 def neighbours(blocks: DataFrame, group: int) -> DataFrame:
-    """(vec_id, other_id, b, other): each block with the next of its label among ``group`` consecutive ids."""
+    """(vec_id, label, other_id, b, other): each block with the next of its label among ``group`` consecutive ids."""
     order = Window.partitionBy("label", div(F.col("vec_id"), group)).orderBy("vec_id")
     pairs = blocks.withColumn("next", F.lead(F.struct("vec_id", "b")).over(order)).filter("next IS NOT NULL")
-    return pairs.select("vec_id", F.col("next.vec_id").alias("other_id"), "b", F.col("next.b").alias("other"))
+    return pairs.select("vec_id", "label", F.col("next.vec_id").alias("other_id"), "b", F.col("next.b").alias("other"))
 
 
 def block_errors(pairs: DataFrame) -> DataFrame:
@@ -118,31 +118,25 @@ def gradient_histogram(blocks: DataFrame) -> DataFrame:
     return parts.groupBy("label", F.col("x.bin").alias("bin")).agg(F.sum("x.w").alias("total"))
 
 
-#: Line that a cell lies on, for each of 8 directions.
-LINES = [
-    lambda r, c: r + c,
-    lambda r, c: r + c // 2,
-    lambda r, c: r,
-    lambda r, c: 3 + r - c // 2,
-    lambda r, c: 7 + r - c,
-    lambda r, c: 3 - r // 2 + c,
-    lambda r, c: c,
-    lambda r, c: r // 2 + c,
-]
+def line_of(direction: int, r: int, c: int) -> int:
+    """Line that a cell lies on. Directions turn in 8 steps: while the first four go along the columns, a line moves from
+    row to row by 1, 1/2, 0, -1/2 rows a column; the others likewise from column to column by -1, -1/2, 0, 1/2 a row."""
+    (along, across), halves = ((c, r), 2 - direction) if direction < 4 else ((r, c), direction - 6)
+    return across + (abs(halves) * along // 2) * (1 if halves > 0 else -1)
 
 
 def direction_costs(b: Column) -> Column:
     """Array of 8: sum over a direction's lines of (sum of cells)² * 840 / cells."""
 
-    def cost(line) -> Column:
+    def cost(direction: int) -> Column:
         groups: dict[int, list[int]] = {}
         for i in range(64):
-            groups.setdefault(line(i // N, i % N), []).append(i)
+            groups.setdefault(line_of(direction, i // N, i % N), []).append(i)
         sums = [(sum((b[i] for i in g[1:]), b[g[0]]), 840 // len(g)) for g in groups.values()]
         terms = [s * s * F.lit(w) for s, w in sums]
         return sum(terms[1:], terms[0])
 
-    return F.array(*(cost(line) for line in LINES))
+    return F.array(*map(cost, range(8)))
 
 
 def dominant_direction(blocks: DataFrame) -> DataFrame:

@@ -42,6 +42,6 @@ def symbol_costs(df: DataFrame, symbol: str, by: str, scale: int = 512) -> DataF
     """
     counts = df.groupBy(by, symbol).agg(F.count("*").alias("n"))
     totals = counts.groupBy(symbol).agg(F.sum("n").alias("of_symbol"))
-    total = totals.agg(F.sum("of_symbol").alias("n")).first()["n"] or 0
-    bits = F.floor(-F.log2(F.col("of_symbol") / F.lit(float(total))) * scale + 0.5)
-    return counts.join(totals, symbol).groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.col("n") * bits).alias("cost"))
+    total = F.sum("of_symbol").over(Window.partitionBy()).cast("double")  # over one row a symbol
+    totals = totals.withColumn("bits", F.floor(-F.log2(F.col("of_symbol") / total) * scale + 0.5))
+    return counts.join(totals, symbol).groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bits")).alias("cost"))

@@ -18,8 +18,11 @@ def nearest(value: Column, among: list[int]) -> Column:
 
 
 def kmeans_steps(hist: DataFrame, seeds: list[int], steps: int) -> DataFrame:
-    """(cluster, centroid, n) after ``steps`` rounds over a histogram (value, n); an empty cluster keeps its centroid."""
-    centroids = list(seeds)
+    """(cluster, centroid, n) after ``steps`` rounds over a histogram (value, n); an empty cluster keeps its centroid.
+
+    The histogram is kept, so that the rows behind it are read once; a step brings one row a cluster to the driver.
+    """
+    centroids, hist = list(seeds), hist.persist()
     for _ in range(steps):
         assigned = hist.groupBy(nearest(F.col("value"), centroids)["index"].alias("k")).agg(F.sum(F.col("value") * F.col("n")).alias("s"), F.sum("n").alias("n"))
         rows = assigned.select("k", rounded_div(F.col("s"), F.col("n")).alias("c"), "n").collect()
@@ -40,9 +43,9 @@ def nearest_block(blocks: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def split_by_cache(df: DataFrame, cache: DataFrame, on: str) -> DataFrame:
-    """``df`` with ``cached``: whether the cache has its key."""
-    known = df.join(cache.select(on).distinct(), on, "left_semi").withColumn("cached", F.lit(True))
-    return known.unionByName(df.join(cache.select(on).distinct(), on, "left_anti").withColumn("cached", F.lit(False)))
+    """``df`` with ``cached``: whether the cache has its key. One join; a null key is in no cache."""
+    keys = cache.select(on).distinct().withColumn("cached", F.lit(True))
+    return df.join(keys, on, "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
 def merge_sorted(a: DataFrame, b: DataFrame, by: str, value: str) -> DataFrame:
@@ -65,14 +68,16 @@ def capped_bucket_matches(build: DataFrame, probe: DataFrame, bucket: Column, ke
 
 
 def first_interval(events: DataFrame, at: str, key: str, intervals: DataFrame) -> DataFrame:
-    """(key, idx): the lowest entry of ``intervals`` (idx, start, end; half open) that covers ``at``; null if none.
+    """(key, idx) of every row: the lowest entry of ``intervals`` (idx, start, end; half open) that covers ``at``; null if none.
 
-    Entries are listed under each day they touch, so that it is an equi-join however many there are.
+    The entries that touch a day are one row, an array by idx, so that a row of ``events`` meets one row at most and is
+    looked up within itself: it is never grouped, and not shuffled where the days are few enough to be broadcast.
     """
     days = intervals.withColumn("day", F.explode(F.sequence(F.to_date("start"), F.to_date(F.col("end") - F.expr("INTERVAL 1 MICROSECOND")))))
+    days = days.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("idx", "start", "end"))).alias("entries"))
     rows = events.select(key, F.col(at).alias("_at"), F.to_date(at).alias("day")).join(days, "day", "left")
-    covers = (F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("end"))
-    return rows.groupBy(key).agg(F.min(F.when(covers, F.col("idx"))).alias("idx"))
+    first = F.get(F.filter("entries", lambda x: (F.col("_at") >= x["start"]) & (F.col("_at") < x["end"])), F.lit(0))
+    return rows.select(key, first["idx"].alias("idx"))
 
 
 def piecewise(x: Column, points: list[tuple[int, int]]) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,14 +12,17 @@ from pyspark.sql.window import Window
 from ..functions.fixed import div
 
 
-def offsets(df: DataFrame, key: str, size: str, group: int) -> DataFrame:
-    """Adds ``offset``: the sizes of all rows with a smaller key. Ranges of ``group`` keys are summed up first, so
-    that only their sums, not the rows, are ever in one partition."""
-    df = df.withColumn("_range", div(F.col(key), group))
-    sums = df.groupBy("_range").agg(F.sum(size).alias("_n"))
-    before = sums.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    own = F.sum(size).over(Window.partitionBy("_range").orderBy(key)) - F.col(size)
-    return df.withColumn("_own", own).join(before, "_range").withColumn("offset", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+def offsets(df: DataFrame, key: str, size: str, group: int, levels: int = 2) -> DataFrame:
+    """Adds ``offset``: the sizes of all rows with a smaller key. Ranges of ``group`` keys are summed up first, then
+    ranges of ``group`` ranges and so forth, so that only the last sums, one for each ``group`` ^ ``levels`` keys, are ever
+    in one partition."""
+    if not levels:
+        return df.withColumn("offset", F.sum(size).over(Window.orderBy(key)) - F.col(size))
+    at = f"_range{levels}"
+    df = df.withColumn(at, div(F.col(key), group))
+    sums = offsets(df.groupBy(at).agg(F.sum(size).alias("_n")), at, "_n", group, levels - 1).select(at, F.col("offset").alias("_before"))
+    own = F.sum(size).over(Window.partitionBy(at).orderBy(key)) - F.col(size)
+    return df.withColumn("_own", own).join(sums, at).withColumn("offset", F.col("_before") + F.col("_own")).drop(at, "_own", "_before")
 
 
 def deltas(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -29,23 +35,54 @@ def adapted_probabilities(df: DataFrame, by: list[str], order: str, symbol: str,
     """(*by, n, e0, e1, ...): cumulative probabilities (of 32768) after coding each group's symbols in order.
 
     Entries below a coded symbol move toward 32768, the others toward 0, by their distance >> rate; the rate is 4, one
-    more for over three symbols, and one more for every 16 symbols coded, of which 32 count. A fold within the row:
-    groups are small ranges of an ordered stream.
+    more for over three symbols, and one more for every 16 symbols coded, of which 32 count. Each step needs the one
+    before, so a group is one task's, but as a stream of sorted rows: only its probabilities are held.
     """
-    start = F.array(*(F.lit(32768 - 32768 * (i + 1) // symbols).cast("bigint") for i in range(symbols - 1)))
-    rate = lambda n: F.lit(4 + (symbols > 3)) + F.shiftright(n, 4)
-
-    def move(state, x):
-        at = lambda i: state["e"][i]
-        def entry(i):
-            by_rate = lambda d: F.call_function("div", d, F.call_function("shiftleft", F.lit(1).cast("bigint"), rate(state["n"])))
-            return F.when(F.lit(i) < x["symbol"], at(i) + by_rate(32768 - at(i))).otherwise(at(i) - by_rate(at(i)))
-        return F.struct(F.array(*(entry(i) for i in range(symbols - 1))).alias("e"), F.least(state["n"] + 1, F.lit(32)).alias("n"))
-
-    coded = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(symbol).cast("int").alias("symbol")))).alias("s"))
-    end = F.aggregate("s", F.struct(start.alias("e"), F.lit(0).alias("n")), move)
-    coded = coded.select(*by, F.size("s").cast("bigint").alias("n"), end["e"].alias("e"))
-    return coded.select(*by, "n", *(F.col("e")[i].alias(f"e{i}") for i in range(symbols - 1)))
+    start = [32768 - 32768 * (i + 1) // symbols for i in range(symbols - 1)]
+    names = [*by, "n", *(f"e{i}" for i in range(symbols - 1))]
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{name}` {kinds[name]}" for name in by), "n long", *(f"e{i} long" for i in range(symbols - 1))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, n, e, done = None, 0, start, []
+        for batch in batches:
+            keys, coded = zip(*(batch.column(name).to_pylist() for name in by), strict=True), batch.column("_symbol").to_pylist()
+            for key, x in zip(keys, coded, strict=True):
+                if key != group:
+                    if n:
+                        done.append((*group, n, *e))
+                    group, n, e = key, 0, start
+                rate = 4 + (symbols > 3) + (min(n, 32) >> 4)
+                e, n = [p + (32768 - p >> rate) if i < x else p - (p >> rate) for i, p in enumerate(e)], n + 1
+            if len(done) > 10_000:
+                yield out(done)
+                done = []
+        if n:
+            done.append((*group, n, *e))
+        if done:
+            yield out(done)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+
+    rows = df.select(*by, F.col(order).alias("_at"), F.col(symbol).cast("int").alias("_symbol"))
+    return rows.repartition(*by).sortWithinPartitions(*by, "_at", "_symbol").drop("_at").mapInArrow(fold, schema)
+
+
+def clamped_sums(df: DataFrame, by: list[str], order: str, step: str, start: int, low: int, high: int, group: int = 4096) -> DataFrame:
+    """(*by, n, carry): ``start`` plus each group's steps in order, held within ``low`` and ``high`` after each.
+
+    x -> clamp(x + a, l, h), once after another, is of that form again. So ranges of ``group`` values of ``order`` are
+    folded for themselves, and a group's few results after that: no row holds more of it than one range.
+    """
+    whole = lambda x: F.struct(x["a"].alias("a"), x["l"].alias("l"), x["h"].alias("h"))
+    then = lambda f, g: F.struct((f["a"] + g["a"]).alias("a"), F.least(F.greatest(f["l"] + g["a"], g["l"]), g["h"]).alias("l"), F.least(F.greatest(f["h"] + g["a"], g["l"]), g["h"]).alias("h"))
+    fold = lambda s: F.aggregate(F.slice(s, 2, F.size(s)), whole(s[0]), lambda f, g: then(f, g))
+    wide = lambda x: F.lit(x).cast("bigint")
+    rows = df.select(*by, F.struct(F.col(order).alias("at"), F.col(step).cast("bigint").alias("a"), wide(low).alias("l"), wide(high).alias("h")).alias("f"), div(F.col(order), group).alias("_range"))
+    ranges = rows.groupBy(*by, "_range").agg(F.count("*").alias("n"), fold(F.sort_array(F.collect_list("f"))).alias("f"))
+    whole_groups = ranges.groupBy(*by).agg(F.sum("n").alias("n"), fold(F.sort_array(F.collect_list(F.struct("_range", "f.a", "f.l", "f.h")))).alias("f"))
+    return whole_groups.select(*by, "n", F.least(F.greatest(F.lit(start) + F.col("f.a"), F.col("f.l")), F.col("f.h")).alias("carry"))
 
 
 def candidate_stack(df: DataFrame, by: str, key: str, weight: str, arrival: str, most: int, near: int, bonus: int) -> DataFrame:
@@ -113,3 +150,11 @@ def upscaled(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     at = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
     pair = F.array(F.struct((at * 2).alias("pos"), F.col(value).alias("v")), F.struct((at * 2 + 1).alias("pos"), F.shiftright(F.col(value) + after + 1, 1).alias("v")))
     return df.select(by, pair.alias("pair")).select(by, F.explode("pair").alias("x")).select(by, F.col("x.pos").cast("bigint").alias("pos"), F.col("x.v").alias("value"))
+
+
+def tiles(frames: DataFrame, width: str, height: str, side: int) -> DataFrame:
+    """``frames`` once for each tile of ``side`` in it: adds r, c, r0, r1, c0, c1 (ends cut at the frame's)."""
+    steps = lambda size: F.sequence(F.lit(0).cast("bigint"), div(F.greatest(F.col(size), F.lit(1)) - 1, side))
+    rows = frames.withColumn("r", F.explode(steps(height))).withColumn("c", F.explode(steps(width)))
+    bounds = {f"{x}0": F.col(x) * side for x in "rc"} | {f"{x}1": F.least(F.col(x) * side + side, F.col(size)) for x, size in (("r", height), ("c", width))}
+    return rows.withColumns(bounds)

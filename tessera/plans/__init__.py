@@ -1,5 +1,6 @@
 """Queries over the tables and the SQL that each is held against."""
 
-from . import more as _more  # noqa: F401  adds its queries to the catalogue
+from . import further as _further  # noqa: F401  adds its queries to the catalogue, as does the next
+from . import more as _more  # noqa: F401
 from .catalogue import QUERIES as QUERIES
 from .sql import ORACLES as ORACLES

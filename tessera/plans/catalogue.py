@@ -116,7 +116,7 @@ def merge_palettes(spark, d):
 def bucket_join_capped(spark, d):
     items = load(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
     arrival = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return L.capped_bucket_matches(items, items, F.col("l_partkey") % 1024, ["l_partkey", "l_suppkey"], arrival, 256)
+    return L.capped_bucket_matches(items, items, F.col("l_partkey") % 65536, ["l_partkey", "l_suppkey"], arrival, 256)
 
 
 INTERVALS = [

@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.fixed import clamp, div
 from ..operators import blocks as B
 from ..operators import predict as P
+from ..operators import sequences as S
+from ..sources import grain
 from ..sources.tables import blocks, load
 from ..streaming.slots import hourly_totals
 from .catalogue import _blocks, _events, quantity, query
-from .sql import CELLS, EVENTS, ORACLES
+from .sql import CELLS, EVENTS, ORACLES, matrix
 from .sql import Q as QUANTITY
 from .sql import clamp as sql_clamp
 
@@ -56,8 +59,6 @@ def folded_remap(spark, d):
   WITH {EVENTS}, b AS (SELECT user_id, v, min(v) OVER (PARTITION BY user_id, day ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e)
   SELECT user_id, count(*) AS n, count(*) FILTER (best IS NULL OR v < best + (best >> 1)) AS n_kept FROM b GROUP BY 1""")
 def running_best_prune(spark, d):
-    from pyspark.sql.window import Window
-
     before = Window.partitionBy("user_id", "day").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = _events(spark, d).select("user_id", "v", F.min("v").over(before).alias("best"))
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.expr("best IS NULL OR v < best + shiftright(best, 1)")).alias("n_kept"))
@@ -145,12 +146,27 @@ def admitted_blocks(spark, d):
     return _blocks(spark, d).filter(F.forall("b", lambda x: F.abs(x) <= 300)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@oracle(f"WITH {CELLS} SELECT vec_id, 0.0::DOUBLE AS worst, sum(abs(v))::BIGINT AS total FROM cells GROUP BY 1")
+#: Fixed value: a quantiser step that no coefficient of integers is a rational multiple of, so that no level is a tie.
+COARSE = 61.803398875
+
+
+@oracle(f"""
+  WITH {CELLS}, m AS (SELECT k, j, w::DOUBLE AS w FROM (VALUES {matrix(B.DCT)}) AS t(k, j, w)),
+  h AS (SELECT vec_id, r, k, sum(v * w) AS x FROM cells JOIN m ON c = j GROUP BY ALL),
+  t AS (SELECT vec_id, m.k AS kr, h.k AS kc, floor(sum(x * w) / {COARSE}::DOUBLE + 0.5) AS level FROM h JOIN m ON r = j GROUP BY ALL),
+  g AS (SELECT vec_id, kr, j AS c, sum(level * {COARSE}::DOUBLE * w) AS x FROM t JOIN m ON kc = k GROUP BY ALL),
+  i AS (SELECT vec_id, j AS r, g.c, floor(sum(x * w) + 0.5)::BIGINT AS v FROM g JOIN m ON kr = k GROUP BY ALL),
+  n AS (SELECT vec_id, count(*) FILTER (level <> 0) AS n_levels FROM t GROUP BY 1)
+  SELECT vec_id, n_levels, sum((i.v - cells.v) * (i.v - cells.v))::BIGINT AS sse, max({sql_clamp('i.v', -255, 255)}) AS most
+  FROM i JOIN cells USING (vec_id, r, c) JOIN n USING (vec_id) GROUP BY ALL""")
 def inverse_transform(spark, d):
-    there = B.transformed(_blocks(spark, d), B.DCT, "double").withColumnRenamed("b", "given").withColumnRenamed("t", "b")
-    back = B.transformed(there, [list(x) for x in zip(*B.DCT, strict=True)], "double")
-    worst = F.array_max(F.zip_with("t", "given", lambda x, y: F.abs(x - y)))
-    return back.select("vec_id", (F.round(worst, 6) + 0.0).alias("worst"), B.total(F.transform("given", F.abs)).alias("total"))
+    there = B.transformed(_blocks(spark, d), B.DCT, "double").withColumnRenamed("b", "given")
+    levels = there.withColumn("level", F.transform("t", lambda x: F.floor(x / COARSE + 0.5)))
+    again = levels.withColumn("b", F.transform("level", lambda x: x.cast("double") * COARSE))
+    back = B.transformed(again, [list(x) for x in zip(*B.DCT, strict=True)], "double").withColumn("v", F.transform("t", lambda x: F.floor(x + 0.5)))
+    n_levels = F.size(F.filter("level", lambda x: x != 0)).cast("bigint")
+    sse = B.total(F.zip_with("v", "given", lambda x, y: (x - y) * (x - y)))
+    return back.select("vec_id", n_levels.alias("n_levels"), sse.alias("sse"), F.array_max(F.transform("v", lambda x: clamp(x, -255, 255))).alias("most"))
 
 
 @oracle(f"""
@@ -169,7 +185,7 @@ def dft_energy(spark, d):
     FROM p JOIN cells a ON a.vec_id = p.vec_id JOIN cells b ON b.vec_id = other_id AND a.i = b.i GROUP BY 1)
   SELECT label, n, round((n * xy - x * y)::DOUBLE / (n * xx - x * x)::DOUBLE, 6) AS slope, round((y * xx - x * xy)::DOUBLE / (n * xx - x * x)::DOUBLE, 4) AS intercept FROM s""")
 def least_squares_2x2(spark, d):
-    pairs = _pairs(spark, d).join(load(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    pairs = _pairs(spark, d)
     sums = {"xx": F.zip_with("b", "b", lambda x, y: x * y), "x": F.col("b"), "xy": F.zip_with("b", "other", lambda x, y: x * y), "y": F.col("other")}
     s = pairs.groupBy("label").agg(F.sum(F.size("b")).alias("n"), *(F.sum(B.total(c)).alias(k) for k, c in sums.items()))
     det = F.expr("cast(n * xx - x * x as double)")
@@ -182,19 +198,15 @@ def least_squares_2x2(spark, d):
     UNION ALL SELECT f.user_id, f.day, s.n, {sql_clamp('carry + x', 0, 127)} FROM f JOIN s ON s.user_id = f.user_id AND s.day = f.day AND s.n = f.n + 1)
   SELECT user_id, day, n, carry FROM f WHERE n > 0 QUALIFY n = max(n) OVER (PARTITION BY user_id, day)""")
 def clamped_carry(spark, d):
-    rows = _events(spark, d).groupBy("user_id", "day").agg(F.sort_array(F.collect_list(F.struct("event_id", (F.col("v") % 41 - 20).alias("x")))).alias("s"))
-    carry = F.aggregate("s", F.lit(60).cast("bigint"), lambda a, e: clamp(a + e["x"], 0, 127))
-    return rows.select("user_id", "day", F.size("s").cast("bigint").alias("n"), carry.alias("carry"))
+    return S.clamped_sums(_events(spark, d).withColumn("x", F.col("v") % 41 - 20), ["user_id", "day"], "event_id", "x", 60, 0, 127)
 
 
 @oracle("""
   WITH a AS (SELECT event_type, user_id, count(*) AS n FROM events WHERE day(ts) <= 15 GROUP BY ALL), b AS (SELECT event_type, user_id, count(*) AS n FROM events WHERE day(ts) > 15 GROUP BY ALL)
   SELECT event_type, user_id, coalesce(b.n, 0) - coalesce(a.n, 0) AS change FROM a FULL JOIN b USING (event_type, user_id)""")
 def counter_difference(spark, d):
-    e = load(spark, d, "events")
-    count = lambda rows, name: rows.groupBy("event_type", "user_id").agg(F.count("*").alias(name))
-    both = count(e.filter(F.dayofmonth("ts") <= 15), "a").join(count(e.filter(F.dayofmonth("ts") > 15), "b"), ["event_type", "user_id"], "full")
-    return both.select("event_type", "user_id", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("change"))
+    late = F.dayofmonth("ts") > 15
+    return load(spark, d, "events").groupBy("event_type", "user_id").agg((F.count_if(late) - F.count_if(~late)).alias("change"))
 
 
 @oracle("""
@@ -212,18 +224,22 @@ def hourly_windows(spark, d):
     return hourly_totals(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-GRAIN = ["filmgrn1", "E 0 100 1 77 1", "p 3 6 0 10", "E 100 250 0 9 0", "E 250 900 1 1234 1", "broken line", "E 900 x 1 1 1"]
-
-
-@oracle(f"""
-  WITH l AS (SELECT unnest({GRAIN!r}) AS line), p AS (SELECT string_split(line, ' ') AS f FROM l WHERE regexp_matches(line, '^E( [0-9]+){{5}}$'))
-  SELECT f[2]::BIGINT AS start, f[3]::BIGINT AS "end", f[4] = '1' AS apply, f[5]::INTEGER AS seed, array_to_string(f, ' ') AS line FROM p""")
+@oracle("""
+  WITH p AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)
+  SELECT p_brand AS name, n * 10 AS start, n * 10 + 10 AS "end", p_size > 9 AS apply, (p_partkey % 65536)::INTEGER AS seed, 3::BIGINT AS n_params,
+    (p_size + n + 2)::BIGINT AS param_sum, printf('E %d %d %d %d 1' || chr(10) || chr(9) || 'p %d %d' || chr(10) || chr(9) || 'sY 2', n * 10, n * 10 + 10, (p_size > 9)::INT, p_partkey % 65536, p_size, n) AS entry
+  FROM p WHERE p_partkey % 11 <> 0""")
 def grain_table(spark, d):
-    lines = spark.range(1).select(F.explode(F.array(*map(F.lit, GRAIN))).alias("line")).filter(F.col("line").rlike("^E( [0-9]+){5}$"))
-    f = F.split("line", " ")
-    rows = lines.select(f[1].cast("bigint").alias("start"), f[2].cast("bigint").alias("end"), (f[3] == "1").alias("apply"), f[4].cast("int").alias("seed"), f[5].alias("update"))
-    back = F.concat_ws(" ", F.lit("E"), "start", "end", F.when(F.col("apply"), "1").otherwise("0"), "seed", "update")
-    return rows.withColumn("line", back).drop("update")
+    """One text a brand, with an entry a part, some of them broken; read and written again entry by entry."""
+    order = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("bigint") - 1
+    parts = load(spark, d, "part").select("p_brand", "p_partkey", "p_size", order.alias("n"))
+    end = F.when(F.col("p_partkey") % 11 == 0, F.lit("x")).otherwise((F.col("n") * 10 + 10).cast("string"))
+    entry = F.concat_ws("\n", F.concat_ws(" ", F.lit("E"), F.col("n") * 10, end, (F.col("p_size") > 9).cast("int"), F.col("p_partkey") % 65536, F.lit(1)), F.concat_ws(" ", F.lit("\tp"), "p_size", "n"), F.lit("\tsY 2"))
+    texts = parts.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("n", entry.alias("e"))))["e"].alias("e"))
+    files = texts.select(F.col("p_brand").alias("name"), F.concat(F.lit("filmgrn1\n"), F.array_join("e", "\n"), F.lit("\n")).alias("value"))
+    entries = grain.parsed(files)
+    sums = F.aggregate(F.flatten(F.col("params")["values"]), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return entries.select("name", "start", "end", "apply", "seed", F.size(F.flatten(F.col("params")["values"])).cast("bigint").alias("n_params"), sums.alias("param_sum"), grain.line_of().alias("entry"))
 
 
 @oracle("""
@@ -237,11 +253,16 @@ def leb128_bytes(spark, d):
 
 
 @oracle("""
-  SELECT (r * 4 + c)::INTEGER AS tile, r * 256 AS r0, least(r * 256 + 256, 700) AS r1, c * 256 AS c0, least(c * 256 + 256, 1000) AS c1 FROM range(3) AS a(r), range(4) AS b(c)""")
+  WITH f AS (SELECT p_brand, p_partkey, 300 + p_size * 37 AS w, 200 + p_partkey % 50 * 29 AS h FROM part),
+  t AS (SELECT p_brand, w, h, r, c, least(c * 256 + 256, w) - c * 256 AS tw, least(r * 256 + 256, h) - r * 256 AS th
+    FROM f, range(16) AS x(c), range(16) AS y(r) WHERE c * 256 < w AND r * 256 < h)
+  SELECT p_brand, count(*) AS n, sum(tw * th)::BIGINT AS area, count(*) FILTER (tw < 256 OR th < 256) AS n_cut, max(r * 16 + c)::BIGINT AS last FROM t GROUP BY 1""")
 def tile_dimension(spark, d):
-    rows = spark.range(3).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("c"))
-    end = lambda x, most: F.least(F.col(x) * 256 + 256, F.lit(most))
-    return rows.select((F.col("r") * 4 + F.col("c")).cast("int").alias("tile"), (F.col("r") * 256).alias("r0"), end("r", 700).alias("r1"), (F.col("c") * 256).alias("c0"), end("c", 1000).alias("c1"))
+    frames = load(spark, d, "part").select("p_brand", (300 + F.col("p_size") * 37).cast("bigint").alias("w"), (200 + F.col("p_partkey") % 50 * 29).alias("h"))
+    tiles = S.tiles(frames, "w", "h", 256)
+    width, height = F.col("c1") - F.col("c0"), F.col("r1") - F.col("r0")
+    out = tiles.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(width * height).alias("area"), F.count_if((width < 256) | (height < 256)).alias("n_cut"), F.max(F.col("r") * 16 + F.col("c")).alias("last"))
+    return out
 
 
 @oracle(f"""
@@ -251,6 +272,3 @@ def weber_weights(spark, d):
     node = _blocks(spark, d).select("label", B.node_sums(F.col("b"), 8)[0].alias("x"))
     v = node.select("label", (F.col("x.ss") - F.shiftright(F.col("x.s") * F.col("x.s"), 6)).alias("v"))
     return v.groupBy("label").agg(F.count("*").alias("n"), F.sum(div(F.lit(1_000_000_000).cast("bigint"), F.col("v") + 100_000)).alias("weight"))
-
-
-

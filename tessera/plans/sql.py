@@ -79,7 +79,8 @@ def moved(dr: int, dc: int) -> str:
 
 NEAR = [(0, 1), (1, 0), (1, 1), (0, 2), (2, 0)]
 
-LINES = ["r + c", "r + c // 2", "r", "3 + r - c // 2", "7 + r - c", "3 - r // 2 + c", "c", "r // 2 + c"]
+#: A direction's lines: from row to row by halves of a column's number, or from column to column by halves of a row's.
+LINES = [*(f"r + {h} * (c * {abs(h)} // 2) // {max(abs(h), 1)}" for h in (2, 1, 0, -1)), *(f"c + {h} * (r * {abs(h)} // 2) // {max(abs(h), 1)}" for h in (-2, -1, 0, 1))]
 
 GRADIENTS = f"""{CELLS}, w AS (
   SELECT *, lead(v) OVER (PARTITION BY vec_id, r ORDER BY c) - lag(v) OVER (PARTITION BY vec_id, r ORDER BY c) AS dx,
@@ -128,10 +129,10 @@ ORACLES: dict[str, str] = {
       SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_size))::INTEGER AS position, p_size, bool_or(p_partkey % 3 = 0) AS in_a
       FROM part WHERE p_partkey % 3 < 2 GROUP BY p_brand, p_size""",
     "bucket_join_capped": """
-      WITH k AS (SELECT l_partkey % 1024 AS bucket, l_partkey, l_suppkey FROM lineitem
-        QUALIFY row_number() OVER (PARTITION BY l_partkey % 1024 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) <= 256),
+      WITH k AS (SELECT l_partkey % 65536 AS bucket, l_partkey, l_suppkey FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_partkey % 65536 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) <= 256),
       a AS (SELECT bucket, l_partkey, l_suppkey, count(*) AS kept FROM k GROUP BY ALL),
-      b AS (SELECT l_partkey % 1024 AS bucket, l_partkey, l_suppkey, count(*) AS probes FROM lineitem GROUP BY ALL)
+      b AS (SELECT l_partkey % 65536 AS bucket, l_partkey, l_suppkey, count(*) AS probes FROM lineitem GROUP BY ALL)
       SELECT bucket, sum(coalesce(kept, 0))::BIGINT AS n_kept, sum(probes)::BIGINT AS n_probes, sum(coalesce(kept, 0) * probes)::BIGINT AS n_matches
       FROM b LEFT JOIN a USING (bucket, l_partkey, l_suppkey) GROUP BY 1""",
     "interval_lookup": first_interval(),

@@ -16,12 +16,22 @@ def slot_state(events: DataFrame) -> DataFrame:
 
 
 def run_stream(spark: SparkSession, path: str, checkpoint: str, table: str) -> DataFrame:
-    """The state after all files in the folder ``path`` have been read as a stream, a file a batch."""
+    """The state after all files in the folder ``path`` have been read as a stream, a file a batch.
+
+    Each batch writes the whole state beside the checkpoint, in a folder named by ``table`` and the batch: a batch that is
+    run again after a failure writes the same folder again.
+    """
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query = slot_state(stream).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    place, written = f"{checkpoint.rstrip('/')}-{table}", []
+
+    def write(state: DataFrame, batch: int) -> None:
+        state.write.mode("overwrite").parquet(f"{place}/{batch}")
+        written.append(f"{place}/{batch}")
+
+    query = slot_state(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table)
+    return spark.read.parquet(written[-1]) if written else slot_state(spark.createDataFrame([], schema))
 
 
 def hourly_totals(events: DataFrame, late: str = "2 hours") -> DataFrame:
