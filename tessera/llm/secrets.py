@@ -3,8 +3,8 @@
 Candidates are wide, and the forest decides: what is assigned to a name with a secret word in it, of 6 characters or
 more, quoted or up to white space, whatever its characters; tokens of dotted parts, whole; and runs of letters, digits
 and ``+ / _ -`` of 12 characters or more with a letter. Features are the candidate's length, shares and changes of
-character classes, the share of it that a dictionary covers, whether it stands in a path or an address, and the
-words around it. The forest is Spark ML's, trained on labelled findings;
+character classes, how often its letters follow each other as in words and how often one class of characters turns into
+another, the share of it that a dictionary covers, whether it stands in a path or an address, and the words around it. The forest is Spark ML's, trained on labelled findings;
 its trees then become one CASE expression each, so that whole texts are scanned in one pass without a shuffle.
 
 ``labelled_findings`` makes a bounded set of findings (``LABELLED`` rows) from templates with pseudo-random values:
@@ -45,6 +45,12 @@ DICTIONARY = (
 ).split()
 
 
+#: Pairs of letters that follow each other in the dictionary's words.
+WORD_PAIRS = sorted({w[i : i + 2] for w in DICTIONARY if w.isalpha() for i in range(len(w) - 1)})
+#: Transitions that are counted: from a character of one class to one of another.
+TRANSITIONS = {"lower_upper": ("a-z", "A-Z"), "letter_digit": ("A-Za-z", "0-9"), "digit_letter": ("0-9", "A-Za-z")}
+
+
 def _either(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
 
@@ -68,7 +74,7 @@ CANDIDATE = rf"{ASSIGNED}(?:{_QUOTED[0]}|{_QUOTED[1]}|((?:\\*[\"'])?)({_BARE}))|
 #: What stands before and within the candidate, by groups of ``CANDIDATE``.
 CUT = "$1$2$4$6\x01$3$5$7$8\x01"
 
-FEATURES = ["length", "digits", "upper", "lower", "marks", "changes", "distinct", "hex", "dictionary", "path", "address", "uuid", "prefix", "secret_word", "secret_near", "other_word", "assigned", "other_marks", "spaces", "dots", "vowels", "words"]
+FEATURES = ["length", "digits", "upper", "lower", "marks", "changes", "distinct", "hex", "dictionary", "path", "address", "uuid", "prefix", "secret_word", "secret_near", "other_word", "assigned", "other_marks", "spaces", "dots", "vowels", "words", "word_pairs", *TRANSITIONS]
 _TREE = re.compile(r"^\s*(?:(If|Else) \(feature (\d+) (<=|>) ([-\d.Ee]+)\)|Predict: ([\d.]+))$")
 
 
@@ -104,6 +110,10 @@ def features(c: Column, left: Column, right: Column) -> Column:
         "vowels": share("[aeiouAEIOU]"),
         "words": has(c, r"^(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*+|[A-Z]?[a-z]+(?:[-_/. ]+[A-Z]?[a-z]+)*+|[A-Z]+(?:[-_/.]+[A-Z]+)*+)$"),
     }
+    next_to = lambda pattern: F.regexp_count(c, F.lit(pattern)) / F.greatest(n - 1, F.lit(1))
+    firsts = sorted({x[0] for x in WORD_PAIRS})
+    found["word_pairs"] = next_to("(?i)(?=" + "|".join(f"{a}[{''.join(x[1] for x in WORD_PAIRS if x[0] == a)}]" for a in firsts) + ")")
+    found |= {name: next_to(f"(?<=[{a}])(?=[{b}])") for name, (a, b) in TRANSITIONS.items()}
     return F.struct(*(found[name].cast("double").alias(name) for name in FEATURES))
 
 
