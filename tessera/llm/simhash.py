@@ -8,15 +8,19 @@ fingerprint is replicated to every anchor whose cell it can reach by changing it
 (All of these lie within covering radius plus threshold; the other anchors in that ball need no visit.) Cells are then
 compared one by one.
 
-Equal fingerprints are one row throughout. Within a cell with many fingerprints only the links of a spanning forest
-are given, so that a large group of near copies costs no more rows than it has members.
+Equal fingerprints are one row throughout. Cells of more than ``HOT_CELL`` rows are split by the 18 bits left: a row then
+goes to every value of them that it reaches with what its way to the anchor has left of its 2 bits, and the same
+argument holds for the finer cells. Within a cell with many fingerprints only the links of spanning forests are given,
+so that a large group of near copies costs no more rows than a few times its members. The list of hot cells is
+broadcast; there are 2^24 cells, so it has 64 MB at the very most.
 
 Words are runs of anything but ASCII white space, A-Z in lower case; shingles of three words, repeats included, are
 hashed with XXH64 (seed 42); a bit of the fingerprint is 1 if it is set in over half of the hashes.
 
 Edge cases: a null, empty or blank text has fingerprint 0, linked like any other; fewer words than three are one
 shingle; rows with the same doc_id are rows of their own; a null doc_id names no component: it gets the least
-doc_id that is not null, or null; an empty table gives an empty result; other columns are not carried.
+doc_id that is not null, or null; an empty table gives an empty result; other columns are not carried, but by
+``drop_near_duplicates``, for which rows are one and the same if doc_id and text are.
 """
 
 from __future__ import annotations
@@ -38,8 +42,13 @@ THRESHOLD, SHINGLE, SEED = 3, 3, 42
 GOLAY, BITS, PARITY = 0b110001110101, 23, 11
 #: Bits of a fingerprint's own that it may change on the way to an anchor's cell.
 SHARE = 2
-#: Cells of more rows are linked by a spanning forest; rows that a task compares at once, about.
-DENSE, ROWS_AT_ONCE = 48, 1 << 20
+#: Bits that lie in neither block.
+FREE = 64 - 2 * BITS
+#: Cells of more rows are linked by a spanning forest; rows that a task compares at once, about; rows of a cell that is split.
+DENSE, ROWS_AT_ONCE, HOT_CELL = 48, 1 << 20, 1 << 16
+#: Fingerprints that are compared one with the rest; more are first dealt by each of ``BANDS`` parts of their bits, one of
+#: which any two linked ones share.
+PLAIN_FOREST, BANDS = 1024, 4
 
 
 def fingerprint(text: str | None) -> int:
@@ -62,17 +71,16 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(documents: DataFrame, carried: str = "") -> DataFrame:
+    """(doc_id, fp) of every row, fp as a signed long; with the column ``carried`` (string) too, if one is named."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], schema=schema)
+            yield batch.drop_columns(["text"]).append_column("fp", pa.array(fps.view(np.int64)))
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(each, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *([F.col(carried).alias("carried")] if carried else []))
+    return rows.mapInArrow(each, "doc_id long, carried string, fp long" if carried else "doc_id long, fp long")
 
 
 @cache
@@ -150,10 +158,35 @@ def _replicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as indices) of a spanning forest of distinct fingerprints: every one is compared until it is linked."""
+    """Links (as indices) that connect whatever is connected among distinct fingerprints.
+
+    A few are compared one with the rest until all are linked. More go by parts of their bits: threshold + 1 parts can't
+    all differ in linked ones, so the forests among those that share one part, for each part, connect them.
+    """
+    if len(fps) <= PLAIN_FOREST:
+        return _forest(fps, threshold)
+    if threshold >= BANDS:
+        raise ValueError(f"fingerprints are told apart by {BANDS} parts, which is too few for {threshold} bits")
+    width, a, b = 64 // BANDS, [], []
+    for k in range(BANDS):
+        band = fps >> np.uint64(k * width) & np.uint64((1 << width) - 1)
+        order = np.argsort(band, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(band[order]) != 0))
+        ends = np.append(starts[1:], len(order))
+        for start, end in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            group = order[start:end]
+            i, j = _forest(fps[group], threshold)
+            a.append(group[i])
+            b.append(group[j])
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+
+
+def _forest(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every one is compared with what isn't linked yet, those that are linked first."""
     left, a, b = np.arange(len(fps)), [], []
     waiting: list[int] = []
-    while len(left) or waiting:
+    while len(left):
         if not waiting:
             waiting, left = [int(left[0])], left[1:]
         at = waiting.pop()
@@ -193,53 +226,96 @@ def cell_links(anchor: np.ndarray, fps: np.ndarray, moved: np.ndarray, threshold
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
+def _free_bits() -> tuple[np.ndarray, np.ndarray]:
+    """Changes of the bits that lie in neither block, by bits changed, up to ``SHARE``; how many change at most 0, 1, ... bits."""
+    ones = [1 << i for i in range(FREE)]
+    by_bits = [[0], ones, [x | y for i, x in enumerate(ones) for y in ones[:i]]][: SHARE + 1]
+    return np.array([x for some in by_bits for x in some], np.int64), np.cumsum([len(some) for some in by_bits])
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, fp, moved, hot) to the cells (anchor, free) that they reach; free is 0 in cells that are not split."""
+    schema = pa.schema([("anchor", pa.int32()), ("free", pa.int32()), ("fp", pa.int64()), ("moved", pa.int8())])
+    changes, upto = _free_bits()
+    for batch in batches:
+        for a in range(0, batch.num_rows, 20_000):
+            anchor, fps, moved = (batch.column(c).slice(a, 20_000).to_numpy(zero_copy_only=False) for c in ("anchor", "fp", "moved"))
+            hot = batch.column("hot").slice(a, 20_000).to_numpy(zero_copy_only=False)
+            n = np.where(hot, upto[SHARE - moved], 1)
+            index = np.repeat(np.arange(len(n)), n)
+            change = changes[np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n)]
+            own = (fps.view(np.uint64) >> np.uint64(2 * BITS)).astype(np.int64)
+            free = np.where(hot[index], own[index] ^ change, 0)
+            flips = moved[index] + np.bitwise_count(change)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[index]), pa.array(free.astype(np.int32)), pa.array(fps[index]), pa.array(flips.astype(np.int8))], schema=schema)
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor to links of fingerprints; holds some batches and the cell that they end in."""
+    """Rows sorted by cell to links of fingerprints; holds some batches and the cell that they end in, joined once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[tuple[np.ndarray, ...]] = []
+    n = 0
 
     def out(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        anchor, fps, moved = rows
-        i, j = cell_links(anchor, fps.view(np.uint64), moved.astype(np.int64))
+        cell, fps, moved = rows
+        i, j = cell_links(cell, fps.view(np.uint64), moved.astype(np.int64))
         pairs = np.unique(np.stack([np.minimum(fps[i], fps[j]), np.maximum(fps[i], fps[j])], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     for batch in batches:
-        held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "fp", "moved")))
-        if sum(len(x[0]) for x in held) >= ROWS_AT_ONCE:
-            rows = tuple(map(np.concatenate, zip(*held, strict=True)))
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            if cut:
-                yield out(tuple(x[:cut] for x in rows))
-            held = [tuple(x[cut:] for x in rows)]
+        anchor, free, fps, moved = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "free", "fp", "moved"))
+        cell = anchor.astype(np.int64) << FREE | free
+        cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+        if n + cut >= ROWS_AT_ONCE and (cut or (held and held[-1][0][-1] != cell[0])):
+            yield out(tuple(map(np.concatenate, zip(*held, (cell[:cut], fps[:cut], moved[:cut]), strict=True))))
+            held, n = [], 0
+            cell, fps, moved = cell[cut:], fps[cut:], moved[cut:]
+        if len(cell):
+            held.append((cell, fps, moved))
+            n += len(cell)
     if held:
         yield out(tuple(map(np.concatenate, zip(*held, strict=True))))
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
     """(a, b): links between the distinct fingerprints of ``distinct`` (fp) that connect all that is connected."""
     rows = distinct.select("fp").mapInArrow(_replicated, "anchor int, fp long, moved byte")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared, "a long, b long")
+    hot = stored(rows.groupBy("anchor").count().filter(F.col("count") > hot_cell).select("anchor", F.lit(True).alias("hot")), "hot-cells")
+    rows = rows.join(F.broadcast(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    cells = rows.mapInArrow(_split, "anchor int, free int, fp long, moved byte").repartition("anchor", "free").sortWithinPartitions("anchor", "free")
+    return cells.mapInArrow(_compared, "a long, b long")
+
+
+def _roots(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp, ...) with root, one fingerprint of each one's component."""
+    roots = stored(components(links(distinct)), "fingerprint-roots").withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the least doc_id that can be reached by links."""
     fps = stored(fingerprints(documents), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = stored(components(links(distinct)), "fingerprint-roots").withColumnRenamed("node", "fp")
-    of_fp = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of_fp = _roots(stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints"))
     least = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = stored(of_fp.join(least, "root").select("fp", "component_id"), "fingerprint-components")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The columns of ``documents``, one row of each group: that with the least doc_id.
+    """The columns of ``documents``, one row of each group: that with the least doc_id, then the least digest.
 
-    Rows with the same doc_id are one document: one of them stays. Rows without a doc_id all stay, as nothing names
-    them.
+    A row is known by a digest of its doc_id and text, so that of rows with one doc_id and unlike texts each is kept or
+    dropped for itself; rows with the same doc_id and text are one document, of which one row stays. Rows without a
+    doc_id give way to each other only: of a group, one of these stays too.
     """
-    key = free_name(documents, "kept_doc_id")
-    found = near_duplicates(documents).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    named = documents.join(found, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.filter("doc_id IS NULL"))
+    key = free_name(documents, "row_digest")
+    c = F.col
+    digest = F.md5(F.concat_ws(":", F.coalesce(c("doc_id").cast("string"), F.lit("")), F.coalesce(c("text").cast("string"), F.lit(""))))
+    keyed = documents.withColumn(key, digest)
+    fps = stored(fingerprints(keyed, key), "fingerprints")
+    named = F.when(c("doc_id").isNotNull(), F.struct("doc_id", "carried"))
+    unnamed = F.when(c("doc_id").isNull(), c("carried"))
+    of_fp = _roots(stored(fps.groupBy("fp").agg(F.min(named).alias("named"), F.min(unnamed).alias("unnamed")), "distinct-fingerprints"))
+    kept = of_fp.groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
+    kept = kept.select(F.explode(F.array("named.carried", "unnamed")).alias(key)).filter(c(key).isNotNull())
+    return keyed.dropDuplicates([key]).join(stored(kept, "kept-rows").hint("merge"), key, "left_semi").drop(key)
