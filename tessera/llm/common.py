@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: where tables go when the session names no shared folder (tests on one machine).
+#: Fixed value: where tables go when a session on one machine names no shared folder (tests).
 LOCAL_SHARED = "/tmp/tessera-shared"
 
 #: Fixed value: ASCII white space as the word rules define it, for a character class.
@@ -21,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local one set here."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a local one is set.
+
+    Only if all runs on one machine: on a cluster, executors would write what others can't read, so that raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_SHARED)
         found = LOCAL_SHARED
     return found.rstrip("/")
@@ -32,11 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read back.
 
-    Cuts the lineage: a lost executor never makes Spark repeat what produced the table.
+    Cuts the lineage: a lost executor never makes Spark repeat what produced the table. Results that are read later
+    still need it, so it is deleted when the session's application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
