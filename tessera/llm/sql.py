@@ -1,5 +1,7 @@
 """DuckDB SQL with the same rows as those queries that SQL can express."""
 
+from .urls import SUFFIXES
+
 OP1 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source,
@@ -120,6 +122,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+_SECOND = "|".join(f"({'|'.join(second.split())})[.]{country}" for country, second in SUFFIXES.items())
+
 _STRENGTH = """
   SELECT '{level}' AS level, count(*) AS m, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k,
     sum(n::DOUBLE * n) AS nn, sum(k::DOUBLE * k / n) AS kk
@@ -135,10 +139,18 @@ WITH p AS (
   FROM pages
 ), l AS (
   SELECT doc_id AS page_id, max(coalesce((quality = 0 OR toxic = 1)::INT, 0)) AS bad FROM labels GROUP BY 1
-), h AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+), c AS (
+  SELECT host, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '[.]$', '') AS name,
     count(bad) AS n, coalesce(sum(bad), 0) AS k
   FROM p LEFT JOIN l USING (page_id) GROUP BY ALL
+), g AS (
+  SELECT *, string_split(name, '.') AS labels, regexp_matches(name, '^([0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}|\[.*\])$') AS address,
+    CASE WHEN regexp_matches(name, '(^|[.])({_SECOND})$') THEN 2 ELSE 1 END AS width
+  FROM c
+), h AS (
+  SELECT host, n, k, CASE WHEN address THEN name ELSE array_to_string(labels[-width - 1:], '.') END AS domain,
+    CASE WHEN address THEN name ELSE array_to_string(labels[-width:], '.') END AS suffix
+  FROM g
 ), sums AS ({" UNION ALL ".join(_STRENGTH.format(level=x) for x in ("host", "domain", "suffix"))}
 ), anova AS (
   SELECT level, m, n, (kk - k * k / n) / (m - 1) AS b, (k - kk) / (n - m) AS w, (n - nn / n) / (m - 1) AS size FROM sums
@@ -153,15 +165,29 @@ WITH p AS (
   SELECT suffix, (sum(k) + any_value(ss) * any_value(rate)) / (sum(n) + any_value(ss)) AS sp FROM h, one GROUP BY 1
 ), dp AS (
   SELECT domain, (sum(k) + any_value(ds) * any_value(sp)) / (sum(n) + any_value(ds)) AS dp FROM h JOIN sp USING (suffix), one GROUP BY 1
+), ab AS (
+  SELECT host, greatest(k + hs * dp, 1e-3) AS a, greatest(n - k + hs * (1 - dp), 1e-3) AS b FROM h JOIN dp USING (domain), one
+), ends AS (
+  SELECT *, ln(a) - ln(b) AS peak, ln(a) - ln(b) - 8 * sqrt(1 / a + 1 / b) - 20 / a AS low, ln(a) - ln(b) + 8 * sqrt(1 / a + 1 / b) + 20 / b AS high FROM ab
+), cuts AS (
+  SELECT *, least(greatest(0, low), high) AS cut, -a * (greatest(-peak, 0) + ln(1 + exp(-abs(peak)))) - b * (greatest(peak, 0) + ln(1 + exp(-abs(peak)))) AS top FROM ends
+), grid AS (
+  SELECT *, side, unnest(range(65)) AS step, CASE side WHEN 0 THEN low ELSE cut END AS from_, CASE side WHEN 0 THEN cut ELSE high END AS to_ FROM cuts, (VALUES (0), (1)) AS sides(side)
+), points AS (
+  SELECT *, from_ + (to_ - from_) * step / 64 AS u FROM grid
+), masses AS (
+  SELECT host, side, sum((CASE WHEN step IN (0, 64) THEN 1 WHEN step % 2 = 1 THEN 4 ELSE 2 END)
+    * exp(-a * (greatest(-u, 0) + ln(1 + exp(-abs(u)))) - b * (greatest(u, 0) + ln(1 + exp(-abs(u)))) - top)) * any_value(to_ - from_) AS mass
+  FROM points GROUP BY ALL
 ), hp AS (
-  SELECT host, n + hs + 1 AS below, (k + hs * dp) / (n + hs) AS rate FROM h JOIN dp USING (domain), one
+  SELECT host, sum(mass) FILTER (side = 1) / sum(mass) AS chance FROM masses GROUP BY 1
 ), j AS (
   SELECT page_id, host, path, CASE
       WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
       WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
       WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
       WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    host <> '' AND hp.rate - 1.645 * sqrt(hp.rate * (1 - hp.rate) / below) > 0.5 AS bad
+    host <> '' AND hp.chance > 0.95 AS bad
   FROM p LEFT JOIN hp USING (host)
 )
 SELECT page_id, host, path, rule, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block'

@@ -3,7 +3,8 @@
 Labelled page outcomes are counted by host, registered domain and suffix. At each level a beta-binomial prior is
 centred on the posterior mean of the level above (suffix on the whole corpus, domain on its suffix, host on its
 domain); its strength comes from the one-way analysis-of-variance estimate of the correlation within the groups of
-that level. A host is blocked when the lower bound of its posterior rate of bad pages exceeds ``MAX_BAD``.
+that level. A host is blocked when the lower ``BOUND`` quantile of its posterior rate of bad pages exceeds ``MAX_BAD``,
+that is, when the posterior beta distribution has less than ``BOUND`` of its mass up to there (``chance_above``).
 
 A host with few labels so inherits what is known of its domain, and a host without labels can still be judged.
 
@@ -18,13 +19,17 @@ empty result. Other columns of the pages are not carried.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let, stored
+
 #: Fixed values, the rules of the contract: (verdict, host with its subdomains, start of the path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Block above this rate, at this one-sided bound in standard deviations.
-MAX_BAD, BOUND_SD = 0.5, 1.645
+#: Block above this rate, at this one-sided posterior bound; steps of each of the two integrals behind it.
+MAX_BAD, BOUND, STEPS = 0.5, 0.05, 64
 #: Least and greatest prior strength, in pages.
 LEAST_STRENGTH, GREATEST_STRENGTH = 2.0, 1000.0
 
@@ -123,8 +128,34 @@ def strength(m: int, n: int | None, k: int | None, nn: float | None, kk: float |
     return min(max(1 / alike - 1, LEAST_STRENGTH), GREATEST_STRENGTH) if alike > 0 else GREATEST_STRENGTH
 
 
-def reputations(hosts: DataFrame) -> DataFrame:
-    """(host, bad_rate, bad_bound): posterior mean of each host and its lower bound."""
+def chance_above(a: Column, b: Column, x: float = MAX_BAD, steps: int = STEPS) -> Column:
+    """The mass of the beta distribution (a, b) above ``x``, by Simpson's rule to some 1e-4.
+
+    In the logit u of the rate the density is that of rate^a (1 - rate)^b, which is smooth for all a, b > 0, has its
+    peak at log(a / b) and there the width sqrt(1/a + 1/b), and falls off like exp(a u) and exp(-b u).
+    """
+    peak, width = F.log(a) - F.log(b), F.sqrt(1 / a + 1 / b)
+    soft = lambda u: F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))  # noqa: E731  log(1 + exp(u))
+    log_density = lambda u: -a * soft(-u) - b * soft(u)
+    weights = F.array(*(F.lit(1.0 if k in (0, steps) else 4.0 if k % 2 else 2.0) for k in range(steps + 1)))
+
+    def integral(low: Column, high: Column) -> Column:
+        point = lambda k: low + (high - low) * k / F.lit(steps)
+        terms = F.transform(weights, lambda w, k: w * F.exp(log_density(point(k)) - log_density(peak)))
+        return F.aggregate(terms, F.lit(0.0), lambda total, term: total + term) * (high - low)
+
+    ends = F.struct((peak - 8 * width - 20 / a).alias("low"), (peak + 8 * width + 20 / b).alias("high"))
+
+    def mass(e: Column) -> Column:
+        cut = F.least(F.greatest(F.lit(math.log(x / (1 - x))), e["low"]), e["high"])
+        both = F.struct(integral(e["low"], cut).alias("below"), integral(cut, e["high"]).alias("above"))
+        return let(both, lambda m: m["above"] / (m["below"] + m["above"]))
+
+    return let(ends, mass)
+
+
+def reputations(hosts: DataFrame, max_bad: float = MAX_BAD) -> DataFrame:
+    """(host, bad_rate, bad_chance): each host's posterior mean, and how likely its rate is above ``max_bad``."""
     rate, by = strengths(hosts)
     posterior = lambda k, n, mean, s: (F.col(k) + F.lit(s) * mean) / (F.col(n) + F.lit(s))
     domains = hosts.groupBy(domain_of(F.col("host")).alias("domain")).agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
@@ -133,19 +164,21 @@ def reputations(hosts: DataFrame) -> DataFrame:
     domains = domains.withColumn("suffix", suffix_of(F.col("domain"))).join(suffixes, "suffix")
     domains = domains.select("domain", posterior("dk", "dn", F.col("sp"), by["domain"]).alias("dp"))
     out = hosts.withColumn("domain", domain_of(F.col("host"))).join(domains, "domain")
-    out = out.withColumn("bad_rate", posterior("k", "n", F.col("dp"), by["host"]))
-    sd = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("n") + F.lit(by["host"] + 1)))
-    return out.select("host", "bad_rate", (F.col("bad_rate") - F.lit(BOUND_SD) * sd).alias("bad_bound"))
+    least = 1e-3  # pages: keeps a and b above 0 where nothing or all is bad
+    a, b = (F.greatest(x + F.lit(by["host"]) * mean, F.lit(least)) for x, mean in ((F.col("k"), F.col("dp")), (F.col("n") - F.col("k"), 1 - F.col("dp"))))
+    out = out.select("host", posterior("k", "n", F.col("dp"), by["host"]).alias("bad_rate"), a.alias("a"), b.alias("b"))
+    return out.select("host", "bad_rate", chance_above(F.col("a"), F.col("b"), max_bad).alias("bad_chance"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_bad: float = MAX_BAD) -> DataFrame:
-    """One row for each page: page_id, host, path, rule, verdict, bad_rate, bad_bound.
+    """One row for each page: page_id, host, path, rule, verdict, bad_rate, bad_chance.
 
-    ``outcomes``: page_id, bad (0 or 1). A hot host is one row of the reputations; its pages are only looked up.
+    ``outcomes``: page_id, bad (0 or 1). Pages are counted by host once, before a shuffle of the counts. Pages meet their
+    host's row in a left join, in which Spark splits a hot host's pages over tasks (adaptive execution).
     """
-    known = reputations(host_counts(pages, outcomes))
+    known = reputations(stored(host_counts(pages, outcomes), "host-counts"), max_bad)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     out = pages.select("page_id", host.alias("host"), path.alias("path")).join(known, "host", "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when((F.col("host") != "") & (F.col("bad_bound") > max_bad), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_rate", "bad_bound")
+    own = F.when((F.col("host") != "") & (F.col("bad_chance") > 1 - BOUND), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_rate", "bad_chance")
