@@ -20,6 +20,9 @@ columns that this operator adds get underscores in front where the input has the
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import free_name, stored, words_of
 
 #: Target weights of the production mix; what isn't named has weight 1.
-WEIGHTS: dict[str, dict[str, int]] = {"domain": {"web": 5, "reference": 3, "forum": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 2}, "source": {}}
+WEIGHTS: dict[str, dict[str, float]] = {"domain": {"web": 5, "reference": 3, "forum": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 2}, "source": {}}
 #: Sources of each domain; any other source is of domain "other".
 DOMAINS: dict[str, list[str]] = {
     "web": [f"src{i}" for i in range(10)],
@@ -51,14 +54,25 @@ def domain_of(source: Column, domains: dict[str, list[str]] = DOMAINS) -> Column
     return F.when(source.isNull(), F.lit("other")).otherwise(out)
 
 
-def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
-    out = F.lit(1)
-    for value, weight in weights.get(level, {}).items():
-        out = F.when(F.col(level) == value, F.lit(int(weight))).otherwise(out)
+def whole_weights(weights: dict[str, float]) -> tuple[dict[str, int], int]:
+    """A level's weights as integers in the same ratios, and what weight 1 then is. Read as decimals: 0.1 is 1/10."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    one = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {k: int(w * one) for k, w in exact.items()}
+    if min(whole.values(), default=0) < 0 or max(whole.values(), default=0) >= 10**9 or one >= 10**9:
+        raise ValueError("weights must not be negative, and of fewer than ten digits as integers in their ratios")
+    return whole, one
+
+
+def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
+    whole, one = whole_weights(weights.get(level, {}))
+    out = F.lit(one)
+    for value, weight in whole.items():
+        out = F.when(F.col(level) == value, F.lit(weight)).otherwise(out)
     return out.cast("decimal(38,0)")
 
 
-def share(children: DataFrame, parent: list[str], level: str, weights: dict[str, dict[str, int]]) -> DataFrame:
+def share(children: DataFrame, parent: list[str], level: str, weights: dict[str, dict[str, float]]) -> DataFrame:
     """Replaces ``budget``, the parent's, by the child's: by weight, at most ``cap``, shortages to the siblings.
 
     In order of cap per weight the children that reach their cap come first, so one window finds them.
@@ -78,7 +92,7 @@ def share(children: DataFrame, parent: list[str], level: str, weights: dict[str,
     return rows.withColumn("budget", F.when(F.col("_full"), F.col("cap")).otherwise(F.least(part, F.col("cap"))).cast("bigint")).drop("_w", "_full", "_left", "_open")
 
 
-def leaf_budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def leaf_budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, float]] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(domain, lang, source, tokens) with each leaf's ``budget``."""
     of_leaf = leaves.withColumn("cap", F.col("tokens") * F.lit(max_epochs))
     languages = of_leaf.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
@@ -138,7 +152,7 @@ def _small(leaves: DataFrame) -> DataFrame:
 
 def mix(
     documents: DataFrame,
-    weights: dict[str, dict[str, int]] = WEIGHTS,
+    weights: dict[str, dict[str, float]] = WEIGHTS,
     domains: dict[str, list[str]] = DOMAINS,
     budget_percent: int = BUDGET_PERCENT,
     max_epochs: int = MAX_EPOCHS,
