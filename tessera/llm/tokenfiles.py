@@ -10,7 +10,7 @@ ascending doc_id as segments of whole documents, about ``SEGMENT_TOKENS`` ids ea
 token and length beside them. Files are Parquet tables of segments in the shared folder.
 
 Edge cases: a null or empty text has the end id alone; rows with a null doc_id come first; rows with the same doc_id
-follow each other, ordered by their ids; a very long text makes a segment of its own; an empty table gives empty
+follow each other, ordered by their ids, in one shard, which is sorted with spills but not split; a very long text makes a segment of its own; an empty table gives empty
 files and an empty result; other columns are not carried.
 """
 
@@ -32,11 +32,10 @@ from .tokens import encoder, text_slices
 END_ID = 2
 #: Documents in a shard, about; ids in a segment, about.
 SHARD_DOCS, SEGMENT_TOKENS = 8192, 1 << 18
-#: Shards at most; beyond that they hold more documents. Bounds what the driver holds of the quantiles (16 bytes each).
+#: Shards at most; beyond that they hold more documents. Bounds what the driver holds of the quantiles (16 bytes each), the
+#: totals that are broadcast (12 bytes a shard), and the sketch of 100 entries a shard that one task merges (some 100 MB).
 MOST_SHARDS = 20_000
 CHUNK_BITS, RANK_BITS = 8, 512
-#: Rows of shard totals that are sent to every executor at most (12 bytes each); more are joined.
-BROADCAST_SHARDS = 500_000
 
 LEVEL = pa.struct([("chunks", pa.binary()), ("bitmap", pa.binary()), ("ranks", pa.binary())])
 DOC = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -159,7 +158,5 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     sizes = stored(files.groupBy("shard").agg(F.sum("n_tokens").alias("n")), "token-shards")
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    if sizes.count() <= BROADCAST_SHARDS:
-        before = F.broadcast(before)
     docs = files.select("shard", "first", "levels", "docs").mapInArrow(read, "shard int, doc_id long, start long, n_tokens long, ids binary")
-    return docs.join(before, "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
