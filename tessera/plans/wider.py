@@ -127,7 +127,7 @@ WAVES = {name: [[f(2 * math.pi * i * k / 8) for i in range(8)] for k in range(8)
 @oracle(f"""
   WITH {CELLS}, f AS (SELECT vec_id, label, r, k AS kc, sum(v * cos(2 * pi() * c * k / 8)) AS re, sum(v * sin(2 * pi() * c * k / 8)) AS im FROM cells, range(8) AS t(k) GROUP BY ALL),
   g AS (SELECT vec_id, label, k AS kr, kc, sum(re * cos(2 * pi() * r * k / 8) - im * sin(2 * pi() * r * k / 8)) AS re, sum(im * cos(2 * pi() * r * k / 8) + re * sin(2 * pi() * r * k / 8)) AS im FROM f, range(8) AS t(k) GROUP BY ALL)
-  SELECT label, (kr * 8 + kc)::INTEGER AS freq, round(sum(re * re + im * im) / 64, 1) AS power FROM g GROUP BY ALL""")
+  SELECT label, (kr * 8 + kc)::INTEGER AS freq, round(log2(sum(re * re + im * im) / 64 + 1.5e0), 4) AS power FROM g GROUP BY ALL""")
 def power_spectrum(spark, d):
     rows = _blocks(spark, d).withColumn("x", F.transform("b", lambda v: v.cast("double")))
     part = lambda a, b: W.both_sides(F.col("x"), 8, WAVES[a], WAVES[b], "double")
@@ -135,7 +135,7 @@ def power_spectrum(spark, d):
     im = F.zip_with(part("re", "im"), part("im", "re"), lambda x, y: x + y)
     power = F.zip_with(re, im, lambda x, y: x * x + y * y)
     rows = rows.select("label", F.posexplode(power).alias("freq", "p"))
-    return rows.groupBy("label", "freq").agg(F.round(F.sum("p") / 64, 1).alias("power"))
+    return rows.groupBy("label", "freq").agg(F.round(F.log2(F.sum("p") / 64 + 1.5), 4).alias("power"))
 
 
 # ---- statistics ----
