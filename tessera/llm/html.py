@@ -31,8 +31,11 @@ from pyspark.sql import DataFrame
 
 #: Lines on each side of the one that a window is centred on; share of the page's fullest window at which text surges.
 REACH, SURGE = 2, 0.2
-#: What a character counts in an article, in the main part of the page, elsewhere; and in a form, times that.
-WEIGHTS, FORM_WEIGHT = {"article": 10.0, "main": 3.0, None: 1.0}, 0.01
+#: What a character counts in an article, in the main part of the page, elsewhere; and in a form, times that. A marked
+#: article is so outweighed only by much more text.
+WEIGHTS, FORM_WEIGHT = {"article": 1000.0, "main": 3.0, None: 1.0}, 0.0001
+#: Lines between an article and the heading before it at most, such as who wrote it.
+BYLINES = 2
 
 # Elements by their use in HTML.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -172,8 +175,8 @@ class _Reader:
         if self.others:
             return
         whole = " ".join("".join(self.text).split())
-        if whole:
-            self.lines.append(Line(whole, self.weight, *self.at))
+        if whole:  # a title may be a link to its own page
+            self.lines.append(Line(whole, max(self.weight, int(self.at[0] in ("h1", "h2"))), *self.at))
         self.text, self.weight, self.at = [], 0, ()
 
     def last(self, tags: set[str]) -> int:
@@ -327,9 +330,11 @@ def main_lines(lines: list[Line], reach: int = REACH, surge: float = SURGE) -> l
             if not marked:
                 start, end = _extended(part, start, end, min(least / WEIGHTS[part[0].within] / (2 * reach + 1), max(x.weight for x in part[start:end])))
             elif not start and k and not any(x.tag in ("h1", "h2") for x in part):  # its title stands before it
-                title = parts[k - 1][-1]
-                if title.tag in ("h1", "h2") and not title.form and (not kept or kept[-1] is not title):
-                    kept.append(title)
+                before = parts[k - 1]
+                for i in range(len(before) - 1, max(-1, len(before) - 2 - BYLINES), -1):
+                    if before[i].tag in ("h1", "h2") and not before[i].form and not any(x is before[i] for x in kept[-1 - BYLINES :]):
+                        kept += before[i:]
+                        break
             kept += part[start:end]
     return kept
 

@@ -67,6 +67,17 @@ def test_windows_decide_within_an_article():
     assert html.main_lines(lines) != lines == html.main_lines(lines, reach=len(lines), surge=0.0)
 
 
+def test_a_linked_title_stays():
+    top = "<h1><a href=x>T</a></h1><div><a href=y>Ann</a></div><div><a href=z>Monday</a></div><div><a href=w>News</a></div>"
+    assert article(f"{top}{PARAGRAPH}") == f"T\nAnn\nMonday\nNews\n{PROSE.strip()}"
+
+
+def test_a_short_article_outweighs_what_is_around_it():
+    assert html.main_text(f"<article><h1>A b</h1><p>Sh is.</p></article><div>{PARAGRAPH}</div>") == "A b\nSh is."
+    assert html.main_text(f"<main><h1>Headline</h1><p>By Bob</p><article>{PARAGRAPH}<p>End</p></article></main>") == f"Headline\nBy Bob\n{PROSE.strip()}\nEnd"
+    assert html.main_text("<article></article><p>x</p>") == "x"
+
+
 def test_time_is_linear():
     for part in ("<a x='", '<a x="', "<div>", "<b><p>", "<article><p>x", "<form><article>x", "<table><tr><td>", "<!--", "<![CDATA[", "</script", "<script>", "<span class=ad>"):
         began = time.perf_counter()
