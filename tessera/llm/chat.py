@@ -1,15 +1,19 @@
 """Operator 2, chat formatting with a grammar round trip.
 
-A conversation's turns, in order of turn, become one text: each turn between an opening and a closing marker. The
-rendered text is parsed again by a deterministic parser; only if the turns come back identical, and no control
-string stands in it but those of the template, is it taken. Otherwise it is rendered again with more escaped: first
-nothing, then control strings (with backslashes doubled), then every character that can begin one. A backslash
-stands for the character after it, so any level reads back by one rule.
+A turn's text stands between an opening and a closing marker. The rendered turn is parsed again by a deterministic
+parser; only if the turn comes back identical, and no control string stands in it but those of the template, is it taken.
+Otherwise it is rendered again with more escaped: first nothing, then control strings (with backslashes doubled), then
+every character that can begin one. A backslash stands for the character after it, so any level reads back by one rule.
+Turns that each read back alone read back one after the other, since the parser takes the first closing marker; so
+turns are formatted where they lie (``format_turn_rows``), and a conversation's text is that of its turns in order.
+
+``read_back_turns`` streams the formatted turns in order and holds one of them, however long a conversation is.
+``format_chat`` makes one row of each conversation, at one level for all its turns: that row, and what it is made from, is
+held by one task.
 
 Edge cases: a null text or role is an empty one; rows with the same turn are ordered by role, then text; rows with a
 null turn come first; rows with a null conv_id form one conversation; repeated rows are turns of their own; an empty
-table gives an empty result; other columns are not carried. A conversation is held in one task's memory, nothing
-else is: rows are dealt by conv_id and streamed in order.
+table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -34,10 +38,14 @@ ROLE_OF = {opening[1:-1]: (role, f" {closing}") for role, (opening, closing) in
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 LEVELS = 3
 
+TURNS = "conv_id long, turn long, role string, formatted string, level int, loss_start long, loss_length long"
 FORMATTED = "conv_id long, formatted string, level int, n_turns long, loss_spans array<struct<start:long,length:long>>"
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
 def escape(text: str, level: int) -> str:
     if level == 0:
         return text
@@ -121,6 +129,63 @@ def _batches(rows: Iterable[dict], schema: pa.Schema, most: int = 4 << 20) -> It
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def format_turn_rows(conversations: DataFrame) -> DataFrame:
+    """One row for each turn, as of ``TURNS``: its text between markers, and where in that its trained text stands (null: nowhere)."""
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("level", pa.int32()), ("loss_start", pa.int64()), ("loss_length", pa.int64())])
+
+    def rows(batches):
+        for batch in batches:
+            for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
+                formatted, level, spans = format_turns([(role or "", text or "")])
+                start, length = spans[0] if spans else (None, None)
+                yield {"conv_id": conv, "turn": turn, "role": role or "", "formatted": formatted, "level": level, "loss_start": start, "loss_length": length}
+
+    return _turns(conversations).mapInArrow(lambda batches: _batches(rows(batches), schema), TURNS)
+
+
+def _turns(conversations: DataFrame) -> DataFrame:
+    c = F.col
+    return conversations.select(c("conv_id").cast("bigint"), c("turn").cast("bigint"), c("role").cast("string"), c("text").cast("string"))
+
+
+def read_back_turns(turns: DataFrame) -> DataFrame:
+    """Digests of what each conversation's formatted turns hold, from a parse of them in order: the columns of ``READ_BACK``."""
+
+    class Digest:
+        def __init__(self, conv: int | None):
+            self.conv, self.n_turns, self.loss_chars, self.chars = conv, 0, 0, 0
+            self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+        def add(self, text: str, start: int | None, length: int | None) -> None:
+            self.chars += len(text)
+            for role, said in parse(text):
+                self.n_turns += 1
+                self.turns.update(f"{role}\n{said}\n".encode())
+            if start is not None:
+                loss = unescape(text[start : start + length])
+                self.loss_chars += len(loss)
+                self.loss.update(loss.encode())
+
+        def row(self) -> dict:
+            return {"conv_id": self.conv, "n_turns": self.n_turns, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars}
+
+    def rows(batches):
+        current = None
+        for batch in batches:
+            for conv, *turn in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_length")), strict=True):
+                if current is None or conv != current.conv:
+                    if current is not None:
+                        yield current.row()
+                    current = Digest(conv)
+                current.add(*turn)
+        if current is not None:
+            yield current.row()
+
+    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    given = dealt.select("conv_id", "formatted", "loss_start", "loss_length")
+    return given.mapInArrow(lambda batches: _batches(rows(batches), DIGESTS), READ_BACK)
+
+
 def format_chat(conversations: DataFrame) -> DataFrame:
     """One row for each conversation: conv_id, formatted, level, n_turns, loss_spans."""
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("level", pa.int32()), ("n_turns", pa.int64()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
@@ -130,16 +195,12 @@ def format_chat(conversations: DataFrame) -> DataFrame:
             text, level, spans = format_turns(turns)
             yield {"conv_id": conv, "formatted": text, "level": level, "n_turns": len(turns), "loss_spans": [{"start": a, "length": n} for a, n in spans]}
 
-    c = F.col
-    turns = conversations.select(c("conv_id").cast("bigint"), c("turn").cast("bigint"), c("role"), c("text"))
-    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = _turns(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(lambda batches: _batches(rows(batches), schema), FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the formatted texts hold, from a parse of them: the columns of ``READ_BACK``."""
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-
     def rows(batches):
         for batch in batches:
             for conv, text, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_spans")), strict=True):
@@ -155,4 +216,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     "formatted_chars": len(text),
                 }
 
-    return formatted.mapInArrow(lambda batches: _batches(rows(batches), schema), READ_BACK)
+    return formatted.mapInArrow(lambda batches: _batches(rows(batches), DIGESTS), READ_BACK)

@@ -28,7 +28,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(PLANTED_CONVERSATION, "conv_id long, turn long, role string, text string")
-    return chat.read_back(stored(chat.format_chat(given.unionByName(planted)), "chat"))
+    return chat.read_back_turns(stored(chat.format_turn_rows(given.unionByName(planted)), "chat"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
