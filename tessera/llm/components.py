@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
 
     A large star hangs each node's greater neighbours on its least one, a small star does so with the smaller ones;
     both keep what is connected connected, and when neither changes anything every component is one star. Minima
-    are summed up before they are shuffled, so that the centre of a star is not a hot key of that step.
+    are summed up before they are shuffled, so that the centre of a star is not a hot key of that step. A centre's links
+    meet its minimum, one row, in an inner join, which Spark's adaptive execution splits where a centre is hot.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = stored(edges, "links"), None

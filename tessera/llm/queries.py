@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-import corpus_pipeline
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +71,8 @@ def piece_digests(packed: DataFrame) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which imports this subpackage's operators
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
