@@ -32,7 +32,10 @@ def kmeans_steps(hist: DataFrame, seeds: list[int], steps: int) -> DataFrame:
 
 
 def nearest_block(blocks: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(vec_id, centroid, distance): the centroid (label, b) of least squared distance, ties to the lowest label."""
+    """(vec_id, centroid, distance): the centroid (label, b) of least squared distance, ties to the lowest label.
+
+    Few centroids, as constants of the plan; ``nearest_block_of_many`` takes any number.
+    """
     rows = centroids.orderBy("label").limit(MOST_CENTROIDS + 1).collect()
     if len(rows) > MOST_CENTROIDS:
         raise ValueError(f"more than {MOST_CENTROIDS} centroids")
@@ -42,6 +45,20 @@ def nearest_block(blocks: DataFrame, centroids: DataFrame) -> DataFrame:
     return blocks.select("vec_id", best.alias("x")).select("vec_id", F.col("x.label").alias("centroid"), F.col("x.d").alias("distance"))
 
 
+def nearest_block_of_many(blocks: DataFrame, centroids: DataFrame, pack: int = MOST_CENTROIDS) -> DataFrame:
+    """(vec_id, centroid, distance) as of ``nearest_block``, for any number of centroids (label, b), vec_id being unique.
+
+    Centroids go in packs of some ``pack``, one row each, and every block meets every pack: the work is blocks times
+    centroids, but only a pack's best one is a row, and these are reduced by vec_id before they are shuffled.
+    """
+    packs = max(1, -(-centroids.count() // pack))
+    rows = centroids.groupBy(F.pmod(F.xxhash64("label"), F.lit(packs)).alias("_pack")).agg(F.collect_list(F.struct("label", F.col("b").alias("c"))).alias("_of"))
+    distance = lambda c: F.aggregate(F.zip_with("b", c, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    best = F.array_min(F.transform("_of", lambda t: F.struct(distance(t["c"]).alias("d"), t["label"].alias("label"))))
+    met = blocks.select("vec_id", "b").join(rows, F.lit(True)).select("vec_id", best.alias("x"))
+    return met.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", F.col("x.label").alias("centroid"), F.col("x.d").alias("distance"))
+
+
 def split_by_cache(df: DataFrame, cache: DataFrame, on: str) -> DataFrame:
     """``df`` with ``cached``: whether the cache has its key. One join; a null key is in no cache."""
     keys = cache.select(on).distinct().withColumn("cached", F.lit(True))

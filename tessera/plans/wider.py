@@ -46,6 +46,14 @@ def snap_within_limit(spark, d):
     return near.select("value", "n", "cached", F.when(F.col("cached"), F.col("x.value")).otherwise(F.col("value")).alias("snapped"))
 
 
+@oracle(f"""
+  WITH {CELLS}, k AS (SELECT vec_id AS l, i, v AS w FROM cells WHERE vec_id % 7 = 0), d AS (SELECT vec_id, l, sum((v - w) * (v - w))::BIGINT AS d FROM cells JOIN k USING (i) WHERE vec_id % 7 <> 0 GROUP BY ALL)
+  SELECT vec_id, arg_min(l, (d, l)) AS centroid, min(d) AS distance FROM d GROUP BY 1""")
+def nearest_of_many(spark, d):
+    b = _blocks(spark, d)
+    return L.nearest_block_of_many(b.filter("vec_id % 7 <> 0"), b.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("label"), "b"), 32)
+
+
 @oracle(f"""
   WITH {CELLS}, v AS (SELECT vec_id, label, (sum(v * v) - ((sum(v)::BIGINT * sum(v)::BIGINT) >> 6))::BIGINT AS v FROM cells GROUP BY ALL)
   SELECT label, floor(log2(v + 1.5e0) * 4)::BIGINT AS log_variance, count(*) AS n FROM v GROUP BY ALL""")
