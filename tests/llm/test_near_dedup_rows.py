@@ -1,29 +1,32 @@
 """Which rows stay: by row, not by doc_id; and hot cells."""
 
 import numpy as np
-import pytest
 
 from tessera.llm import components, simhash
 
-A, B = "one quick text about ships and harbours " * 9, "another matter is the price of grain in the north " * 9
+WORDS = "ships harbours grain north price river stone lamp winter glass copper letter garden violin thunder bread".split()
 
 
-@pytest.mark.parametrize(
-    ("rows", "want"),
-    [
-        ([(3, A), (5, A), (5, B)], [(3, A), (5, B)]),
-        ([(None, A), (None, A), (None, B)], [(None, A), (None, B)]),
-        ([(5, B), (5, B), (5, A), (9, A)], [(5, A), (5, B)]),
-        ([(7, None), (6, ""), (6, " "), (8, A)], [(6, ""), (8, A)]),
-        ([(3, A), (None, A)], [(3, A), (None, A)]),
-    ],
-)
-def test_rows_that_stay(spark, rows, want):
+def text(i):
+    """Texts that are far from each other."""
+    return " ".join(WORDS[(i * 7 + k * (2 * i + 3)) % len(WORDS)] + str(i) for k in range(60))
+
+
+A, B, C, D, E, F = map(text, range(6))
+#: Rows, and those that stay, of groups that have nothing to do with each other.
+CASES = [
+    ([(3, A), (5, A), (5, B)], [(3, A), (5, B)]),
+    ([(None, C), (None, C), (None, D)], [(None, C), (None, D)]),
+    ([(15, E), (15, E), (9, E)], [(9, E)]),
+    ([(7, None), (6, ""), (6, ""), (8, " ")], [(6, "")]),
+    ([(13, F), (None, F)], [(13, F), (None, F)]),
+]
+
+
+def test_rows_that_stay(spark):
+    rows = [row for given, _ in CASES for row in given]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = sorted(map(tuple, kept.collect()), key=str)
-    if (6, " ") in got:  # of an empty and a blank text with one doc_id either may stay
-        got = sorted([(6, "") if r == (6, " ") else r for r in got], key=str)
-    assert got == sorted(want, key=str)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((row for _, want in CASES for row in want), key=str)
 
 
 def test_split_cells_link_the_same(spark):
@@ -39,8 +42,8 @@ def test_split_cells_link_the_same(spark):
 def test_a_large_cell_is_compared_fast():
     """A million fingerprints of one cell: a group of near copies, and others without a link."""
     rng = np.random.default_rng(5)
-    near = np.unique(np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (4, 200_000)).astype(np.uint64), axis=0))
-    apart = rng.integers(0, 2**63, 800_000, dtype=np.uint64)
+    near = np.unique(np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (4, 100_000)).astype(np.uint64), axis=0))
+    apart = rng.integers(0, 2**63, 900_000, dtype=np.uint64)
     fps = np.unique(np.concatenate([near, apart]))
     i, j = simhash.forest(fps)
     assert (np.bitwise_count(fps[i] ^ fps[j]) <= 3).all()
