@@ -62,9 +62,9 @@ SCOPE = {"button", "caption", "object", "table", "td", "th", "template"}
 OTHER_WORDS = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promoted promotion promotions sidebar sidebars "
     "menu menus nav navbar navigation breadcrumb breadcrumbs footer colophon cookie cookies consent gdpr notice notices popup newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus share sharing related recommended recommendations pagination pager".split()
+    "comment comments commentlist replies reply respond disqus share sharing related recommended recommendations pagination pager".split()
 )
-OUTER_WORDS = set("banner header masthead topbar alert modal overlay discussion respond replies reply social widget widgets toolbar search form".split())
+OUTER_WORDS = set("banner header masthead topbar alert modal overlay discussion social widget widgets toolbar search form".split())
 BESIDE = set(
     "site page main top bottom left right center side head upper lower global primary secondary mobile desktop sticky fixed floating list lists box boxes section block blocks container wrapper wrap inner outer "
     "bar bars area item items link links button buttons icon icons unit units slot slots zone row column col panel card cards group holder body content text title author meta count counter date thread tree "
