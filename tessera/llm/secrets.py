@@ -61,16 +61,16 @@ def _either(words: list[str]) -> str:
 _INNER = rf"(?![^\s\"']*?(?:://|(?i:{_either(SECRET_WORDS)})[0-9_]{{0,4}}[=:][^\s\"']{{6}}))"
 _BARE = rf"{_INNER}(?:(?![.,;:)\]}}]{{0,8}}+(?:[\s\"'<>]|\z)|[&,;][A-Za-z_]\w*+[=:]|\\[\"'n])[^\s\"'<>]){{6,}}+"
 ASSIGNED = (
-    r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]{3,}+[\\\"'\]]{0,3}\s{0,8}[=:])([A-Za-z0-9+/_.-]*?"
+    r"(?<!\.)(?=[A-Za-z0-9+/_.-]{3,}+[\\\"'\]]{0,3}\s{0,8}[=:])([A-Za-z0-9+/_.-]*?"
     rf"(?i:{_either(SECRET_WORDS)})[0-9_]{{0,4}}[\\\"'\]]{{0,3}}\s{{0,8}}(?:=>|[=:]{{1,2}})\s{{0,8}}(?:(?i:bearer|basic|token)\s{{1,8}})?)"
 )
-_DOTTED = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z0-9._-]{12})[A-Za-z0-9_-]{2,}+(?:\.[A-Za-z0-9_-]{6,}+)++(?![@/])"
-_RUN = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}+={0,2}"
+_DOTTED = r"(?<![.@])(?=[A-Za-z0-9._-]{12})[A-Za-z0-9_-]{2,}+(?:\.[A-Za-z0-9_-]{6,}+)++(?![@/])"
+_RUN = r"(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}+={0,2}"
 _QUOTED = [
     rf"({q})(?=[^{q}\r\n]{{6,}}+{q}){_INNER}(?:(?=[^{q}\s]++{q})|(?![^{q}\r\n]*?(?:[=:]|[A-Za-z0-9+/_-]{{12}})))([^{q}\r\n]++)"
     for q in ('"', "'")
 ]
-CANDIDATE = rf"{ASSIGNED}(?:{_QUOTED[0]}|{_QUOTED[1]}|((?:\\*[\"'])?)({_BARE}))|({_DOTTED}|{_RUN})"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?:{ASSIGNED}(?:{_QUOTED[0]}|{_QUOTED[1]}|((?:\\*[\"'])?)({_BARE}))|({_DOTTED}|{_RUN}))"
 #: What stands before and within the candidate, by groups of ``CANDIDATE``.
 CUT = "$1$2$4$6\x01$3$5$7$8\x01"
 
@@ -119,10 +119,7 @@ def features(c: Column, left: Column, right: Column) -> Column:
 
 def cut_text(text: Column) -> Column:
     """The text in pieces; those at odd places are its candidates."""
-    return let(
-        F.replace(text, F.lit("\x01"), F.lit(" ")),
-        lambda t: F.when(t.rlike(CANDIDATE), F.split(F.regexp_replace(t, CANDIDATE, CUT), "\x01")).otherwise(F.array(t)),
-    )
+    return F.split(F.regexp_replace(F.replace(text, F.lit("\x01"), F.lit(" ")), CANDIDATE, CUT), "\x01")
 
 
 def around(p: Column, i: Column) -> tuple[Column, Column]:
