@@ -130,11 +130,19 @@ def around(p: Column, i: Column) -> tuple[Column, Column]:
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEED) -> DataFrame:
-    """(id, text, label, secret): short texts; label 1.0 and the secret if there is one. As many of either kind."""
-    i = F.col("id")
+    """(id, text, label, secret): short texts; label 1.0 and the secret if there is one. As many of either kind.
+
+    One nested expression, which Spark interprets: as generated code all templates together would be too large.
+    """
+    ids = spark.range(0, rows, 1, 1)
+    return ids.select("id", let(F.col("id"), lambda i: _finding(i, seed)).alias("x")).select("id", "x.text", "x.label", "x.secret")
+
+
+def _finding(i: Column, seed: int) -> Column:
+    """Struct (text, label, secret) of one labelled finding."""
     r = lambda salt: F.sha2(F.concat_ws(":", F.lit(seed), F.lit(salt), i), 256)  # noqa: E731  64 hex digits
     n = lambda salt, below: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), i), F.lit(below)).cast("int")
-    pick = lambda salt, words: F.element_at(F.array(*map(F.lit, words)), n(salt, len(words)) + 1)
+    pick = lambda salt, words: F.element_at(F.split(F.lit("\x02".join(words)), "\x02"), n(salt, len(words)) + 1)
     base64 = lambda salt: F.translate(F.base64(F.unhex(r(salt))), "=", "")  # noqa: E731  43 characters
     plain = lambda salt: F.translate(base64(salt), "+/", "xQ")
     upper32 = lambda salt: F.translate(F.upper(F.substring(r(salt), 1, 32)), "01", "QZ")
@@ -196,12 +204,23 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
     ]
     secrets = [F.struct(a.alias("before"), b.alias("secret"), c.alias("after")) for a, b, c in secrets]
     others = [F.struct(x.alias("before"), F.lit(None).cast("string").alias("secret"), none.alias("after")) for x in others]
-    choose = lambda kinds, salt: F.element_at(F.array(*kinds), n(salt, len(kinds)) + 1)
+
+    def choose(kinds: list[Column], salt: str) -> Column:
+        at, out = n(salt, len(kinds)), kinds[-1]
+        for k, kind in reversed(list(enumerate(kinds[:-1]))):
+            out = F.when(at == k, kind).otherwise(out)
+        return out
+
     is_secret = n("label", 2) == 1
     body = F.when(is_secret, choose(secrets, "kind")).otherwise(choose(others, "kind2"))
-    text = F.concat(words("left"), F.lit(" "), F.col("b.before"), F.coalesce("b.secret", none), F.col("b.after"), F.lit(" "), words("right"))
-    rows = spark.range(0, rows, 1, 1).withColumn("b", body)
-    return rows.select("id", text.alias("text"), is_secret.cast("double").alias("label"), F.col("b.secret").alias("secret"))
+    return let(
+        body,
+        lambda b: F.struct(
+            F.concat(words("left"), F.lit(" "), b["before"], F.coalesce(b["secret"], none), b["after"], F.lit(" "), words("right")).alias("text"),
+            is_secret.cast("double").alias("label"),
+            b["secret"].alias("secret"),
+        ),
+    )
 
 
 def finding_features(findings: DataFrame) -> DataFrame:
@@ -209,7 +228,7 @@ def finding_features(findings: DataFrame) -> DataFrame:
     pieces = findings.withColumn("p", cut_text(F.col("text"))).filter(F.size("p") > 1)
     places = pieces.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2))))
     mine = F.coalesce(F.col("p")[F.col("i")].contains(F.col("secret")), F.lit(False)).cast("double")
-    return places.select("id", mine.alias("label"), features(F.col("p")[F.col("i")], *around(F.col("p"), F.col("i"))).alias("x"))
+    return places.select("id", mine.alias("label"), let(F.col("p")[F.col("i")], lambda c: features(c, *around(F.col("p"), F.col("i")))).alias("x"))
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[list]:
