@@ -41,12 +41,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor never makes Spark repeat what produced the table. Results that are read later
     still need it, so it is deleted when the session's application ends.
     """
+    return stored_at(df, name)[0]
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored``, and the table's path for ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more: what was made of it is stored itself."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable
 
@@ -9,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, packing, quality, secrets, simhash, tokenfiles, topk, urls
+from . import bpe, centroids, chat, html, mixing, packing, phrases, quality, secrets, simhash, tokenfiles, topk, urls
 from .common import stored, table
-from .sql import OP1, OP4, OP9, OP10
+from .sql import OP1, OP4, OP9, OP10, OP11, OP13
 from .tokens import wide
 
 
@@ -88,6 +89,26 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    per = "cluster int, cluster_inertia long, inertia long, centroid_sha256 string"
+    if found is None:
+        return spark.createDataFrame([], f"vec_id long, distance long, {per}")
+    inertia = {r["cluster"]: int(r["s"]) for r in found.members.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}
+    digest = lambda c: hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()
+    rows = [(i, inertia[i], sum(inertia.values()), digest(found.centroids[i])) for i in inertia]
+    return found.members.select("vec_id", "cluster", "distance").join(F.broadcast(spark.createDataFrame(rows, per)), "cluster")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best_collocations(phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
     "op1_source_mixing": op1_source_mixing,
@@ -100,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_bpe": op12_bpe,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
-ORACLES: dict[str, str] = {"op1_source_mixing": OP1, "op4_exact_top_k": OP4, "op9_quality_rules": OP9, "op10_url_filters": OP10}
+ORACLES: dict[str, str] = {"op1_source_mixing": OP1, "op4_exact_top_k": OP4, "op9_quality_rules": OP9, "op10_url_filters": OP10, "op11_centroid_clustering": OP11, "op13_phrase_collocations": OP13}

@@ -194,3 +194,53 @@ SELECT page_id, host, path, rule, CASE rule WHEN 'example.net/en/' THEN 'allow'
   WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block' ELSE CASE WHEN bad THEN 'block' ELSE 'allow' END END AS verdict
 FROM j
 """
+
+
+def _clustering(k: int = 16, rounds: int = 3) -> str:
+    """Each round: all distances, the nearest centroid, floors of the means."""
+    steps = [
+        "x AS (SELECT row_number() OVER () AS rid, vec_id, [floor(64 * y::DOUBLE)::BIGINT FOR y IN embedding] AS v FROM embeddings "
+        "WHERE len(embedding) = 64 AND len([y FOR y IN embedding IF y IS NOT NULL AND isfinite(y)]) = 64)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM x WHERE vec_id IS NOT NULL QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"d{i} AS (SELECT rid, vec_id, x.v, c, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(x.v, c{i}.v)])::BIGINT AS d FROM x, c{i})")
+        steps.append(f"a{i} AS (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)")
+        steps.append(
+            f"m{i} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY j)::BIGINT[] AS v FROM (SELECT c, j, sum(v[j])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i}, range(1, 65) t(j) GROUP BY ALL) GROUP BY c), "
+            f"c{i + 1} AS (SELECT c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))"
+        )
+    last = rounds
+    return f"""WITH {', '.join(steps)}
+      SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+        sha256(array_to_string(c{last}.v, ',')) AS centroid_sha256 FROM a{last} JOIN c{last} USING (c)"""
+
+
+OP11 = _clustering()
+
+OP13 = r"""
+WITH w AS (
+  SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), g AS (
+  SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase FROM w, range(1, 4) t(k) WHERE len(ws) >= k
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1
+), c AS MATERIALIZED (
+  SELECT *, str_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 10
+), o AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), s AS (
+  SELECT o.*, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+  FROM o JOIN f AS x ON x.lang = o.lang AND x.phrase = o.head JOIN f AS y ON y.lang = o.lang AND y.phrase = o.rest
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL
+)
+SELECT b.lang, (row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase))::BIGINT AS rank, b.phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM b JOIN n USING (lang) LEFT JOIN longer USING (lang, phrase) WHERE longer.f IS NULL OR 100 * longer.f < 50 * a QUALIFY rank <= 2000
+"""
