@@ -10,6 +10,7 @@ from ..functions.fixed import clamp
 from ..operators import blocks as B
 from ..operators import filters as X
 from ..operators import grids as G
+from ..operators import quantiles as E
 from ..operators import sequences as S
 from ..sources.tables import load
 from .catalogue import _blocks, _events
@@ -341,11 +342,12 @@ def noise_strength_solved(spark, d):
   WITH {CELLS}, v AS (SELECT vec_id, label, (sum(v * v) - ((sum(v)::BIGINT * sum(v)::BIGINT) >> 6))::BIGINT AS v FROM cells GROUP BY ALL),
   t AS (SELECT quantile_disc(v, 0.9) AS t FROM v) SELECT label, count(*) FILTER (v >= t) AS n_flat, max(t) AS threshold FROM v, t GROUP BY 1""")
 def flat_percentile(spark, d):
-    """Blocks from the score's 90th percentile on: the value at which the running count of the score's histogram reaches it."""
+    """Blocks from the score's 90th percentile on, which is found by descent over histograms of the score's digits."""
     node = _blocks(spark, d).select("label", B.node_sums(F.col("b"), 8)[0].alias("x"))
     v = node.select("label", (F.col("x.ss") - F.shiftright(F.col("x.s") * F.col("x.s"), 6)).alias("v"))
-    threshold = v.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY v)").cast("bigint").alias("threshold"))
-    return v.join(F.broadcast(threshold), F.lit(True)).groupBy("label").agg(F.count_if(F.col("v") >= F.col("threshold")).alias("n_flat"), F.max("threshold").alias("threshold"))
+    threshold = E.exact_quantile(v, F.col("v"), 0.9)
+    at = F.lit(threshold).cast("bigint")
+    return v.groupBy("label").agg(F.count_if(F.col("v") >= at).alias("n_flat")).withColumn("threshold", at)
 
 
 @oracle(f"WITH {CELLS} SELECT label, min(v) AS low, max(v) AS high, count(*) AS n FROM cells GROUP BY 1")
