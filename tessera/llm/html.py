@@ -1,15 +1,18 @@
 """Operator 3, HTML extraction by the distribution of text over line blocks.
 
 A page becomes lines, one for each block of its markup (paragraph, heading, list item, table cell, ...), in page
-order. What stands in a menu, footer, sidebar, notice, advert, script, comment section or the like makes no line; it is
-told by its element, or by a class or id that is nothing but such words. A line weighs its characters outside links,
-times a factor for where it stands (``WEIGHTS``): markup is an input to the distribution, which then decides on every page.
-
-Weights are summed over sliding windows of lines. Text surges where a window reaches ``SURGE`` of the page's fullest
-one, and dives where a window has nothing: a menu of links, whatever holds it. What lies between dives and surges
-somewhere is kept. Two corrections follow. Of an article that surges, all lines between dives stay, however short.
-Where the page marks none, a run is cut back to its heavy lines and then extended over adjoining headings and short
-paragraphs beside them.
+order; what is not shown (scripts, styles, controls, hidden elements) makes none. A line weighs its characters outside links,
+times a factor for where it stands: ``WEIGHTS`` for an article, the main part or elsewhere, ``OTHER_WEIGHT`` in what is told
+to be a menu, header, footer, sidebar, notice, advert or comment section by its element, or by a class or id that is
+nothing but such words. Markup only weighs; the distribution decides which lines stay, on every page.
+
+Weights are summed over sliding windows of lines, within what stands in one place (an article, a menu, the rest). Text
+surges where a window reaches ``SURGE`` of the page's fullest one, and dives where a window has nothing: a list of links
+that no article holds. What lies between dives and surges somewhere is kept. Of the articles that a page marks the fullest
+one surges whatever its length, and it counts as a paragraph (``PARAGRAPH``) at least; so a page's article outweighs other
+text up to some times its length. Of an article that surges all lines stay, however short, references and other lists of
+links among them. Where no article is marked, a run is cut back to its heavy lines and then extended over adjoining
+headings and short paragraphs beside them.
 
 Edge cases: a null or empty page gives an empty text; markup is read as browsers do: a tag or quote that the page ends
 in takes the rest with it, elements end with what holds them; repeated rows are each extracted; an empty table gives
@@ -31,9 +34,11 @@ from pyspark.sql import DataFrame
 
 #: Lines on each side of the one that a window is centred on; share of the page's fullest window at which text surges.
 REACH, SURGE = 2, 0.2
-#: What a character counts in an article, in the main part of the page, elsewhere; and in a form, times that. A marked
-#: article is so outweighed only by much more text.
-WEIGHTS, FORM_WEIGHT = {"article": 1000.0, "main": 3.0, None: 1.0}, 0.0001
+#: What a character counts in an article, in the main part of the page, elsewhere, and elsewhere on a page that marks either; in
+#: a menu, advert, comment section and the like; and in a form, times that.
+WEIGHTS, BESIDE_ARTICLE, OTHER_WEIGHT, FORM_WEIGHT = {"article": 4.0, "main": 3.0, None: 1.0}, 0.25, 0.02, 0.02
+#: Characters that a page's fullest article counts as at least.
+PARAGRAPH = 300
 #: Lines between an article and the heading before it at most, such as who wrote it.
 BYLINES = 2
 
@@ -48,7 +53,8 @@ BLOCKS = HEADINGS | set(
 TEXTUAL = {"p", "blockquote", "pre", "figcaption", "caption", "dd", "dt", "li", "td", "th", "address"}
 IN_LISTS = {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "ul", "ol", "dl", "table"}
 IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
-NEVER = {"head", "nav", "aside", "footer", "menu", "dialog", "search", "noscript", "template", "svg", "canvas", "audio", "video", "select", "button", "datalist"}
+UNSHOWN = {"head", "noscript", "template", "svg", "canvas", "audio", "video", "select", "button", "datalist"}
+OTHER = {"nav", "aside", "footer", "menu", "dialog", "search"}
 ARTICLE = {"article", "main"}
 UNMARKED = {"html", "body", "main"} | HEADINGS
 #: An element that starts ends those open ones (left) that no other (right) holds.
@@ -68,17 +74,18 @@ OUTER_WORDS = set("banner header masthead topbar alert modal overlay discussion
 BESIDE = set(
     "site page main top bottom left right center side head upper lower global primary secondary mobile desktop sticky fixed floating list lists box boxes section block blocks container wrapper wrap inner outer "
     "bar bars area item items link links button buttons icon icons unit units slot slots zone row column col panel card cards group holder body content text title author meta count counter date thread tree "
-    "posts articles stories news pages products media policy message messages warning info us you may like more also this by to and your email the in up id js".split()
+    "posts articles stories news pages products media message messages warning info us you may like more also this by to and your email the in up id js".split()
 )
 BESIDE_MARKED = {"post", "article", "entry", "blog", "story", "user", "reader", "readers"}
-OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "note"}
+OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form"}
 
 TAG = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?)*+)(>|\Z)""",
     re.DOTALL,
 )
-MAY_MARK = re.compile("class|id|role|style", re.IGNORECASE)
+MAY_MARK = re.compile("class|id|role", re.IGNORECASE)
+MAY_HIDE = re.compile("hidden|style", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -93,6 +100,8 @@ class Line:
     article: int = 0  # number of the article or main part that holds it; 0: none
     within: str | None = None  # that element
     form: bool = False
+    other: int = 0  # number of the outermost menu, advert or the like that holds it; 0: none
+    place: int = 0
 
 
 def names_other(name: str, in_article: bool) -> bool:
@@ -103,22 +112,33 @@ def names_other(name: str, in_article: bool) -> bool:
     return not in_article and bool(words & OUTER_WORDS) and words <= OUTER_WORDS | BESIDE
 
 
+def unshown(tag: str, attributes: str) -> bool:
+    """Whether an element is not shown, by itself or by an attribute of that very name."""
+    if tag in UNSHOWN:
+        return True
+    if tag in UNMARKED or not MAY_HIDE.search(attributes):
+        return False
+    found = [("".join(values), name.lower()) for name, *values in ATTRIBUTE.findall(attributes)]
+    return any(name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(UNSEEN.search(value))) for value, name in found)
+
+
 def marked_other(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert or comment section, or not shown.
+    """Whether an element is told to be a menu, header, footer, sidebar, notice, advert or comment section.
 
     Only attributes of these very names count, not others' names or values (``data-id``, ``title="Hidden lakes"``).
-    Within an article a header is its own: it holds the title.
+    Within an article a header is its own: it holds the title; so is a section called discussion, but not a div of that class.
     """
-    if tag in NEVER or (tag == "header" and not in_article):
+    if tag in OTHER or (tag == "header" and not in_article):
         return True
     if tag in UNMARKED or not MAY_MARK.search(attributes):
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name in ("class", "id"):
-            if any(names_other(x, in_article) for x in value.split()):
+            outer = in_article and not (name == "class" and tag == "div" and value.lower() == "discussion")
+            if any(names_other(x, outer) for x in value.split()):
                 return True
-        elif (name == "role" and set(value.lower().split()) & OTHER_ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and UNSEEN.search(value)):
+        elif name == "role" and set(value.lower().split()) & OTHER_ROLES:
             return True
     return False
 
@@ -129,6 +149,7 @@ class _Open:
 
     tag: str
     number: int
+    unshown: bool = False
     other: bool = False
     link: bool = False
     article: bool = False
@@ -143,7 +164,9 @@ class _Reader:
     places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))  # of each tag's open elements in the stack
     blocks: list[_Open] = field(default_factory=list)
     articles: list[_Open] = field(default_factory=list)
-    others: int = 0
+    unshown: int = 0
+    other: _Open | None = None  # the outermost menu, advert or the like that is open
+    outside: tuple = ()  # the text of the line that it stands in
     links: int = 0
     number: int = 0
     text: list[str] = field(default_factory=list)
@@ -151,7 +174,7 @@ class _Reader:
     at: tuple = ()  # what the block's first text stands in
 
     def add(self, text: str) -> None:
-        if self.others or not text:
+        if self.unshown or not text:
             return
         text = unescape(text) if "&" in text else text
         if not self.at and not text.isspace():
@@ -161,7 +184,7 @@ class _Reader:
                 holder = up.number
                 if up.tag not in IN_LISTS or block.tag not in IN_LISTS:
                     break
-            self.at = (block.tag if block else "", holder, article.number if article else 0, article.tag if article else None, bool(self.places["form"]) and self.form_holds())
+            self.at = (block.tag if block else "", holder, article.number if article else 0, article.tag if article else None, bool(self.places["form"]) and self.form_holds(), self.other.number if self.other else 0)
         self.text.append(text)
         if not self.links:
             self.weight += len(text.strip())
@@ -172,11 +195,11 @@ class _Reader:
         return self.places["form"][-1] > max(inner, default=-1)
 
     def end_block(self) -> None:
-        if self.others:
+        if self.unshown:
             return
         whole = " ".join("".join(self.text).split())
         if whole:  # a title may be a link to its own page
-            self.lines.append(Line(whole, max(self.weight, int(self.at[0] in ("h1", "h2"))), *self.at))
+            self.lines.append(Line(whole, max(self.weight, int(self.at[0] in ("h1", "h2"))), *self.at, len(self.lines)))
         self.text, self.weight, self.at = [], 0, ()
 
     def last(self, tags: set[str]) -> int:
@@ -192,7 +215,9 @@ class _Reader:
             of.pop()
         else:
             of.remove(place)
-        self.others -= x.other
+        self.unshown -= x.unshown
+        if x is self.other:
+            self.end_other()
         self.links -= x.link
         for held in (self.articles if x.article else None, self.blocks if x.tag in BLOCKS else None):
             if held:
@@ -200,6 +225,13 @@ class _Reader:
         while self.stack and self.stack[-1] is None:
             self.stack.pop()
 
+    def end_other(self) -> None:
+        """Ends the line within a menu, advert or the like, and goes on with the one that it stands in."""
+        hidden, self.unshown = self.unshown, 0
+        self.end_block()
+        self.unshown, self.other = hidden, None
+        self.text, self.weight, self.at = self.outside
+
     def end_from(self, place: int) -> None:
         """Ends an element with all that it holds."""
         block = False
@@ -230,10 +262,13 @@ class _Reader:
             return
         self.number += 1
         inside = bool(self.articles)
-        x = _Open(tag, self.number, other=marked_other(tag, attributes, inside))
+        x = _Open(tag, self.number, unshown=unshown(tag, attributes), other=marked_other(tag, attributes, inside))
         x.link = tag == "a" and "href" in attributes.lower()
-        x.article = tag in ARTICLE and not x.other and not self.others and (tag == "article" or not inside)
-        self.others += x.other
+        x.article = tag in ARTICLE and not x.other and not x.unshown and not self.other and not self.unshown and (tag == "article" or not inside)
+        self.unshown += x.unshown
+        if x.other and not self.other:
+            self.other, self.outside = x, (self.text, self.weight, self.at)
+            self.text, self.weight, self.at = [], 0, ()
         self.links += x.link
         if x.article:
             self.articles.append(x)
@@ -279,8 +314,8 @@ def lines_of(page: str) -> list[Line]:
     return reader.lines
 
 
-def _runs(lines: list[Line], sums: list[float], least: float, whole: bool) -> Iterator[tuple[int, int]]:
-    """(start, end) of what lies between dives and surges, without the links beside a dive; ``whole``: surges or not."""
+def _runs(lines: list[Line], sums: list[float], least: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of what lies between dives and surges, without the links beside a dive."""
     i, n = 0, len(lines)
     while i < n:
         if not sums[i]:
@@ -290,7 +325,7 @@ def _runs(lines: list[Line], sums: list[float], least: float, whole: bool) -> It
         while i < n and sums[i]:
             i += 1
         end = i
-        if whole or max(sums[start:end]) >= least:
+        if max(sums[start:end]) >= least:
             while start and not lines[start].weight:
                 start += 1
             while end < n and not lines[end - 1].weight:
@@ -313,30 +348,51 @@ def _extended(lines: list[Line], start: int, end: int, heavy: float) -> tuple[in
     return a, b
 
 
+def _parts(lines: list[Line]) -> list[list[Line]]:
+    """What stands in one place: each article or stretch beside it, without the menus and adverts in it; and each of these."""
+    own, others = [x for x in lines if not x.other], [x for x in lines if x.other]
+    return [list(part) for _, part in groupby(own, lambda x: (x.article, x.form))] + [list(part) for _, part in groupby(others, lambda x: x.other)]
+
+
+def _factor(x: Line, marks: bool) -> float:
+    within = BESIDE_ARTICLE if marks and not x.article else WEIGHTS[x.within]
+    return OTHER_WEIGHT if x.other else within * (FORM_WEIGHT if x.form else 1)
+
+
 def main_lines(lines: list[Line], reach: int = REACH, surge: float = SURGE) -> list[Line]:
-    """The lines between the surge and dive points of the text's distribution, corrected by the articles marked."""
-    parts = [list(part) for _, part in groupby(lines, lambda x: (x.article, x.form))]
-    all_sums = []
+    """The lines between the surge and dive points of the text's distribution, in page order."""
+    parts, all_sums = _parts(lines), []
+    whole = [bool(part[0].article) and not part[0].form and not part[0].other for part in parts]
     for part in parts:
-        factor = WEIGHTS[part[0].within] * (FORM_WEIGHT if part[0].form else 1)
+        factor = _factor(part[0], any(whole))
         upto = [0.0, *accumulate(x.weight * factor for x in part)]
         all_sums.append([upto[min(i + reach + 1, len(part))] - upto[max(i - reach, 0)] for i in range(len(part))])
-    least = max(max((max(s) for s in all_sums), default=0) * surge, 1e-9)
-    surged = {part[0].article for part, s in zip(parts, all_sums, strict=True) if part[0].article and not part[0].form and max(s) >= least}
-    kept: list[Line] = []
+    fullest = {k: max(sums) for k, sums in enumerate(all_sums)}
+    articles = {k: fullest[k] for k, is_article in enumerate(whole) if is_article}
+    first = max(articles, key=articles.get, default=None)
+    floor = PARAGRAPH * WEIGHTS[parts[first][0].within] if first is not None else 0
+    least = max(max(fullest.values(), default=0), floor) * surge
+    surged = {parts[k][0].article for k, most in articles.items() if most >= least or k == first}
+    least, kept = max(least, 1e-9), []
     for k, (part, sums) in enumerate(zip(parts, all_sums, strict=True)):
-        marked = part[0].article in surged and not part[0].form
-        for start, end in _runs(part, sums, least, marked):
-            if not marked:
-                start, end = _extended(part, start, end, min(least / WEIGHTS[part[0].within] / (2 * reach + 1), max(x.weight for x in part[start:end])))
-            elif not start and k and not any(x.tag in ("h1", "h2") for x in part):  # its title stands before it
-                before = parts[k - 1]
-                for i in range(len(before) - 1, max(-1, len(before) - 2 - BYLINES), -1):
-                    if before[i].tag in ("h1", "h2") and not before[i].form and not any(x is before[i] for x in kept[-1 - BYLINES :]):
-                        kept += before[i:]
-                        break
-            kept += part[start:end]
-    return kept
+        if whole[k] and part[0].article in surged:
+            kept += part
+            if k and not any(x.tag in ("h1", "h2") for x in part):  # its title stands before it
+                kept += _title_before(parts[k - 1], {x.place for x in kept})
+        elif not whole[k]:
+            for start, end in _runs(part, sums, least):
+                heavy = min(least / _factor(part[0], any(whole)) / (2 * reach + 1), max(x.weight for x in part[start:end]))
+                start, end = _extended(part, start, end, heavy)
+                kept += part[start:end]
+    return sorted(kept, key=lambda x: x.place)
+
+
+def _title_before(before: list[Line], kept: set[int]) -> list[Line]:
+    """The heading at the end of what stands before an article, with the bylines after it; none if it is kept already."""
+    for i in range(len(before) - 1, max(-1, len(before) - 2 - BYLINES), -1):
+        if before[i].tag in ("h1", "h2") and not before[i].form:
+            return [] if before[i].place in kept else before[i:]
+    return []
 
 
 def main_text(page: str | None) -> str:

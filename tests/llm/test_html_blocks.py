@@ -54,17 +54,41 @@ def test_windows_decide_without_marks():
     assert html.main_text("<table><tr><td>only</td><td>cells</td></tr></table>") == "only\ncells"
 
 
-def test_windows_decide_within_an_article():
-    menu = "".join(f"<div><a href=/{i}>Another story {i}</a></div>" for i in range(9))
-    page = f"<article><h1>T</h1>{PARAGRAPH}{menu}<p>Sh is.</p></article>"
-    assert html.main_text(page) == f"T\n{PROSE.strip()}\nSh is."
-    assert html.main_text(f"<article>{PARAGRAPH}<p><a href=x>The source</a></p></article>") == f"{PROSE.strip()}\nThe source"
+def test_of_an_article_all_lines_stay():
+    references = "<ul>" + "".join(f"<li><a href=/{i}>Ref {i}</a></li>" for i in range(7)) + "</ul>"
+    want = "T\n" + PROSE.strip() + "".join(f"\nRef {i}" for i in range(7)) + "\nSh is."
+    assert article(f"<h1>T</h1>{PARAGRAPH}{references}<p>Sh is.</p>") == want
+    assert article(f"{PARAGRAPH}<p><a href=x>The source</a></p>") == f"{PROSE.strip()}\nThe source"
+    assert article(f'{PARAGRAPH}<p role="note">Mind this.</p><p class="more-comments-policy">And that.</p>') == f"{PROSE.strip()}\nMind this.\nAnd that."
+    assert article(f'{PARAGRAPH}<div class="discussion"><p>reader</p></div>') == PROSE.strip()
+
+
+def test_an_article_outweighs_other_text():
+    unmarked = "".join(f"<p>{'x' * 210} {i}</p>" for i in range(4))
+    assert html.main_text(f"<article><p>Hi.</p></article>{unmarked}") == "Hi."
+    long = "".join(f"<p>{'x' * 900} {i}</p>" for i in range(40))
+    assert html.main_text(f"<article><p>Hi.</p></article>{long}").count("\n") == 40
+
+
+def test_words_weigh_and_windows_decide():
+    """A menu's, advert's or comment's words only weigh: what they mark stays where it is nearly all that the page has."""
+    said = "".join(f"<p>{'A comment of some length. ' * 40}{i}</p>" for i in range(9))
+    assert html.main_text(f'<div class="comments">{said}</div><p>x</p>').count("\n") == 8
+    assert html.main_text(f'<article>{PARAGRAPH * 5}</article><div class="comments">{said}</div>').count("\n") == 4
+    assert html.main_text("<nav>Only a menu that holds no link</nav>") == "Only a menu that holds no link"
     teasers = "".join(f"<article><h3>Story {i}</h3><p>Few words.</p></article>" for i in range(4))
-    page = f"<main><h1>T</h1><article>{PARAGRAPH}<p>End.</p></article>{teasers}</main>"
-    assert html.main_text(page) == f"T\n{PROSE.strip()}\nEnd."
-    # without windows (each line its own, no threshold) the menu's dive and the teasers' lack of a surge are not seen
-    lines = html.lines_of(page)
-    assert html.main_lines(lines) != lines == html.main_lines(lines, reach=len(lines), surge=0.0)
+    page = f"<main><h1>T</h1><article>{PARAGRAPH}{PARAGRAPH}<p>End.</p></article>{teasers}</main>"
+    assert html.main_text(page) == f"T\n{PROSE.strip()}\n{PROSE.strip()}\nEnd."
+    # without windows (each line its own, no threshold) menus, adverts and teasers stay
+    lines = html.lines_of(f'<nav>Menu</nav><article><p>a <span class="ad">Buy</span> b</p></article>{page}')
+    assert len(html.main_lines(lines)) < len(lines) == len(html.main_lines(lines, reach=len(lines), surge=0.0))
+
+
+def test_windows_take_something_from_every_page():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()
+    assert all(html.main_lines(lines) != lines for lines in map(html.lines_of, pages))
 
 
 def test_a_linked_title_stays():
