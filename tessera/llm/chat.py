@@ -38,7 +38,7 @@ ROLE_OF = {opening[1:-1]: (role, f" {closing}") for role, (opening, closing) in
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 LEVELS = 3
 
-TURNS = "conv_id long, turn long, role string, formatted string, level int, loss_start long, loss_length long"
+TURNS = "conv_id long, turn long, role string, text string, formatted string, level int, loss_start long, loss_length long"
 FORMATTED = "conv_id long, formatted string, level int, n_turns long, loss_spans array<struct<start:long,length:long>>"
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -130,22 +130,24 @@ def _batches(rows: Iterable[dict], schema: pa.Schema, most: int = 4 << 20) -> It
 
 
 def format_turn_rows(conversations: DataFrame) -> DataFrame:
-    """One row for each turn, as of ``TURNS``: its text between markers, and where in that its trained text stands (null: nowhere)."""
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("level", pa.int32()), ("loss_start", pa.int64()), ("loss_length", pa.int64())])
+    """One row for each turn, as of ``TURNS``: its text as it is, by which turns of one place are ordered; its text between
+    markers; and where in that its trained text stands (null: nowhere)."""
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("formatted", pa.string()), ("level", pa.int32()), ("loss_start", pa.int64()), ("loss_length", pa.int64())])
 
     def rows(batches):
         for batch in batches:
             for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
                 formatted, level, spans = format_turns([(role or "", text or "")])
                 start, length = spans[0] if spans else (None, None)
-                yield {"conv_id": conv, "turn": turn, "role": role or "", "formatted": formatted, "level": level, "loss_start": start, "loss_length": length}
+                yield {"conv_id": conv, "turn": turn, "role": role or "", "text": text or "", "formatted": formatted, "level": level, "loss_start": start, "loss_length": length}
 
     return _turns(conversations).mapInArrow(lambda batches: _batches(rows(batches), schema), TURNS)
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
     c = F.col
-    return conversations.select(c("conv_id").cast("bigint"), c("turn").cast("bigint"), c("role").cast("string"), c("text").cast("string"))
+    said = (F.coalesce(c(name).cast("string"), F.lit("")).alias(name) for name in ("role", "text"))
+    return conversations.select(c("conv_id").cast("bigint"), c("turn").cast("bigint"), *said)
 
 
 def read_back_turns(turns: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def read_back_turns(turns: DataFrame) -> DataFrame:
         if current is not None:
             yield current.row()
 
-    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     given = dealt.select("conv_id", "formatted", "loss_start", "loss_length")
     return given.mapInArrow(lambda batches: _batches(rows(batches), DIGESTS), READ_BACK)
 
