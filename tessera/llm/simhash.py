@@ -12,7 +12,8 @@ Equal fingerprints are one row throughout. Cells of more than ``HOT_CELL`` rows
 goes to every value of them that it reaches with what its way to the anchor has left of its 2 bits, and the same
 argument holds for the finer cells. Within a cell with many fingerprints only the links of spanning forests are given,
 so that a large group of near copies costs no more rows than a few times its members. The list of hot cells is
-broadcast; there are 2^24 cells, so it has 64 MB at the very most.
+broadcast while it has ``HOT_LIST`` rows at most; beyond that, where nearly all cells are full, all cells are split
+and there is no list.
 
 Words are runs of anything but ASCII white space, A-Z in lower case; shingles of three words, repeats included, are
 hashed with XXH64 (seed 42); a bit of the fingerprint is 1 if it is set in over half of the hashes.
@@ -20,7 +21,7 @@ hashed with XXH64 (seed 42); a bit of the fingerprint is 1 if it is set in over
 Edge cases: a null, empty or blank text has fingerprint 0, linked like any other; fewer words than three are one
 shingle; rows with the same doc_id are rows of their own; a null doc_id names no component: it gets the least
 doc_id that is not null, or null; an empty table gives an empty result; other columns are not carried, but by
-``drop_near_duplicates``, for which rows are one and the same if doc_id and text are.
+``drop_near_duplicates``, by which one of the rows with equal doc_id and text stays.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ SHARE = 2
 FREE = 64 - 2 * BITS
 #: Cells of more rows are linked by a spanning forest; rows that a task compares at once, about; rows of a cell that is split.
 DENSE, ROWS_AT_ONCE, HOT_CELL = 48, 1 << 20, 1 << 16
+#: Hot cells, and rows dropped, up to which a list of them (some 50 bytes each in memory) is broadcast.
+HOT_LIST, DROPPED_LIST = 1 << 16, 1 << 18
 #: Fingerprints that are compared one with the rest; more are first dealt by each of ``BANDS`` parts of their bits, one of
 #: which any two linked ones share.
 PLAIN_FOREST, BANDS = 1024, 4
@@ -277,11 +280,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(tuple(map(np.concatenate, zip(*held, strict=True))))
 
 
-def links(distinct: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
+def links(distinct: DataFrame, hot_cell: int = HOT_CELL, hot_list: int = HOT_LIST) -> DataFrame:
     """(a, b): links between the distinct fingerprints of ``distinct`` (fp) that connect all that is connected."""
     rows = distinct.select("fp").mapInArrow(_replicated, "anchor int, fp long, moved byte")
     hot = stored(rows.groupBy("anchor").count().filter(F.col("count") > hot_cell).select("anchor", F.lit(True).alias("hot")), "hot-cells")
-    rows = rows.join(F.broadcast(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    if hot.limit(hot_list + 1).count() <= hot_list:
+        rows = rows.join(F.broadcast(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    else:
+        rows = rows.withColumn("hot", F.lit(True))
     cells = rows.mapInArrow(_split, "anchor int, free int, fp long, moved byte").repartition("anchor", "free").sortWithinPartitions("anchor", "free")
     return cells.mapInArrow(_compared, "a long, b long")
 
@@ -301,21 +307,30 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, dropped_list: int = DROPPED_LIST) -> DataFrame:
     """The columns of ``documents``, one row of each group: that with the least doc_id, then the least digest.
 
-    A row is known by a digest of its doc_id and text, so that of rows with one doc_id and unlike texts each is kept or
-    dropped for itself; rows with the same doc_id and text are one document, of which one row stays. Rows without a
-    doc_id give way to each other only: of a group, one of these stays too.
+    A row is known by its number in a stored copy of the table, so that each row is kept or dropped for itself; of rows with
+    one doc_id the one with the least digest of doc_id and text stays, then of the other columns, so that it doesn't depend
+    on how rows are dealt. Rows without a doc_id give way to each other only: of a group, one of these stays too.
+
+    Texts stay where they lie while the rows to drop fit a list of ``dropped_list`` numbers, which is broadcast; more are
+    dropped by one join on the number.
     """
-    key = free_name(documents, "row_digest")
+    row, key = free_name(documents, "row_number"), free_name(documents, "row_digest")
     c = F.col
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    others = [c(f"`{x}`") for x in documents.columns if x not in ("doc_id", "text")]
     digest = F.md5(F.concat_ws(":", F.coalesce(c("doc_id").cast("string"), F.lit("")), F.coalesce(c("text").cast("string"), F.lit(""))))
-    keyed = documents.withColumn(key, digest)
+    rest = F.md5(F.to_json(F.struct(*others))) if others else F.lit("")
+    keyed = numbered.withColumn(key, F.concat_ws(":", digest, rest, F.lpad(c(row).cast("string"), 20, "0")))
     fps = stored(fingerprints(keyed, key), "fingerprints")
     named = F.when(c("doc_id").isNotNull(), F.struct("doc_id", "carried"))
     unnamed = F.when(c("doc_id").isNull(), c("carried"))
     of_fp = _roots(stored(fps.groupBy("fp").agg(F.min(named).alias("named"), F.min(unnamed).alias("unnamed")), "distinct-fingerprints"))
     kept = of_fp.groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
-    kept = kept.select(F.explode(F.array("named.carried", "unnamed")).alias(key)).filter(c(key).isNotNull())
-    return keyed.dropDuplicates([key]).join(stored(kept, "kept-rows").hint("merge"), key, "left_semi").drop(key)
+    kept = kept.select(F.explode(F.array("named.carried", "unnamed")).alias("carried")).filter("carried IS NOT NULL")
+    number = lambda df: df.select(F.substring_index("carried", ":", -1).cast("bigint").alias(row))
+    dropped = stored(number(fps).join(number(kept).hint("merge"), row, "left_anti"), "dropped-rows")
+    few = dropped.limit(dropped_list + 1).count() <= dropped_list
+    return numbered.join(F.broadcast(dropped) if few else dropped.hint("merge"), row, "left_anti").drop(row)

@@ -29,6 +29,22 @@ def test_rows_that_stay(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted((row for _, want in CASES for row in want), key=str)
 
 
+def test_texts_are_not_shuffled_and_lists_change_nothing(spark):
+    rows = [(*row, lang, i % 3) for i, row in enumerate(row for given, _ in CASES for row in given) for lang in ("en", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n int")
+    few, many = simhash.drop_near_duplicates(df.repartition(3)), simhash.drop_near_duplicates(df.repartition(7), dropped_list=0)
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not any("Exchange" in line and "text" in line for line in plan.splitlines())
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_which_of_equal_rows_stays_is_defined(spark):
+    rows = [(1, A, lang, source) for lang in ("en", "de", None) for source in ("src1", "src2", None)]
+    kept = {simhash.drop_near_duplicates(spark.createDataFrame(given, "doc_id long, text string, lang string, source string").repartition(n)).first() for given in (rows, rows[::-1]) for n in (1, 4)}
+    assert len(kept) == 1
+
+
 def test_split_cells_link_the_same(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**64, 4, dtype=np.uint64)
@@ -36,7 +52,8 @@ def test_split_cells_link_the_same(spark):
     fps = np.unique(np.concatenate([centres, *(c ^ np.array(flips[i::4]) for i, c in enumerate(centres))]))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(4)
     whole, split = ({r["node"]: r["root"] for r in components.components(simhash.links(df, hot_cell=h)).collect()} for h in (1 << 16, 20))
-    assert whole == split and len(whole) > 200
+    every = {r["node"]: r["root"] for r in components.components(simhash.links(df, hot_cell=0, hot_list=0)).collect()}
+    assert whole == split == every and len(whole) > 200
 
 
 def test_a_large_cell_is_compared_fast():
