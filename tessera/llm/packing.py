@@ -133,6 +133,8 @@ def packed_where_they_lie(documents: DataFrame, capacity: int = CAPACITY, end_id
                         if len(held) >= part_pieces or size >= part_bytes:
                             yield from out()
                             part, size, held = part + 1, 0, []
+                            if part >> WINDOW_BITS != TaskContext.get().partitionId():
+                                raise ValueError(f"a task has over {1 << WINDOW_BITS} partitions of pieces; read the documents in smaller splits")
         if held:
             yield from out()
 

@@ -65,3 +65,13 @@ def test_pool_pieces_move_and_the_rest_stays(spark):
             assert r["offset"] == filled.get(r["sequence_id"], 0)
             filled[r["sequence_id"]] = r["offset"] + r["length"]
         assert max(filled.values()) <= packing.CAPACITY
+
+
+def test_a_task_with_too_many_partitions_is_refused(spark, monkeypatch):
+    from tessera.llm import packing
+
+    monkeypatch.setattr(packing, "WINDOW_BITS", 2)
+    docs = spark.createDataFrame([(i, "some words of a text") for i in range(40)], "doc_id long, text string").coalesce(1)
+    assert packing.packed_where_they_lie(docs, part_pieces=20).count() == 40
+    with pytest.raises(Exception, match="smaller splits"):
+        packing.packed_where_they_lie(docs, part_pieces=5).count()
