@@ -2,8 +2,8 @@
 
 1. Every task counts the hashes of all phrases of its shards into a table of ``CELLS`` cells, which stop at the least
    count asked for. Summed over tasks, a cell is an upper bound of the counts of its phrases, so phrases of cells
-   below the least count are none. One bit a cell says so; these bits (8 MB, whatever the input) go out to all tasks.
-2. Every task takes, shard by shard, the phrases that the bits let through, compiles them into an Aho-Corasick automaton
+   below the least count are none. One bit a cell says so; these bits (16 MB, whatever the input) go out to all tasks.
+2. Every task takes, shard by shard, the phrases that the bits let through with all their parts, compiles them into an Aho-Corasick automaton
    and scans the shard with it. Phrases and text have a delimiter before and after each word, so that a match begins
    and ends at words, and a mark between pieces, so that none crosses them. Overlapping matches all count. Matches are
    summed by shard, by task and then over all.
@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from .common import stored
 
 #: Cells of the sketch, and of one of the segments in which it is shuffled.
-CELLS, SEGMENT = 1 << 26, 1 << 20
+CELLS, SEGMENT = 1 << 27, 1 << 20
 SHARD_BYTES, MOST_PATTERNS = 8 << 20, 150_000
 #: Fixed value: the contract's borders of pieces. Any of them can mark a border afterwards, as no word holds one.
 BORDERS = b".,;:!?\n\x0b\x0c\r"
@@ -98,12 +98,12 @@ class Windows:
         return [b" ".join(map(self.words.__getitem__, codes)) for codes in zip(*columns, strict=True)]
 
 
-def _counted(longest: int, least: int, cells: int):
+def _counted(longest: int, least: int, cells: int, shard_bytes: int):
     """Map-side sketch: a task's cells, in packed segments."""
 
     def counted(batches):
         table = np.zeros(cells, np.uint8)
-        for lang, words in shards(batches):
+        for lang, words in shards(batches, shard_bytes):
             for _, _, hashes in Windows(lang, words, longest).phrases():
                 at, n = np.unique((hashes & np.uint64(cells - 1)).astype(np.int64), return_counts=True)
                 table[at] = np.minimum(table[at] + np.minimum(n, least), least)
@@ -131,10 +131,10 @@ def _reaching(least: int, cells: int):
     return reaching
 
 
-def sketch(texts: DataFrame, longest: int, least: int, cells: int = CELLS) -> np.ndarray:
+def sketch(texts: DataFrame, longest: int, least: int, cells: int = CELLS, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
     """A bit for each cell (packed): whether the phrases of this hash may occur ``least`` times, all together."""
     segment = min(SEGMENT, cells)
-    parts = texts.mapInArrow(_counted(longest, least, cells), "segment int, cells binary").repartition(cells // segment, "segment")
+    parts = texts.mapInArrow(_counted(longest, least, cells, shard_bytes), "segment int, cells binary").repartition(cells // segment, "segment")
     bits = np.zeros(cells // 8, np.uint8)
     for row in parts.mapInArrow(_reaching(least, cells), "segment int, bits binary").toLocalIterator():
         bits[row["segment"] * segment // 8 : (row["segment"] + 1) * segment // 8] = np.frombuffer(row["bits"], np.uint8)
@@ -154,22 +154,28 @@ def matches(patterns: list[bytes], words: list[bytes], most: int = MOST_PATTERNS
         yield from ((some[at], n) for at, n in enumerate(counts.tolist()) if n)
 
 
-def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, cells: int = CELLS) -> DataFrame:
+def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, cells: int = CELLS, shard_bytes: int = SHARD_BYTES, patterns: int = MOST_PATTERNS) -> DataFrame:
     """(lang, phrase, k, f): exact counts of all phrases of k = 1 to ``longest`` words that occur ``least`` times; k = 0: all words."""
     if not 1 <= least <= 255 or cells & (cells - 1) or cells < 8:
         raise ValueError("least must be from 1 to 255, cells a power of two")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    spread = docs.sparkSession.sparkContext.broadcast(sketch(texts, longest, least, cells))
+    spread = docs.sparkSession.sparkContext.broadcast(sketch(texts, longest, least, cells, shard_bytes))
 
     def scanned(batches):
         bits = spread.value
-        for lang, words in shards(batches):
+        for lang, words in shards(batches, shard_bytes):
             windows = Windows(lang, words, longest)
             rows = [(b"", 0, int(windows.word.sum()))]
+            shorter = np.ones(len(words), bool)
             for k, starts, hashes in windows.phrases():
+                if k > 1:  # a phrase is no more frequent than its first words and its last
+                    both = shorter[starts] & shorter[starts + 1]
+                    starts, hashes = starts[both], hashes[both]
                 cell = (hashes & np.uint64(cells - 1)).astype(np.int64)
                 passed = starts[(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1]
-                rows += [(phrase, k, n) for phrase, n in matches(windows.distinct(k, passed), words)]
+                shorter = np.zeros(len(words), bool)
+                shorter[passed] = True
+                rows += [(phrase, k, n) for phrase, n in matches(windows.distinct(k, passed), words, patterns)]
             phrase, k, f = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())], ["lang", "phrase", "k", "f"])
 
@@ -182,14 +188,14 @@ def _words(first: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(F.split("phrase", " "), first, n), " ")
 
 
-def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: int = 50, cells: int = CELLS) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: int = 50, cells: int = CELLS, shard_bytes: int = SHARD_BYTES, patterns: int = MOST_PATTERNS) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of the phrases of 2 to ``longest`` words that are no mere part of a longer one.
 
     a: how often the phrase occurs; l and r: how often its two parts do, at the cut that gives the least score,
     floor(10^6 a² / (l r)); n: words of its language. A phrase within a longer one that occurs ``percent`` of its times
     at least is left out.
     """
-    counts = stored(phrase_counts(docs, longest, least, cells), "phrases")
+    counts = stored(phrase_counts(docs, longest, least, cells, shard_bytes, patterns), "phrases")
     candidates, parts = counts.filter("k >= 2"), counts.filter("k >= 1").select("lang", "phrase", "f")
     cuts = candidates.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     cuts = cuts.select("lang", "phrase", F.col("f").alias("a"), "cut", _words(F.lit(1), F.col("cut")).alias("first"), _words(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("rest"))
