@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .fixed import clamp, div
 
 # 64 / tan(angle) as the angles' grid has it, by angle in degrees.
@@ -129,12 +130,21 @@ def crc32c(data: Column) -> Column:
 
 
 def leb128_value(digits: Column, most: int = 2**32 - 1) -> Column:
-    """The number that a string of hex digits holds in groups of seven bits; null above ``most``, beyond 8 bytes or if cut short."""
-    n = div(F.length(digits), 2).cast("int")
-    octets = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)) * 2 - 1, F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("bigint"))
-    ends = F.size(F.filter(octets, lambda x: x < 128)) == 1
-    value = F.aggregate(octets, F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("at")), lambda s, x: F.struct((s["v"] + F.call_function("shiftleft", x.bitwiseAND(127), s["at"])).alias("v"), (s["at"] + 7).alias("at")), lambda s: s["v"])
-    return F.when((n > 0) & (n <= 8) & ends & (F.element_at(octets, -1) < 128) & (value <= most), value)
+    """The number that a string of hex digits holds in groups of seven bits; null above ``most``, beyond 8 bytes or if cut short.
+
+    The bytes are taken as characters of one byte each, once a row, and these are read by place.
+    """
+
+    def value(text: Column) -> Column:
+        n = F.length(text)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        octets = F.transform(places, lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("bigint"))
+        start = F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("at"), F.lit(False).alias("ended"), F.lit(True).alias("good"))
+        step = lambda s, x: F.struct((s["v"] + F.call_function("shiftleft", x.bitwiseAND(127), s["at"])).alias("v"), (s["at"] + 7).alias("at"), (x < 128).alias("ended"), (s["good"] & ~s["ended"]).alias("good"))
+        done = lambda s: F.when(s["good"] & s["ended"] & (s["v"] <= most), s["v"])
+        return F.when((n > 0) & (n <= 8), F.aggregate(octets, start, step, done))
+
+    return let(F.decode(F.unhex(digits), "ISO-8859-1"), value)
 
 
 def is_chroma_block(row: Column, col: Column, width: Column, height: Column, sub_x: int, sub_y: int) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,15 +24,18 @@ def nearest(value: Column, among: list[int]) -> Column:
 def kmeans_steps(hist: DataFrame, seeds: list[int], steps: int) -> DataFrame:
     """(cluster, centroid, n) after ``steps`` rounds over a histogram (value, n); an empty cluster keeps its centroid.
 
-    The histogram is kept, so that the rows behind it are read once; a step brings one row a cluster to the driver.
+    The histogram is kept while steps run, so that the rows behind it are read once; a step brings one row a cluster to the
+    driver, and so does the last.
     """
     centroids, hist = list(seeds), hist.persist()
     for _ in range(steps):
         assigned = hist.groupBy(nearest(F.col("value"), centroids)["index"].alias("k")).agg(F.sum(F.col("value") * F.col("n")).alias("s"), F.sum("n").alias("n"))
         rows = assigned.select("k", rounded_div(F.col("s"), F.col("n")).alias("c"), "n").collect()
         centroids = [{r["k"]: r["c"] for r in rows}.get(i, c) for i, c in enumerate(centroids)]
-    last = hist.groupBy(nearest(F.col("value"), centroids)["index"].alias("cluster")).agg(F.sum("n").alias("n"))
-    return last.withColumn("centroid", F.element_at(F.array(*map(F.lit, centroids)), F.col("cluster") + 1).cast("bigint")).select("cluster", "centroid", "n")
+    last = hist.groupBy(nearest(F.col("value"), centroids)["index"].alias("cluster")).agg(F.sum("n").alias("n")).collect()
+    spark = hist.sparkSession
+    hist.unpersist()
+    return spark.createDataFrame([(r["cluster"], int(centroids[r["cluster"]]), r["n"]) for r in last], "cluster int, centroid bigint, n bigint")
 
 
 def nearest_block(blocks: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -45,18 +52,45 @@ def nearest_block(blocks: DataFrame, centroids: DataFrame) -> DataFrame:
     return blocks.select("vec_id", best.alias("x")).select("vec_id", F.col("x.label").alias("centroid"), F.col("x.d").alias("distance"))
 
 
-def nearest_block_of_many(blocks: DataFrame, centroids: DataFrame, pack: int = MOST_CENTROIDS) -> DataFrame:
+#: Bytes of centroids that are sent to all tasks at a time.
+CHUNK_BYTES = 32 << 20
+
+
+def nearest_block_of_many(blocks: DataFrame, centroids: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(vec_id, centroid, distance) as of ``nearest_block``, for any number of centroids (label, b), vec_id being unique.
 
-    Centroids go in packs of some ``pack``, one row each, and every block meets every pack: the work is blocks times
-    centroids, but only a pack's best one is a row, and these are reduced by vec_id before they are shuffled.
+    Centroids go out in chunks of about ``chunk_bytes``, one after the other; a chunk is one pass over the blocks, which gives each
+    one's best of the chunk. The best ones of all chunks are reduced by vec_id before they are shuffled. Labels are longs.
     """
-    packs = max(1, -(-centroids.count() // pack))
-    rows = centroids.groupBy(F.pmod(F.xxhash64("label"), F.lit(packs)).alias("_pack")).agg(F.collect_list(F.struct("label", F.col("b").alias("c"))).alias("_of"))
-    distance = lambda c: F.aggregate(F.zip_with("b", c, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    best = F.array_min(F.transform("_of", lambda t: F.struct(distance(t["c"]).alias("d"), t["label"].alias("label"))))
-    met = blocks.select("vec_id", "b").join(rows, F.lit(True)).select("vec_id", best.alias("x"))
-    return met.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", F.col("x.label").alias("centroid"), F.col("x.d").alias("distance"))
+    size = centroids.agg(F.count("*").alias("n"), F.max(F.size("b")).alias("side")).first()
+    chunks = max(1, -(-(size["n"] * 8 * ((size["side"] or 0) + 1)) // chunk_bytes))
+    found = [_nearest_of_chunk(blocks, centroids.filter(F.pmod(F.xxhash64("label"), F.lit(chunks)) == i)) for i in range(chunks)]
+    best = reduce(DataFrame.unionByName, found)
+    if chunks > 1:
+        best = best.groupBy("vec_id").agg(F.min(F.struct("distance", "centroid")).alias("x")).select("vec_id", "x.centroid", "x.distance")
+    return best
+
+
+def _nearest_of_chunk(blocks: DataFrame, centroids: DataFrame) -> DataFrame:
+    rows = sorted((r["label"], r["b"]) for r in centroids.select("label", "b").collect())
+    labels, of = np.array([label for label, _ in rows], np.int64), np.array([b for _, b in rows], np.int64)
+    sent = blocks.sparkSession.sparkContext.broadcast((labels, of))
+
+    def nearest_ones(batches):
+        labels, of = sent.value
+        for batch in batches:
+            v = batch.column("b").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            least, at = np.full(len(v), np.iinfo(np.int64).max), np.zeros(len(v), np.int64)
+            for i in range(len(labels) if len(v) else 0):
+                d = v - of[i]
+                d = np.einsum("ij,ij->i", d, d)
+                closer = d < least
+                least[closer], at[closer] = d[closer], labels[i]
+            if len(labels):
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(at), pa.array(least)], ["vec_id", "centroid", "distance"])
+
+    kind = dict(blocks.dtypes)["vec_id"]
+    return blocks.select("vec_id", "b").mapInArrow(nearest_ones, f"vec_id {kind}, centroid bigint, distance bigint")
 
 
 def split_by_cache(df: DataFrame, cache: DataFrame, on: str) -> DataFrame:

@@ -40,7 +40,8 @@ def _pairs(spark, d):
 def quant_step_lookup(spark, d):
     steps = spark.range(256).select(F.col("id").alias("q"), (4 + F.col("id") + F.shiftright(F.col("id") * F.col("id"), 7)).alias("step"))
     q = clamp(F.col("p_size") * 5 + F.col("p_partkey") % 7 - 3, 0, 255)
-    return load(spark, d, "part").select(q.alias("q")).join(steps, "q").groupBy("step").agg(F.count("*").alias("n"))
+    counts = load(spark, d, "part").groupBy(q.alias("q")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(steps), "q").groupBy("step").agg(F.sum("n").alias("n"))
 
 
 @oracle("SELECT (x & 63) - (x & 64) AS distance, count(*) AS n FROM (SELECT (o_custkey % 128 - o_orderkey % 128) & 127 AS x FROM orders) GROUP BY 1")

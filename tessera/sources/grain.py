@@ -41,6 +41,8 @@ def read_grain(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_grain(entries: DataFrame, path: str) -> None:
-    """One text file a name, in a folder of that name, entries by start. A table is one text, so its entries meet in one row."""
-    texts = entries.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("start", "end", line_of().alias("e"))))["e"].alias("e"))
-    texts.select("name", F.concat(F.lit(f"{MAGIC}\n"), F.array_join("e", "\n")).alias("value")).write.partitionBy("name").text(path)
+    """One text file a name, in a folder of that name, entries by start. A table is written by one task, as sorted lines."""
+    lines = entries.select("name", "start", "end", line_of().alias("value"))
+    heads = entries.select("name").distinct().select("name", F.lit(None).alias("start"), F.lit(None).alias("end"), F.lit(MAGIC).alias("value"))
+    dealt = heads.unionByName(lines).repartition("name").sortWithinPartitions("name", F.asc_nulls_first("start"), F.asc_nulls_first("end"), "value")
+    dealt.select("name", "value").write.partitionBy("name").text(path)
