@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import noise as Z
 from ..functions.fixed import clamp
 from ..operators import copies as C
+from ..operators import palettes as A
 from ..operators import planes as P
 from ..operators import quadtree as Q
 from ..operators import quantiles as E
+from ..operators import search as X
 from ..operators import systems as Y
 from ..sources.tables import load
 from .catalogue import _blocks
@@ -201,3 +204,66 @@ CENTS = "floor({} * 100 + 0.5)"
 def price_quantiles(spark, d):
     rows = load(spark, d, "lineitem").select("l_returnflag", F.expr(CENTS.format("l_extendedprice")).alias("cents"))
     return E.exact_quantiles(rows, ["l_returnflag"], "cents", 0.9)
+
+
+# ---- values of a block, places of a block, noise ----
+
+SIZES = list(range(2, 9))
+_NEAREST = "list_position([abs(x - y) FOR y IN c], list_min([abs(x - y) FOR y IN c]))"
+
+
+@oracle(f"""
+  WITH RECURSIVE {CELLS}, b AS (SELECT vec_id, list(v ORDER BY i) AS b, min(v) AS low, max(v) AS high FROM cells GROUP BY 1),
+  r AS (
+    SELECT vec_id, k, b, [low + (2 * i + 1) * (high - low) // (2 * k) FOR i IN range(k)] AS c, 0 AS step, false AS done FROM b, range(2, 9) t(k)
+    UNION ALL
+    SELECT vec_id, k, b, m AS c, step + 1 AS step, m = c AS done FROM (
+      SELECT *, [CASE WHEN n[i] = 0 THEN c[i] ELSE (s[i] + n[i] // 2 - ((s[i] + n[i] // 2) % n[i] + n[i]) % n[i]) // n[i] END FOR i IN range(1, k + 1)]::BIGINT[] AS m FROM (
+        SELECT *, [len([j FOR j IN a IF j = i]) FOR i IN range(1, k + 1)] AS n, [coalesce(list_sum([b[j] FOR j IN range(1, 65) IF a[j] = i]), 0)::BIGINT FOR i IN range(1, k + 1)] AS s FROM (
+          SELECT *, [{_NEAREST} FOR x IN b] AS a FROM r WHERE NOT done AND step < 50))))
+  SELECT vec_id, k::INTEGER AS k, array_to_string(c, ',') AS centroids, step::BIGINT AS steps, list_sum([list_min([abs(x - y) FOR y IN c]) ** 2 FOR x IN b])::BIGINT AS error
+  FROM r WHERE done OR step = 50""")
+def block_palettes(spark, d):
+    """Each block's values in 2 to 8 clusters, each until it settles."""
+    found = A.block_kmeans(_blocks(spark, d), "vec_id", SIZES)
+    return found.withColumn("centroids", F.array_join("centroids", ","))
+
+
+STEPS = [4, 2, 1]
+REACH = sum(STEPS)
+
+
+def _stage(before: str, name: str, step: int) -> str:
+    """SQL: the best of the last best and the nine sites around it."""
+    return f"""{name}_all AS (SELECT q.frame, q.r, q.c, q.dy + s.dy AS dy, q.dx + s.dx AS dx, CASE WHEN s.dy = 0 AND s.dx = 0 THEN -1 ELSE 1 END AS first, sum(abs(t.v - coalesce(p.v, 0)))::BIGINT AS sad
+      FROM {before} q CROSS JOIN (SELECT dy, dx FROM (VALUES (-{step}), (0), ({step})) a(dy), (VALUES (-{step}), (0), ({step})) b(dx)) s
+      JOIN target t ON t.frame = q.frame AND t.r = q.r AND t.c = q.c LEFT JOIN plane p ON p.frame = q.frame - 1 AND p.y = t.y + q.dy + s.dy AND p.x = t.x + q.dx + s.dx GROUP BY ALL),
+      {name} AS (SELECT frame, r, c, dy, dx, sad FROM {name}_all QUALIFY row_number() OVER (PARTITION BY frame, r, c ORDER BY sad, first, dy, dx) = 1)"""
+
+
+@oracle(f"""
+  WITH {PLANE}, tiles AS (SELECT DISTINCT frame + 1 AS frame, y // 64 AS ty, x // 64 AS tx FROM plane),
+  target AS (SELECT frame, y // 8 AS r, x // 8 AS c, y, x, v FROM plane SEMI JOIN tiles t ON t.frame = plane.frame AND t.ty = y // 64 AND t.tx = x // 64),
+  s0 AS (SELECT DISTINCT frame, r, c, 0::BIGINT AS dy, 0::BIGINT AS dx FROM target), {_stage('s0', 's1', 4)}, {_stage('s1', 's2', 2)}, {_stage('s2', 's3', 1)},
+  every AS (SELECT t.frame, t.r, t.c, dy, dx, sum(abs(t.v - coalesce(p.v, 0)))::BIGINT AS sad FROM target t CROSS JOIN range(-{REACH}, {REACH + 1}) a(dy) CROSS JOIN range(-{REACH}, {REACH + 1}) b(dx)
+    LEFT JOIN plane p ON p.frame = t.frame - 1 AND p.y = t.y + dy AND p.x = t.x + dx GROUP BY ALL),
+  best AS (SELECT frame, r, c, min(sad) AS best_sad FROM every GROUP BY ALL)
+  SELECT frame, r, c, dy, dx, sad, best_sad, sad = best_sad AS is_best FROM s3 JOIN best USING (frame, r, c)""")
+def plane_staged_search(spark, d):
+    """Each block's place in the plane before its own: by stages, and whether a search of all places finds none better."""
+    blocks = _plane(spark, d)
+    return X.staged_search(blocks, X.displaced(blocks, 1), STEPS).withColumn("is_best", F.col("sad") == F.col("best_sad"))
+
+
+SEED = 7391
+
+
+@oracle(f"""
+  WITH RECURSIVE s AS (SELECT 0::BIGINT AS n, {SEED}::BIGINT AS state UNION ALL
+    SELECT n + 1, (state >> 1) | ((xor(xor(state, state >> 1), xor(state >> 3, state >> 12)) & 1) << 15) FROM s WHERE n < (SELECT max(event_id) FROM events))
+  SELECT event_id, state, (state >> 5) - 1024 AS noise FROM events JOIN s ON n = event_id""")
+def register_noise(spark, d):
+    """Noise of each event from the state that a shift register has after as many steps as its number."""
+    state = Z.state_after(SEED, F.col("event_id"))
+    rows = load(spark, d, "events").select("event_id", state.alias("state"))
+    return rows.withColumn("noise", F.shiftright("state", 5) - 1024)
