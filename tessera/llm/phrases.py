@@ -28,6 +28,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from .common import stored
 
 #: Cells of the sketch, and of one of the segments in which it is shuffled.
 CELLS, SEGMENT = 1 << 27, 1 << 20
-SHARD_BYTES, MOST_PATTERNS = 8 << 20, 150_000
+SHARD_BYTES, MOST_PATTERNS = 8 << 20, 200_000
 #: Fixed value: the contract's borders of pieces. Any of them can mark a border afterwards, as no word holds one.
 BORDERS = b".,;:!?\n\x0b\x0c\r"
 MARK = b"."
@@ -45,7 +46,7 @@ FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + BORDERS, b"abcdefghij
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Iterator[tuple[str, list[bytes]]]:
+def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Iterator[tuple[str, pa.Array]]:
     """(lang, words) of the batches' texts (lang, text), some megabytes at a time; a mark stands between pieces and texts."""
     for batch in batches:
         held: dict[str, list[bytes]] = {}
@@ -62,19 +63,22 @@ def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Iterat
         yield from _split(held)
 
 
-def _split(held: dict[str, list[bytes]]) -> Iterator[tuple[str, list[bytes]]]:
+def _split(held: dict[str, list[bytes]]) -> Iterator[tuple[str, pa.Array]]:
     for lang, texts in held.items():
-        yield lang, MARK.join(texts).replace(MARK, b" " + MARK + b" ").split()
+        text = MARK.join(texts).replace(MARK, b" " + MARK + b" ").strip()
+        if text:
+            yield lang, pc.ascii_split_whitespace(pa.array([text], pa.large_binary()).cast(pa.large_string())).flatten()
 
 
 class Windows:
     """The phrases of a shard of words, as codes of its vocabulary and places."""
 
-    def __init__(self, lang: str, words: list[bytes], longest: int):
-        coded = pa.array(words, pa.binary()).dictionary_encode()
+    def __init__(self, lang: str, words: pa.Array, longest: int):
+        coded = words.dictionary_encode()
         self.words = coded.dictionary.to_pylist()
         self.codes, self.longest = coded.indices.to_numpy().astype(np.int64), longest
-        self.word = self.codes != (self.words.index(MARK) if MARK in self.words else -1)
+        mark = MARK.decode()
+        self.word = self.codes != (self.words.index(mark) if mark in self.words else -1)
         seed = xxhash.xxh64_intdigest(lang)
         self.hash_of = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
 
@@ -88,14 +92,19 @@ class Windows:
             found = running[starts]
             yield k, starts, found ^ (found >> np.uint64(32))
 
-    def distinct(self, k: int, starts: np.ndarray) -> list[bytes]:
+    def distinct(self, k: int, starts: np.ndarray) -> list[str]:
         """The different phrases of k words that begin at some places."""
-        key = self.codes[starts]
-        for i in range(1, k):  # numbered anew after each word, so that keys never pass 64 bits
-            key = np.unique(key, return_inverse=True)[1] * len(self.words) + self.codes[starts + i]
-        first = starts[np.unique(key, return_index=True)[1]]
-        columns = [self.codes[first + i].tolist() for i in range(k)]
-        return [b" ".join(map(self.words.__getitem__, codes)) for codes in zip(*columns, strict=True)]
+        n = max(2, len(self.words))
+        if n**k >= 1 << 62:  # too many for one number each
+            return list(dict.fromkeys(" ".join(self.words[c] for c in self.codes[i : i + k].tolist()) for i in starts.tolist()))
+        key = np.zeros(len(starts), np.int64)
+        for i in range(k):
+            key = key * n + self.codes[starts + i]
+        key, columns = np.unique(key), []
+        for _ in range(k):
+            key, code = np.divmod(key, n)
+            columns.append(map(self.words.__getitem__, code.tolist()))
+        return list(map(" ".join, zip(*columns[::-1], strict=True)))
 
 
 def _counted(longest: int, least: int, cells: int, shard_bytes: int):
@@ -141,17 +150,18 @@ def sketch(texts: DataFrame, longest: int, least: int, cells: int = CELLS, shard
     return bits
 
 
-def matches(patterns: list[bytes], words: list[bytes], most: int = MOST_PATTERNS) -> Iterator[tuple[bytes, int]]:
-    """How often each pattern occurs among the words, overlapping ones included; patterns that don't are left out."""
-    text = f" {b' '.join(words).decode()} "
+def matches(patterns: list[str], words: pa.Array, most: int = MOST_PATTERNS) -> np.ndarray:
+    """How often each pattern occurs among the words, overlapping ones included."""
+    whole = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+    text, counts = f" {pc.binary_join(whole, pa.scalar(' ', words.type))[0].as_py()} ", [np.zeros(0, np.int64)]
     for i in range(0, len(patterns), most):
         some = patterns[i : i + most]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for at, pattern in enumerate(some):
-            automaton.add_word(f" {pattern.decode()} ", at)
+            automaton.add_word(f" {pattern} ", at)
         automaton.make_automaton()
-        counts = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(some))
-        yield from ((some[at], n) for at, n in enumerate(counts.tolist()) if n)
+        counts.append(np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(some)))
+    return np.concatenate(counts)
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, cells: int = CELLS, shard_bytes: int = SHARD_BYTES, patterns: int = MOST_PATTERNS) -> DataFrame:
@@ -165,8 +175,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, cells: int
         bits = spread.value
         for lang, words in shards(batches, shard_bytes):
             windows = Windows(lang, words, longest)
-            rows = [(b"", 0, int(windows.word.sum()))]
-            shorter = np.ones(len(words), bool)
+            shorter, found, size = np.ones(len(words), bool), [""], [0]
             for k, starts, hashes in windows.phrases():
                 if k > 1:  # a phrase is no more frequent than its first words and its last
                     both = shorter[starts] & shorter[starts + 1]
@@ -175,9 +184,12 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, cells: int
                 passed = starts[(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1]
                 shorter = np.zeros(len(words), bool)
                 shorter[passed] = True
-                rows += [(phrase, k, n) for phrase, n in matches(windows.distinct(k, passed), words, patterns)]
-            phrase, k, f = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())], ["lang", "phrase", "k", "f"])
+                found += windows.distinct(k, passed)
+                size += [k] * (len(found) - len(size))
+            counts = np.append(int(windows.word.sum()), matches(found[1:], words, patterns))
+            for i in range(0, len(found), 50_000):
+                columns = [pa.array([lang] * len(found[i : i + 50_000]), pa.string()), pa.array(found[i : i + 50_000], pa.string()), pa.array(size[i : i + 50_000], pa.int32()), pa.array(counts[i : i + 50_000])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "f"])
 
     found = texts.mapInArrow(scanned, "lang string, phrase string, k int, f bigint")
     return found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
