@@ -156,6 +156,7 @@ def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
         before = int(sizes[start - 1]) if start else 0
         end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
         yield start, end, column.slice(start, end - start)
+        pa.default_memory_pool().release_unused()  # workers are used again: what a slice needed stays theirs otherwise
         start = end
 
 
