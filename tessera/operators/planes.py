@@ -36,7 +36,7 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     yield from (flat[start:end] for start, end in zip([0, *ends], ends, strict=False))
 
 
-def _tiles(batch: pa.RecordBatch, side: int, fill: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tile_cells(batch: pa.RecordBatch, side: int, fill: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(slots, square of cells) of each row."""
     a = side // N
     for slots, v in zip(_lists(batch.column("slots")), _lists(batch.column("v")), strict=True):
@@ -59,7 +59,7 @@ def with_halo(tiles: DataFrame, side: int, before: int, after: int, fill: int =
         for batch in batches:
             rows = []
             keys = zip(*(batch.column(n).to_pylist() for n in KEY), strict=True)
-            for (frame, tr, tc), (_, cells) in zip(keys, _tiles(batch, side, fill), strict=True):
+            for (frame, tr, tc), (_, cells) in zip(keys, tile_cells(batch, side, fill), strict=True):
                 for dr in (-1, 0, 1):
                     for dc in (-1, 0, 1):
                         strip = cells[_part(dr, side, before, after), _part(dc, side, before, after)]
@@ -79,7 +79,7 @@ def _stack(batch: pa.RecordBatch, side: int, before: int, after: int, fill: int)
     out = np.full((batch.num_rows, whole, whole), fill, np.int64)
     place = {1: slice(0, before), 0: slice(before, before + side), -1: slice(before + side, whole)}
     slots = []
-    for i, ((of, cells), strips) in enumerate(zip(_tiles(batch, side, fill), batch.column("strips").to_pylist(), strict=True)):
+    for i, ((of, cells), strips) in enumerate(zip(tile_cells(batch, side, fill), batch.column("strips").to_pylist(), strict=True)):
         slots.append(of)
         out[i, place[0], place[0]] = cells
         for x in strips or []:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .planes import KEY, SIDE, stacks, tiles_of, with_halo
+from .planes import KEY, SIDE, stacks, tile_cells, tiles_of, with_halo
 
 
 def solved(systems: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -35,6 +35,21 @@ def causal_offsets(lag: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-lag, 1) for dx in range(-lag, lag + 1) if (dy, dx) < (0, 0)]
 
 
+SUMS = "frame bigint, m array<bigint>"
+
+
+def _flat(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """A task's sums of each frame."""
+    values = pa.array([m.ravel().tolist() for m in held.values()], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), values], ["frame", "m"])
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """(frame, m): the tasks' sums (``SUMS``) added up, place by place."""
+    entries = parts.select("frame", F.posexplode("m").alias("at", "v")).groupBy("frame", "at").agg(F.sum("v").alias("v"))
+    return entries.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("m")).select("frame", F.col("m")["v"].alias("m"))
+
+
 def autoregression(blocks: DataFrame, lag: int, side: int = SIDE) -> DataFrame:
     """(frame, n, a, b): the normal equations that predict a cell from those before it, over the cells that have them all.
 
@@ -51,18 +66,72 @@ def autoregression(blocks: DataFrame, lag: int, side: int = SIDE) -> DataFrame:
                 x = np.stack([m[i].ravel() for m in moved])
                 x = x[:, (x != no_cell).all(axis=0)]
                 held[frame] = held.get(frame, 0) + np.block([[x @ x.T, np.zeros((k + 1, 1), np.int64)], [np.zeros((1, k + 1), np.int64), np.array([[x.shape[1]]])]])
-        frames, values = list(held), [m.ravel().tolist() for m in held.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(frames, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["frame", "m"])
+        yield _flat(held)
 
     tiles = with_halo(tiles_of(blocks, side), side, lag, lag, no_cell)
-    parts = tiles.mapInArrow(sums, "frame bigint, m array<bigint>").select("frame", F.posexplode("m").alias("at", "v"))
-    entries = parts.groupBy("frame", "at").agg(F.sum("v").alias("v"))
-    whole = entries.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("m")).select("frame", F.col("m")["v"].alias("m"))
+    whole = _summed(tiles.mapInArrow(sums, SUMS))
     row = lambda i: F.slice("m", i * (k + 2) + 1, k)
     n = F.element_at("m", (k + 2) ** 2)
     return whole.select("frame", n.alias("n"), F.flatten(F.array(*map(row, range(k)))).alias("a"), row(k).alias("b"))
 
 
+def window_moments(source: DataFrame, degraded: DataFrame, reach: int, side: int = SIDE) -> DataFrame:
+    """(frame, n, h, m): over the cells whose window of ``degraded`` is whole: products of the window's cells with each other
+    (h, by rows) and with the cell of ``source`` (m), as exact sums."""
+    width, no_cell = (2 * reach + 1) ** 2, -(1 << 62)
+    own = tiles_of(source, side).withColumnsRenamed({"slots": "own_slots", "v": "own_v"})
+    met = with_halo(tiles_of(degraded, side), side, reach, reach, no_cell).join(own, KEY)
+
+    def sums(batches):
+        held: dict[int, np.ndarray] = {}
+        for rows, _, cells in stacks(batches, side, reach, reach, no_cell):
+            wanted = rows.select(["own_slots", "own_v"]).rename_columns(["slots", "v"])
+            for i, (frame, (_, y)) in enumerate(zip(rows.column("frame").to_pylist(), tile_cells(wanted, side, no_cell), strict=True)):
+                windows = np.lib.stride_tricks.sliding_window_view(cells[i], (2 * reach + 1, 2 * reach + 1)).reshape(side * side, width)
+                all_of = np.concatenate([windows, y.reshape(-1, 1), np.ones((side * side, 1), np.int64)], axis=1)
+                all_of = all_of[(all_of != no_cell).all(axis=1)]
+                held[frame] = held.get(frame, 0) + all_of.T @ all_of
+        yield _flat(held)
+
+    whole, k = _summed(met.mapInArrow(sums, SUMS)), width + 2
+    row = lambda i, n: F.slice("m", i * k + 1, n)
+    return whole.select("frame", F.element_at("m", k * k).alias("n"), F.flatten(F.array(*(row(i, width) for i in range(width)))).alias("h"), row(width, width).alias("m"))
+
+
+def separable_fit(moments: DataFrame, reach: int, rounds: int) -> DataFrame:
+    """(frame, down, across: array<double>): the symmetric taps, from the middle outward, whose product best makes the source
+    from the degraded plane: each direction's small system is solved in turn for the other's taps, ``rounds`` times.
+
+    The first round solves for ``down`` with the middle tap alone across. null where a system is singular.
+    """
+    side = 2 * reach + 1
+    fold = np.zeros((side, reach + 1))
+    for i in range(side):
+        fold[i, abs(i - reach)] = 1
+
+    def fitted(h: np.ndarray, m: np.ndarray) -> tuple[list[float], list[float]] | tuple[None, None]:
+        across = np.eye(reach + 1)[0]
+        try:
+            for _ in range(rounds):
+                taps = fold @ across
+                down = np.linalg.solve(fold.T @ np.einsum("ijkl,j,l->ik", h, taps, taps) @ fold, fold.T @ (m @ taps))
+                taps = fold @ down
+                across = np.linalg.solve(fold.T @ np.einsum("ijkl,i,k->jl", h, taps, taps) @ fold, fold.T @ (taps @ m))
+        except np.linalg.LinAlgError:
+            return None, None
+        return down.tolist(), across.tolist()
+
+    def fit(batches):
+        for batch in batches:
+            found = []
+            for h, m in zip(batch.column("h").to_pylist(), batch.column("m").to_pylist(), strict=True):
+                found.append(fitted(np.array(h, float).reshape(side, side, side, side), np.array(m, float).reshape(side, side)))
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("frame"), pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)], ["frame", "down", "across"])
+
+    return moments.select("frame", "h", "m").mapInArrow(fit, "frame bigint, down array<double>, across array<double>")
+
+
 def strength_curve(samples: DataFrame, by: list[str], level: str, value: str, low: int, high: int, bins: int, smooth: float) -> DataFrame:
     """(by, x array<double>): a value at each of ``bins`` even places from ``low`` to ``high``, so that the lines between them
     fit the samples: bins are coupled by the samples between them and by ``smooth`` times the difference of neighbours.

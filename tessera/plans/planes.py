@@ -175,6 +175,50 @@ def plane_autoregression(spark, d):
     return fits.select("frame", "n", F.posexplode("x").alias("i", "x")).withColumn("x", F.round("x", 7) + 0.0)
 
 
+BLUR, FIT_ROUNDS = [1, 6, 1], 3
+
+
+def _folded(value: str, along: str) -> str:
+    """SQL: z0, z1, z2: a value and the sums of those one and two places away along y or x."""
+    return ", ".join(f"{moved_sum(value, [int(abs(i - 2) == p) for i in range(5)], along)} AS z{p}" for p in range(3))
+
+
+def _weighted(taps: str, along: str) -> str:
+    """SQL: the symmetric filter of a list of taps (middle, one away, two away) on v."""
+    return " + ".join(f"{taps}[{p + 1}] * {moved_sum('v', [int(abs(i - 2) == p) for i in range(5)], along)}" for p in range(3))
+
+
+def _fit_step(name: str, given: str, along: str, across: str) -> str:
+    """SQL: taps along one direction, by the 3 x 3 system of the plane filtered across with the ``given`` taps (frame, t)."""
+    pairs = ", ".join(f"[{', '.join(f'sum(z{p} * z{q})::DOUBLE' for q in range(3))}, sum(z{p} * y_)::DOUBLE]" for p in range(3))
+    return f"""{name}_f AS (SELECT x.*, ({_weighted('t', across)})::DOUBLE AS f FROM x JOIN {given} USING (frame)), {name}_z AS (SELECT frame, y_, whole, {_folded('f', along)} FROM {name}_f),
+      {name}_m AS (SELECT frame, [{pairs}] AS m0 FROM {name}_z WHERE whole GROUP BY frame),
+      {name}_1 AS (SELECT frame, [[a / m0[1][1] FOR a IN m0[1]], [m0[2][j] - m0[2][1] * m0[1][j] / m0[1][1] FOR j IN range(1, 5)], [m0[3][j] - m0[3][1] * m0[1][j] / m0[1][1] FOR j IN range(1, 5)]] AS m1 FROM {name}_m),
+      {name}_2 AS (SELECT frame, [[m1[1][j] - m1[1][2] * m1[2][j] / m1[2][2] FOR j IN range(1, 5)], [a / m1[2][2] FOR a IN m1[2]], [m1[3][j] - m1[3][2] * m1[2][j] / m1[2][2] FOR j IN range(1, 5)]] AS m2 FROM {name}_1),
+      {name} AS (SELECT frame, [m2[1][4] - m2[1][3] * m2[3][4] / m2[3][3], m2[2][4] - m2[2][3] * m2[3][4] / m2[3][3], m2[3][4] / m2[3][3]] AS t FROM {name}_2)"""
+
+
+def _fit_steps() -> str:
+    steps, given = [], "start"
+    for i in range(FIT_ROUNDS):
+        steps += [_fit_step(f"d{i}", given, "y", "x"), _fit_step(f"a{i}", f"d{i}", "x", "y")]
+        given = f"a{i}"
+    return ", ".join(steps)
+
+
+@oracle(f"""
+  WITH {around(2)}, b1 AS (SELECT *, ({moved_sum('v', BLUR, 'x')} + 4) >> 3 AS h FROM g), b2 AS (SELECT *, ({moved_sum('h', BLUR, 'y')} + 4) >> 3 AS s FROM b1),
+  b3 AS (SELECT frame, y, x, v AS y_, CASE WHEN there THEN s ELSE 0 END AS v, there, {moved_sum('there::INT', [1] * 5, 'x')} AS n FROM b2),
+  x AS MATERIALIZED (SELECT frame, y, x, y_, v, there AND {moved_sum('n', [1] * 5, 'y')} = 25 AS whole FROM b3), start AS (SELECT DISTINCT frame, [1, 0, 0]::DOUBLE[] AS t FROM x), {_fit_steps()}
+  SELECT frame, i::INTEGER AS i, round(d.t[i + 1], 6) + 0.0 AS down, round(a.t[i + 1], 6) + 0.0 AS across FROM d{FIT_ROUNDS - 1} d JOIN a{FIT_ROUNDS - 1} a USING (frame), range(3) r(i)""")
+def plane_separable_fit(spark, d):
+    """The symmetric 5 x 5 taps that best undo a blur of each plane, by turns down and across."""
+    blocks = _plane(spark, d)
+    fits = Y.separable_fit(Y.window_moments(blocks, P.separable(blocks, BLUR, 3), 2), 2, FIT_ROUNDS)
+    both = fits.select("frame", F.posexplode(F.arrays_zip("down", "across")).alias("i", "t")).select("frame", "i", "t.down", "t.across")
+    return both.withColumns({n: F.round(n, 6) + 0.0 for n in ("down", "across")})
+
+
 BINS, PULL = 20, 50.0
 
 

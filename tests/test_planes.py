@@ -198,3 +198,24 @@ def test_exact_quantiles(spark, q):
     assert E.exact_quantile(df, F.col("v"), q) == at(values)
     got = {r["g"]: r["v"] for r in E.exact_quantiles(df, ["g"], "v", q).collect()}
     assert got == {g: at(values[g::3]) for g in range(3)}
+
+
+def test_separable_fit_finds_the_taps(spark):
+    degraded = planes(11, -200, 200)
+    down, across = [0.5, 0.2, -0.1], [0.8, 0.15, 0.05]
+    taps = lambda t: [t[2], t[1], t[0], t[1], t[2]]
+    source = np.zeros(degraded.shape)
+    for i, a in enumerate(taps(down)):
+        for j, b in enumerate(taps(across)):
+            source += a * b * np.roll(degraded, (2 - i, 2 - j), (1, 2))
+    source = np.rint(source * 1000).astype(np.int64)
+    got = {}
+    for side in (8, 64):
+        moments = Y.window_moments(blocks(spark, source), blocks(spark, degraded), 2, side)
+        fits = {r["frame"]: (np.array(r["down"]), np.array(r["across"])) for r in Y.separable_fit(moments, 2, 6).collect()}
+        got[side] = fits
+        want = np.outer(down, across) * 1000
+        assert np.allclose(np.outer(*fits[0]), want, atol=0.5)
+    assert all(np.allclose(got[8][f], got[64][f]) for f in (0, 1))
+    nothing = Y.window_moments(blocks(spark, source), blocks(spark, degraded * 0), 2)
+    assert Y.separable_fit(nothing, 2, 1).first()["down"] is None
