@@ -62,6 +62,24 @@ def _places(tiles: DataFrame, size: int, side: int, bits: int, content: bool, al
     return tiles.mapInArrow(run, "frame bigint, y bigint, x bigint, hash bigint" + ", content binary" * content)
 
 
+def _contents(tiles: DataFrame, wanted: DataFrame, size: int, side: int) -> DataFrame:
+    """(frame, y, x, content) of the squares at the places ``wanted`` (frame, y, x): asked of the tiles where they lie."""
+    at = [F.col("frame"), F.floor(F.col("y") / side).alias("tr"), F.floor(F.col("x") / side).alias("tc")]
+    asked = wanted.select(*at, F.struct((F.col("y") % side).cast("int").alias("y"), (F.col("x") % side).cast("int").alias("x")).alias("at"))
+    asked = asked.groupBy(*KEY).agg(F.collect_set("at").alias("at")).select(*KEY, F.col("at")["y"].alias("ys"), F.col("at")["x"].alias("xs"))
+
+    def run(batches):
+        for rows, _, cells in stacks(batches, side, 0, size - 1, NO_CELL):
+            squares, ys, xs = _squares(cells, size), rows.column("ys"), rows.column("xs")
+            n = ys.value_lengths().to_numpy()
+            tile, y, x = np.repeat(np.arange(len(n)), n), ys.flatten().to_numpy(), xs.flatten().to_numpy()
+            frame, tr, tc = (rows.column(name).to_numpy()[tile] for name in KEY)
+            content = pa.array([s.astype("<i8").tobytes() for s in squares[tile, y, x]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(frame), pa.array(tr * side + y), pa.array(tc * side + x), content], ["frame", "y", "x", "content"])
+
+    return tiles.join(asked, KEY).mapInArrow(run, "frame bigint, y bigint, x bigint, content binary")
+
+
 def earlier_copies(blocks: DataFrame, size: int, side: int = SIDE, bits: int = 64) -> DataFrame:
     """(frame, y, x, from_y, from_x): each aligned square with an earlier equal one in its plane, at any place: the first by rows.
 
@@ -75,14 +93,13 @@ def earlier_copies(blocks: DataFrame, size: int, side: int = SIDE, bits: int = 6
     asked = _places(tiles, size, side, bits, True, True)
     found = asked.join(first, ["frame", "hash"]).filter(F.col("first") < place)
     # compared cell by cell: the place found is asked for its content where it lies
-    wanted = found.select("frame", F.col("first.y").alias("y"), F.col("first.x").alias("x")).distinct()
-    there = _places(tiles, size, side, bits, True, False).join(wanted, ["frame", "y", "x"], "left_semi")
-    there = there.select("frame", place.alias("first"), F.col("content").alias("other"))
+    wanted = found.select("frame", F.col("first.y").alias("y"), F.col("first.x").alias("x"))
+    there = _contents(tiles, wanted, size, side).select("frame", place.alias("first"), F.col("content").alias("other"))
     checked = found.join(there, ["frame", "first"]).withColumn("same", F.col("content") == F.col("other"))
     # a hash that agrees by chance: by content, among the places with this hash
     doubtful = checked.filter("NOT same").select("frame", "hash", "y", "x", "content")
-    of_hash = _places(tiles, size, side, bits, True, False).join(doubtful.select("frame", "hash").distinct(), ["frame", "hash"], "left_semi")
-    by_content = of_hash.groupBy("frame", "content").agg(F.min(place).alias("first"))
+    of_hash = _places(tiles, size, side, bits, False, False).join(doubtful.select("frame", "hash").distinct(), ["frame", "hash"], "left_semi")
+    by_content = _contents(tiles, of_hash, size, side).groupBy("frame", "content").agg(F.min(place).alias("first"))
     again = doubtful.join(by_content, ["frame", "content"]).filter(F.col("first") < place)
     both = checked.filter("same").select("frame", "y", "x", "first").unionByName(again.select("frame", "y", "x", "first"))
     return both.select("frame", "y", "x", F.col("first.y").alias("from_y"), F.col("first.x").alias("from_x"))
