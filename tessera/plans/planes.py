@@ -17,6 +17,7 @@ from ..operators import quadtree as Q
 from ..operators import quantiles as E
 from ..operators import search as X
 from ..operators import systems as Y
+from ..operators import transforms as T
 from ..sources.tables import load
 from .catalogue import _blocks
 from .more import oracle
@@ -311,3 +312,43 @@ def register_noise(spark, d):
     state = Z.state_after(SEED, F.col("event_id"))
     rows = load(spark, d, "events").select("event_id", state.alias("state"))
     return rows.withColumn("noise", F.shiftright("state", 5) - 1024)
+
+
+# ---- transforms ----
+
+#: All sizes with cosines and with another pair of kernels in use for them, and all pairs of one size.
+CASES = [*(T.Case(h, w, "cosine", "cosine") for h, w in T.SIZES), *(T.types_of(h, w)[(3 * i + 1) % len(T.types_of(h, w))] for i, (h, w) in enumerate(T.SIZES)), *T.types_of(4, 8)]
+LARGE = 90.123
+SUMS = [T.Case(n, n, "hadamard", "hadamard") for n in (4, 8, 16, 32)]
+
+KERNEL = """kernel AS (SELECT kind, n, k, j, CASE kind
+    WHEN 'cosine' THEN sqrt(CASE WHEN k = 0 THEN 1e0 ELSE 2e0 END / n) * cos((2 * j + 1) * k * pi() / (2 * n))
+    WHEN 'hadamard' THEN 1e0 - 2 * (bit_count(k & j) % 2)
+    WHEN 'identity' THEN (k = j)::INT::DOUBLE
+    ELSE CASE WHEN n = 4 THEN 2e0 / sqrt(9e0) * sin(pi() * (2 * k + 1) * (i + 1) / 9) ELSE sqrt(2e0 / n) * sin(pi() * (2 * k + 1) * (2 * i + 1) / (4 * n)) END END AS weight
+  FROM (SELECT *, CASE kind WHEN 'flipped' THEN n - 1 - j ELSE j END AS i FROM (VALUES ('cosine'), ('sine'), ('flipped'), ('identity'), ('hadamard')) a(kind), (VALUES (4), (8), (16), (32), (64)) b(n), range(64) c(k), range(64) d(j) WHERE k < n AND j < n))"""
+
+
+def coefficients(cases: list[T.Case]) -> str:
+    """SQL: t (id, frame, r, c, a, b, t): the coefficients of all whole pieces."""
+    rows = ", ".join(f"({i}, {x.height}, {x.width}, '{x.down}', '{x.across}')" for i, x in enumerate(cases))
+    return f"""{PLANE}, {KERNEL}, q AS (SELECT * FROM (VALUES {rows}) AS q(id, h, w, down, across)),
+      p AS (SELECT id, h, w, down, across, frame, y // h AS r, x // w AS c, y % h AS i, x % w AS j, v, count(*) OVER (PARTITION BY id, frame, y // h, x // w) AS n FROM plane, q),
+      s AS (SELECT id, h, down, frame, r, c, i, k AS b, sum(v * weight) AS v FROM (SELECT * FROM p WHERE p.n = h * w) p JOIN kernel ON kind = across AND kernel.n = w AND kernel.j = p.j GROUP BY ALL),
+      t AS (SELECT id, frame, r, c, k AS a, b, sum(v * weight) AS t FROM s JOIN kernel ON kind = down AND n = h AND j = i GROUP BY ALL)"""
+
+
+@oracle(f"WITH {coefficients(CASES)} SELECT frame, id::INTEGER AS \"case\", count(DISTINCT (r, c)) AS n_pieces, count(*) FILTER (abs(t) >= {LARGE}) AS n_large FROM t GROUP BY ALL")
+def plane_transform_sizes(spark, d):
+    """Large coefficients of all 19 sizes, and of all 16 pairs of kernels."""
+    pieces = T.transformed(_plane(spark, d), CASES).select("frame", "case", F.size(F.filter("t", lambda x: F.abs(x) >= LARGE)).alias("n"))
+    return pieces.groupBy("frame", "case").agg(F.count("*").alias("n_pieces"), F.sum("n").alias("n_large"))
+
+
+@oracle(f"""WITH {coefficients(SUMS)}, o AS (SELECT id, frame, r, c, sum(abs(t))::BIGINT AS satd FROM t GROUP BY ALL)
+  SELECT frame, (4 << id::INT)::INTEGER AS side, count(*) AS n, sum(satd)::BIGINT AS satd, max(satd) AS most FROM o GROUP BY ALL""")
+def plane_hadamard_sizes(spark, d):
+    """Sums of absolute Hadamard coefficients at sides 4 to 32."""
+    sums = T.transformed(_plane(spark, d), SUMS).select("frame", "case", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.abs(x)).cast("bigint").alias("satd"))
+    sums = sums.withColumn("side", F.call_function("shiftleft", F.lit(4), F.col("case")))
+    return sums.groupBy("frame", "side").agg(F.count("*").alias("n"), F.sum("satd").alias("satd"), F.max("satd").alias("most"))

@@ -9,6 +9,7 @@ from tessera.operators import planes as P
 from tessera.operators import quadtree as Q
 from tessera.operators import quantiles as E
 from tessera.operators import systems as Y
+from tessera.operators import transforms as T
 
 ROWS, COLS = 6, 7
 MISSING = {(0, 3), (4, 0), (5, 6)}
@@ -219,3 +220,18 @@ def test_separable_fit_finds_the_taps(spark):
     assert all(np.allclose(got[8][f], got[64][f]) for f in (0, 1))
     nothing = Y.window_moments(blocks(spark, source), blocks(spark, degraded * 0), 2)
     assert Y.separable_fit(nothing, 2, 1).first()["down"] is None
+
+
+def test_transforms_of_all_sizes_come_back(spark):
+    assert len(T.SIZES) == 19 and len(T.types_of(16, 4)) == 16 and len(T.types_of(64, 16)) == 1
+    for n in T.LENGTHS:
+        for kind in T.kinds_of(n):
+            assert np.allclose(T.kernel(kind, n) @ T.kernel(kind, n).T, np.eye(n))
+    cells, mask = planes(12, -99, 99), there()
+    cases = [x for h, w in T.SIZES for x in T.types_of(h, w)[::5]]
+    pieces = T.transformed(blocks(spark, cells), cases)
+    rows = T.restored(pieces, cases).collect()
+    for k, (h, w, *_) in enumerate(cases):
+        got = {(r["frame"], r["r"], r["c"]): np.array(r["b"]).reshape(h, w) for r in rows if r["case"] == k}
+        want = {(f, y // h, x // w): cells[f, y : y + h, x : x + w] for f in range(2) for y in range(0, ROWS * 8 - h + 1, h) for x in range(0, COLS * 8 - w + 1, w) if mask[f, y : y + h, x : x + w].all()}
+        assert got.keys() == want.keys() and all(np.allclose(got[at], want[at]) for at in want)
