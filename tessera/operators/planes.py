@@ -97,12 +97,12 @@ def stacks(batches: Iterator[pa.RecordBatch], side: int, before: int, after: int
             yield some, *_stack(some, side, before, after, fill)
 
 
-def stencil(blocks: DataFrame, before: int, after: int, work: Work, kind: str = "bigint", side: int = SIDE) -> DataFrame:
-    """(frame, r, c, b) after ``work`` on the whole planes: from tiles with the cells around them to tiles."""
+def stencil(blocks: DataFrame, before: int, after: int, work: Work, kind: str = "bigint", side: int = SIDE, fill: int = 0) -> DataFrame:
+    """(frame, r, c, b) after ``work`` on the whole planes: from tiles with the cells around them to tiles; ``fill``: where no cell is."""
     a, dtype = side // N, {"bigint": np.int64, "double": np.float64}[kind]
 
     def run(batches):
-        for rows, slots, cells in stacks(batches, side, before, after, 0):
+        for rows, slots, cells in stacks(batches, side, before, after, fill):
             done = work(cells).astype(dtype).reshape(-1, a, N, a, N).swapaxes(2, 3).reshape(len(cells), a * a, N * N)
             n = [len(x) for x in slots]
             frame, tr, tc = (np.repeat(rows.column(name).to_numpy(), n) for name in KEY)
@@ -110,7 +110,7 @@ def stencil(blocks: DataFrame, before: int, after: int, work: Work, kind: str =
             offsets = pa.array(np.arange(len(b) + 1, dtype=np.int32) * N * N)
             yield pa.RecordBatch.from_arrays([pa.array(frame), pa.array(tr * a + slot // a), pa.array(tc * a + slot % a), pa.ListArray.from_arrays(offsets, pa.array(b.ravel()))], ["frame", "r", "c", "b"])
 
-    haloed = with_halo(tiles_of(blocks, side), side, before, after)
+    haloed = with_halo(tiles_of(blocks, side), side, before, after, fill)
     return haloed.mapInArrow(run, f"frame bigint, r bigint, c bigint, b array<{kind}>")
 
 
@@ -161,6 +161,47 @@ def self_guided(blocks: DataFrame, strength: int, side: int = SIDE) -> DataFrame
 NINTH = (4096 + 4) // 9
 
 
+def _edge_filtered(p: list[np.ndarray], q: list[np.ndarray], limit: int, edge_limit: int, high: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Three cells on each side of an edge (p0 and q0 beside it, of four that are given) after smoothing.
+
+    Nothing where the cells differ too much for a mere edge between blocks, or one side is missing; a smooth
+    average where both sides are flat; else the step is lessened, of the two next cells only where neither side varies.
+    """
+    apart = lambda a, b: np.abs(a - b)
+    mask = (p[0] >= 0) & (q[0] >= 0) & (apart(p[0], q[0]) * 2 + apart(p[1], q[1]) // 2 <= edge_limit)
+    for x in (p, q):
+        for i in range(3):
+            mask = mask & (apart(x[i], x[i + 1]) <= limit)
+    flat = np.logical_and.reduce([apart(x[0], x[i]) <= 1 for x in (p, q) for i in (1, 2, 3)])
+    varies = (apart(p[1], p[0]) > high) | (apart(q[1], q[0]) > high)
+    signed = lambda x: np.clip(x, -128, 127)
+    s = [x - 128 for x in (p[1], p[0], q[0], q[1])]
+    step = signed(np.where(varies, signed(s[0] - s[3]), 0) + 3 * (s[2] - s[1]))
+    up, down = signed(step + 4) >> 3, signed(step + 3) >> 3
+    next_ones = np.where(varies, 0, (up + 1) >> 1)
+    lessened = [[signed(s[1] + down) + 128, signed(s[0] + next_ones) + 128, p[2]], [signed(s[2] - up) + 128, signed(s[3] - next_ones) + 128, q[2]]]
+    line = [*p[3::-1], *q]  # p3 ... p0 q0 ... q3
+    smooth = [sum(line[min(max(i + d, 0), 7)] for d in range(-3, 4)) + line[i] for i in range(1, 7)]
+    smooth = [(x + 4) >> 3 for x in smooth]
+    done = [[np.where(mask, np.where(flat, a, b), old) for a, b, old in zip(of, few, x, strict=False)] for of, few, x in ((smooth[2::-1], lessened[0], p), (smooth[3:], lessened[1], q))]
+    return done[0], done[1]
+
+
+def deblocked(blocks: DataFrame, limit: int, edge_limit: int, high: int, side: int = SIDE) -> DataFrame:
+    """Cells of 0 to 255 with the edges between blocks smoothed: all upright edges, then all level ones of what that gave."""
+
+    def along(x: np.ndarray) -> np.ndarray:
+        x = x.copy()
+        edges = np.arange(N, x.shape[2] - N + 1, N)
+        near_p, near_q = _edge_filtered([x[:, :, edges - 1 - i] for i in range(4)], [x[:, :, edges + i] for i in range(4)], limit, edge_limit, high)
+        for i in range(3):
+            x[:, :, edges - 1 - i], x[:, :, edges + i] = near_p[i], near_q[i]
+        return x
+
+    work = lambda x: along(along(x).swapaxes(1, 2)).swapaxes(1, 2)[:, N:-N, N:-N]
+    return stencil(blocks, N, N, work, side=side, fill=-1)
+
+
 def cosines(n: int) -> np.ndarray:
     """The orthonormal DCT of n values, as a matrix."""
     k, i = np.arange(n)[:, None], np.arange(n)[None, :]

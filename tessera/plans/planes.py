@@ -32,6 +32,11 @@ def _plane(spark, d) -> DataFrame:
     return _blocks(spark, d).select(F.expr("vec_id div 256").alias("frame"), F.expr("vec_id div 16 % 16").alias("r"), (F.col("vec_id") % 16).alias("c"), "b")
 
 
+def _pixels(spark, d) -> DataFrame:
+    """The planes' cells as numbers from 0 to 255."""
+    return _plane(spark, d).withColumn("b", F.transform("b", lambda v: clamp(F.shiftright(v, 2) + 128, 0, 255)))
+
+
 def _cells(blocks: DataFrame) -> DataFrame:
     """(frame, y, x, v): a row for each cell."""
     flat = blocks.select("frame", "r", "c", F.posexplode("b").alias("i", "v"))
@@ -93,8 +98,34 @@ def _spread(x: str) -> str:
   o AS (SELECT *, ({_spread('w')} * v + {_spread('m')} + 256) >> 9 AS o FROM a)
   SELECT frame, y, x, o::BIGINT AS v FROM o WHERE there""")
 def plane_self_guided(spark, d):
-    pixels = _plane(spark, d).withColumn("b", F.transform("b", lambda v: clamp(F.shiftright(v, 2) + 128, 0, 255)))
-    return _cells(P.self_guided(pixels, GUIDE))
+    return _cells(P.self_guided(_pixels(spark, d), GUIDE))
+
+
+LIMIT, EDGE_LIMIT, HIGH = 60, 160, 6
+
+
+def _edges(given: str, name: str, along: str) -> str:
+    """SQL: ``given`` (frame, y, x, v) with the edges at every eighth place along y or x smoothed."""
+    by = {"x": "y", "y": "x"}[along]
+    over = f"OVER (PARTITION BY frame, {by} ORDER BY {along})"
+    p, q = [f"l[{4 - i}]" for i in range(4)], [f"l[{5 + i}]" for i in range(4)]
+    line = ", ".join([*(f"lag(v, {i}) {over}" for i in (4, 3, 2, 1)), "v", *(f"lead(v, {i}) {over}" for i in (1, 2, 3))])
+    mask = " AND ".join([f"abs({p[0]} - {q[0]}) * 2 + abs({p[1]} - {q[1]}) // 2 <= {EDGE_LIMIT}", *(f"abs({x[i]} - {x[i + 1]}) <= {LIMIT}" for x in (p, q) for i in range(3))])
+    flat = " AND ".join(f"abs({x[0]} - {x[i]}) <= 1" for x in (p, q) for i in (1, 2, 3))
+    signed = lambda x: f"least(greatest({x}, -128), 127)"
+    step = signed(f"CASE WHEN varies THEN {signed(f'{p[1]} - {q[1]}')} ELSE 0 END + 3 * ({q[0]} - {p[0]})")
+    down, up, few = f"({signed('step + 3')} >> 3)", f"({signed('step + 4')} >> 3)", f"(CASE WHEN varies THEN 0 ELSE ({signed('step + 4')} >> 3) + 1 >> 1 END)"
+    lessened = [p[2], f"{signed(f'{p[1]} - 128 + {few}')} + 128", f"{signed(f'{p[0]} - 128 + {down}')} + 128", f"{signed(f'{q[0]} - 128 - {up}')} + 128", f"{signed(f'{q[1]} - 128 - {few}')} + 128", q[2]]
+    smooth = "[(list_sum([l[least(greatest(i + d, 1), 8)] FOR d IN range(-3, 4)])::BIGINT + l[i] + 4) >> 3 FOR i IN range(2, 8)]"
+    return f"""{name}_l AS (SELECT frame, y, x, [{line}] AS l FROM {given}), {name}_e AS (SELECT *, abs({p[1]} - {p[0]}) > {HIGH} OR abs({q[1]} - {q[0]}) > {HIGH} AS varies FROM {name}_l WHERE {along} % 8 = 0 AND l[4] IS NOT NULL AND {mask}),
+      {name}_s AS (SELECT *, {step} AS step FROM {name}_e), {name}_n AS (SELECT frame, y, x, CASE WHEN {flat} THEN {smooth} ELSE [{', '.join(lessened)}] END AS o FROM {name}_s),
+      {name}_u AS (SELECT frame, {by}, {along} - 3 + d AS {along}, o[d + 1] AS v FROM {name}_n, range(6) t(d)),
+      {name} AS (SELECT g.frame, g.y, g.x, coalesce(u.v, g.v) AS v FROM {given} g LEFT JOIN {name}_u u ON u.frame = g.frame AND u.y = g.y AND u.x = g.x)"""
+
+
+@oracle(f"WITH {PLANE}, pixels AS (SELECT frame, y, x, {PIXEL} AS v FROM plane), {_edges('pixels', 'upright', 'x')}, {_edges('upright', 'level', 'y')} SELECT frame, y, x, v::BIGINT AS v FROM level")
+def plane_deblocked(spark, d):
+    return _cells(P.deblocked(_pixels(spark, d), LIMIT, EDGE_LIMIT, HIGH))
 
 
 NOISE = 30000.0

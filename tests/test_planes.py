@@ -235,3 +235,20 @@ def test_transforms_of_all_sizes_come_back(spark):
         got = {(r["frame"], r["r"], r["c"]): np.array(r["b"]).reshape(h, w) for r in rows if r["case"] == k}
         want = {(f, y // h, x // w): cells[f, y : y + h, x : x + w] for f in range(2) for y in range(0, ROWS * 8 - h + 1, h) for x in range(0, COLS * 8 - w + 1, w) if mask[f, y : y + h, x : x + w].all()}
         assert got.keys() == want.keys() and all(np.allclose(got[at], want[at]) for at in want)
+
+
+def test_deblocked_edges(spark):
+    """Flat blocks beside each other: small steps become slopes, large ones stay, so does what has no block beside it."""
+    cells = np.zeros((2, ROWS * 8, COLS * 8), np.int64) + np.repeat(np.array([100, 104, 108, 200, 204, 100, 101]), 8)
+    mask = there()
+    cells[~mask] = 0
+    results = [whole(P.deblocked(blocks(spark, cells), 10, 40, 4, side)) for side in (8, 16, 64)]
+    assert (results[0] == results[1]).all() and (results[1] == results[2]).all()
+    got = results[2][0]
+    assert (got == got[0]).all()  # level edges have no step
+    row = got[0]
+    assert row[4:12].tolist() == [100, 101, 101, 102, 103, 103, 104, 104] and row[20:28].tolist() == [108] * 4 + [200] * 4
+    assert (results[2][1][:, 24:32][8:] == results[2][0][:, 24:32][8:]).mean() > 0.9 and not results[2][~mask].any()
+    rng = np.random.default_rng(13).integers(90, 110, cells.shape)
+    noisy = [whole(P.deblocked(blocks(spark, rng * mask), 12, 60, 2, side)) for side in (16, 64)]
+    assert (noisy[0] == noisy[1]).all() and (noisy[0] != rng * mask).any()
