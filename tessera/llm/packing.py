@@ -39,6 +39,8 @@ CAPACITY, END_ID = 2048, 0
 PART_PIECES, PART_BYTES, ROUNDS = 50_000, 24 << 20, 4
 #: Bits of a partition's number within its task, of a piece's or bin's within its partition, of both together.
 WINDOW_BITS, ITEM_BITS, PLACE_BITS = 12, 24, 58
+#: Words whose ids a packing worker keeps, in each of two generations: fewer than it could, as it holds pieces too.
+KEPT_WORDS = 150_000
 
 PACKED = "key long, length long, part long, bin long, offset long, final boolean"
 PIECES = pa.schema(
@@ -107,7 +109,7 @@ def packed_where_they_lie(documents: DataFrame, capacity: int = CAPACITY, end_id
     """The documents' pieces, each with its place in its own partition; ids stand in ``moving`` if it isn't final."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(vocabulary, KEPT_WORDS)
         end, width = np.asarray([end_id], own.dtype).tobytes(), own.dtype.itemsize
         part, size, held = TaskContext.get().partitionId() << WINDOW_BITS, 0, []
 

@@ -61,7 +61,8 @@ def parted(runs: pa.Array) -> tuple[pa.Array, pa.Array]:
 class Encoder:
     """Ids of texts as little-endian bytes: unsigned, of 16 bits if the vocabulary allows it, else of 32."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, kept: int = KEPT_WORDS):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -129,7 +130,7 @@ class Encoder:
         new = [w for w, ids in zip(words, found, strict=True) if ids is None]
         if not new:
             return found
-        if len(self.words) + len(new) > KEPT_WORDS:
+        if len(self.words) + len(new) > self.kept:
             self.older, self.words, new = self.words, {}, words
         known = [w for w in new if w in self.older]
         self.words.update(zip(known, map(self.older.__getitem__, known), strict=True))
@@ -138,14 +139,14 @@ class Encoder:
         return list(map(self.words.__getitem__, words))
 
 
-_encoders: dict[str | None, Encoder] = {}
+_encoders: dict[tuple[str | None, int], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """This worker's encoder for a vocabulary file; ``path`` None: the contract's, found on the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str | None = None, kept: int = KEPT_WORDS) -> Encoder:
+    """This worker's encoder for a vocabulary file, which keeps twice ``kept`` words; ``path`` None: the contract's, found on the worker."""
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
 def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, pa.Array]]:
