@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: where tables go when a session on one machine names no shared folder (tests).
 LOCAL_SHARED = "/tmp/tessera-shared"
 
+#: Bytes of texts that a Python worker of the pipeline gets at a time: Spark's own 10,000 rows hold tens of MB on both sides.
+TEXT_BATCH = 1 << 20
+
 #: Fixed value: ASCII white space as the word rules define it, for a character class.
 ASCII_SPACE = r"\x20\x09-\x0D"
 
@@ -35,13 +42,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder and read back.
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """While it lasts, the rows of queries that begin go to Python workers in batches of about ``most`` bytes; None: as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    if most:
+        spark.conf.set(key, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def giving_back(each: Callable) -> Callable:
+    """``each``, a function for mapInArrow, after whose last batch the worker's free memory returns to the system.
+
+    Workers are used again and wait for that: what one of them keeps, no other and no JVM can have.
+    """
+
+    @wraps(each)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+    return run
+
+
+def stored(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder and read back; ``batch_bytes``: of ``arrow_batches``.
 
     Cuts the lineage: a lost executor never makes Spark repeat what produced the table. Results that are read later
     still need it, so it is deleted when the session's application ends.
     """
-    return stored_at(df, name)[0]
+    with arrow_batches(df.sparkSession, batch_bytes):
+        return stored_at(df, name)[0]
 
 
 def _file_system(spark: SparkSession, path: str):

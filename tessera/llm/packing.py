@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import TEXT_BATCH, giving_back, stored
 from .tokens import encoder, text_slices
 
 #: Fixed values of the contract: tokens in a sequence; the id that ends each document.
@@ -125,7 +125,7 @@ def packed_where_they_lie(documents: DataFrame, capacity: int = CAPACITY, end_id
 
         for batch in batches:
             of = batch.column("doc_id").to_pylist()
-            for a, b, texts in text_slices(batch.column("text")):
+            for a, b, texts in text_slices(batch.column("text"), TEXT_BATCH):
                 for doc_id, ids in zip(of[a:b], own.encode(texts), strict=True):
                     ids += end
                     n = len(ids) // width
@@ -141,7 +141,7 @@ def packed_where_they_lie(documents: DataFrame, capacity: int = CAPACITY, end_id
             yield from out()
 
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(pack, PIECES_DDL)
+    return rows.mapInArrow(giving_back(pack), PIECES_DDL)
 
 
 def _packed(rows: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
@@ -197,7 +197,7 @@ def assign(lengths: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, part_pieces: int = PART_PIECES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian, unsigned), sequence_id, offset for every piece."""
-    pieces = stored(packed_where_they_lie(documents, capacity, end_id, vocabulary, part_pieces, part_bytes), "pieces")
+    pieces = stored(packed_where_they_lie(documents, capacity, end_id, vocabulary, part_pieces, part_bytes), "pieces", TEXT_BATCH)
     names = ("doc_id", "piece", "start", "length")
     rounds = exchanged(pieces.select("key", "length", "part", "bin", "offset", "final"), capacity, part_pieces, ROUNDS)
     if not rounds:

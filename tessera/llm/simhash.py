@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import TEXT_BATCH, free_name, giving_back, stored
 from .components import components
 
 #: Fixed values of the contract: bits that linked fingerprints may differ in; words in a shingle; seed of XXH64.
@@ -83,7 +83,7 @@ def fingerprints(documents: DataFrame, carried: str = "") -> DataFrame:
             yield batch.drop_columns(["text"]).append_column("fp", pa.array(fps.view(np.int64)))
 
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *([F.col(carried).alias("carried")] if carried else []))
-    return rows.mapInArrow(each, "doc_id long, carried string, fp long" if carried else "doc_id long, fp long")
+    return rows.mapInArrow(giving_back(each), "doc_id long, carried string, fp long" if carried else "doc_id long, fp long")
 
 
 @cache
@@ -282,14 +282,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, hot_cell: int = HOT_CELL, hot_list: int = HOT_LIST) -> DataFrame:
     """(a, b): links between the distinct fingerprints of ``distinct`` (fp) that connect all that is connected."""
-    rows = distinct.select("fp").mapInArrow(_replicated, "anchor int, fp long, moved byte")
+    rows = distinct.select("fp").mapInArrow(giving_back(_replicated), "anchor int, fp long, moved byte")
     hot = stored(rows.groupBy("anchor").count().filter(F.col("count") > hot_cell).select("anchor", F.lit(True).alias("hot")), "hot-cells")
     if hot.limit(hot_list + 1).count() <= hot_list:
         rows = rows.join(F.broadcast(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     else:
         rows = rows.withColumn("hot", F.lit(True))
-    cells = rows.mapInArrow(_split, "anchor int, free int, fp long, moved byte").repartition("anchor", "free").sortWithinPartitions("anchor", "free")
-    return cells.mapInArrow(_compared, "a long, b long")
+    cells = rows.mapInArrow(giving_back(_split), "anchor int, free int, fp long, moved byte").repartition("anchor", "free").sortWithinPartitions("anchor", "free")
+    return cells.mapInArrow(giving_back(_compared), "a long, b long")
 
 
 def _roots(distinct: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def _roots(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the least doc_id that can be reached by links."""
-    fps = stored(fingerprints(documents), "fingerprints")
+    fps = stored(fingerprints(documents), "fingerprints", TEXT_BATCH)
     of_fp = _roots(stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints"))
     least = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = stored(of_fp.join(least, "root").select("fp", "component_id"), "fingerprint-components")
@@ -324,7 +324,7 @@ def drop_near_duplicates(documents: DataFrame, dropped_list: int = DROPPED_LIST)
     digest = F.md5(F.concat_ws(":", F.coalesce(c("doc_id").cast("string"), F.lit("")), F.coalesce(c("text").cast("string"), F.lit(""))))
     rest = F.md5(F.to_json(F.struct(*others))) if others else F.lit("")
     keyed = numbered.withColumn(key, F.concat_ws(":", digest, rest, F.lpad(c(row).cast("string"), 20, "0")))
-    fps = stored(fingerprints(keyed, key), "fingerprints")
+    fps = stored(fingerprints(keyed, key), "fingerprints", TEXT_BATCH)
     named = F.when(c("doc_id").isNotNull(), F.struct("doc_id", "carried"))
     unnamed = F.when(c("doc_id").isNull(), c("carried"))
     of_fp = _roots(stored(fps.groupBy("fp").agg(F.min(named).alias("named"), F.min(unnamed).alias("unnamed")), "distinct-fingerprints"))
