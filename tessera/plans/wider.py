@@ -51,7 +51,7 @@ def snap_within_limit(spark, d):
   SELECT vec_id, arg_min(l, (d, l)) AS centroid, min(d) AS distance FROM d GROUP BY 1""")
 def nearest_of_many(spark, d):
     b = _blocks(spark, d)
-    return L.nearest_block_of_many(b.filter("vec_id % 7 <> 0"), b.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("label"), "b"), 16 << 10)
+    return L.nearest_block_of_many(b.filter("vec_id % 7 <> 0"), b.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("label"), "b"))
 
 
 @oracle(f"""
