@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,19 +45,32 @@ def exact_quantile(df: DataFrame, value: Column, q: float) -> int | None:
     return (prefix ^ (1 << 63)) - ((prefix ^ (1 << 63)) >> 63 << 64)
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """(by, value): ``exact_quantile`` of each group. Groups meet their digits by joins; a hot group's counts are summed up by task."""
+#: Groups up to which a row for each is broadcast in every pass.
+BROADCAST_GROUPS = 1 << 16
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, q: float, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """(by, value): ``exact_quantile`` of each group that has values; a null in ``by`` is a group as any other.
+
+    Four passes. In each, rows meet the digits found so far of their group where they lie, and counts are summed up by task: a row
+    is never shuffled or sorted, however large its group. The digits found, one row a group, are broadcast up to
+    ``broadcast_groups`` groups; more meet their rows in a merge join, whose hot groups are left to Spark's skew join.
+    """
     rows = df.filter(F.col(value).isNotNull()).select(*by, _key(F.col(value)).alias("k"))
-    ranks = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    found = ranks.select(*by, F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * q, 9))).alias("rank"), F.lit(0).cast("bigint").alias("prefix"))
+    few = rows.select(*by).distinct().limit(broadcast_groups + 1).count() <= broadcast_groups
+    order, found = Window.partitionBy(*by).orderBy("digit"), None
     for shift in range(BITS - DIGIT, -1, -DIGIT):
-        prefix = F.lit(0).cast("bigint") if shift == BITS - DIGIT else F.shiftrightunsigned("k", shift + DIGIT)
-        digit = F.shiftrightunsigned("k", shift).bitwiseAND((1 << DIGIT) - 1)
-        counts = rows.groupBy(*by, prefix.alias("prefix"), digit.alias("digit")).agg(F.count("*").alias("n")) if shift == BITS - DIGIT else (
-            rows.withColumn("prefix", prefix).join(found.select(*by, "prefix"), [*by, "prefix"], "left_semi").groupBy(*by, "prefix", digit.alias("digit")).agg(F.count("*").alias("n"))
-        )
-        order = Window.partitionBy(*by).orderBy("digit")
-        upto = counts.withColumn("upto", F.sum("n").over(order)).join(found, [*by, "prefix"])
+        digit = F.shiftrightunsigned("k", shift).bitwiseAND((1 << DIGIT) - 1).alias("digit")
+        if found is None:
+            counts = rows.groupBy(*by, digit).agg(F.count("*").alias("n"))
+            rank = F.greatest(F.lit(1), F.ceil(F.round(F.sum("n").over(Window.partitionBy(*by)) * q, 9)))
+            counts = counts.withColumns({"rank": rank, "prefix": F.lit(0).cast("bigint")})
+        else:
+            known = found.select(*(F.col(c).alias(f"found_{c}") for c in by), "rank", "prefix")
+            same = [F.col(c).eqNullSafe(F.col(f"found_{c}")) for c in by]
+            met = rows.join(F.broadcast(known) if few else known.hint("merge"), reduce(and_, same, F.shiftrightunsigned("k", shift + DIGIT) == F.col("prefix")))
+            counts = met.groupBy(*by, digit).agg(F.count("*").alias("n"), F.first("rank").alias("rank"), F.first("prefix").alias("prefix"))
+        upto = counts.withColumn("upto", F.sum("n").over(order))
         first = upto.filter("upto >= rank").groupBy(*by).agg(F.min(F.struct("digit", "upto", "n", "rank", "prefix")).alias("x"))
         found = first.select(*by, F.expr("x.rank - (x.upto - x.n)").alias("rank"), F.call_function("shiftleft", F.col("x.prefix"), F.lit(DIGIT)).bitwiseOR(F.col("x.digit")).alias("prefix"))
     return found.select(*by, _key(F.col("prefix")).alias(value))
